@@ -22,10 +22,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_base(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views of the base tables (the plan binds to them when a DataFrame is built)."""
-    for name in BASE_TABLES:
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
+def register_base(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
+    """Temp views of base tables (a DataFrame's plan binds to them when it is built).
+
+    A view is re-created only when it last pointed at another ``sf_dir``.
+    """
+    for name in names or BASE_TABLES:
+        key = (id(spark), name)
+        if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
+            continue
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+        _REGISTERED[key] = sf_dir
 
 
 _NUM = "cast(regexp_extract(source, '([0-9]+)', 1) as int)"
@@ -176,9 +186,15 @@ from events where event_type = 'purchase'""",
 }
 
 
+DEPENDS = {
+    "dirty_customer": "customer", "dirty_orders": "orders", "usage_logs": "events", "questions": "conversations",
+    "datasets": "documents", "users": "events", "api_keys": "events", "query_history": "events",
+}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame (base views are registered from ``sf_dir``)."""
-    register_base(spark, sf_dir)
+    register_base(spark, sf_dir, [DEPENDS[name]])
     return spark.sql(SPARK_SQL[name])
 
 
