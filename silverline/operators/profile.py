@@ -88,13 +88,16 @@ def _column_stats(name: str, dtype: T.DataType) -> Column:
     return F.struct(*[fields.get(k, _zero()).alias(k) for k in STAT_FIELDS])
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Long table, one row per column: counts for type inference, validity and anomalies.
+def column_stats(df: DataFrame, columns: list[str] | None = None, group_by: list[str] | None = None) -> DataFrame:
+    """Long table, one row per (group, column): counts for type inference, validity and anomalies.
 
-    Columns: ordinal, column_name, actual_type, dtype_semantic, total_rows, non_null, m_*, v_*, d_*,
-    long_count, blank_count.
+    Columns: [group_by...], ordinal, column_name, actual_type, dtype_semantic, total_rows, non_null,
+    m_*, v_*, d_*, long_count, blank_count.  With ``group_by`` every group (e.g. every dataset)
+    is profiled in the same single aggregation.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    group_by = group_by or []
+    fields = [f for f in df.schema.fields
+              if (columns is None or f.name in columns) and f.name not in group_by]
     if not fields:
         schema = ("ordinal int, column_name string, actual_type string, dtype_semantic string, total_rows bigint, "
                   "non_null bigint")
@@ -105,7 +108,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for chunk in chunks:
         aggs = [F.count(F.lit(1)).alias("__rows")]
         aggs += [_column_stats(f.name, f.dataType).alias(f"__c{i}") for i, f in enumerate(chunk)]
-        one = df.agg(*aggs)
+        one = df.groupBy(*group_by).agg(*aggs)
         rows = F.array(*[
             F.struct(
                 F.lit(offset + i).alias("ordinal"),
@@ -117,7 +120,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             )
             for i, f in enumerate(chunk)
         ])
-        parts.append(one.select(F.inline(rows)))
+        parts.append(one.select(*group_by, F.inline(rows)))
         offset += len(chunk)
     return reduce(DataFrame.unionByName, parts)
 
@@ -163,13 +166,14 @@ def detect_column_types(df: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def validate_columns(df: DataFrame, expected_schema: dict[str, str] | None = None,
-                     columns: list[str] | None = None) -> DataFrame:
+                     columns: list[str] | None = None, group_by: list[str] | None = None) -> DataFrame:
     """AGG2: per column expected/actual type, valid/invalid/null counts, valid % and issues.
 
     valid % = valid non-null values / all rows * 100 (nulls lower the score).
     ``expected_schema`` overrides the inferred type of named columns.
     """
-    stats = column_stats(df, columns)
+    group_by = group_by or []
+    stats = column_stats(df, columns, group_by)
     expected = semantic_type_expr()
     if expected_schema:
         override = F.lit(None).cast("string")
@@ -204,7 +208,7 @@ def validate_columns(df: DataFrame, expected_schema: dict[str, str] | None = Non
                F.format_string("High null rate: %d/%d", F.col("null_count"), F.col("total_rows"))),
     ))
     return out.select(
-        "ordinal", "column_name", "expected_type", "actual_type", "valid_count", "invalid_count",
+        *group_by, "ordinal", "column_name", "expected_type", "actual_type", "valid_count", "invalid_count",
         "null_count", "total_rows", "valid_percentage", issues.alias("issues"),
     )
 
@@ -240,13 +244,14 @@ def level_expr(score: Column) -> Column:
             .otherwise(F.lit("bronze")))
 
 
-def table_quality(validation: DataFrame, table_name: str = "table") -> DataFrame:
+def table_quality(validation: DataFrame, table_name: str = "table", group_by: list[str] | None = None) -> DataFrame:
     """AGG4: overall score = mean column valid %, level gold >= 95, silver >= 80, else bronze.
 
-    One row: table_name, total_rows, total_columns, overall_score, quality_level,
-    low_validity_columns (columns under 90 %, in column order).
+    One row (per group): table_name, total_rows, total_columns, overall_score, quality_level,
+    issues (columns under 90 %, in column order).  The per-group list is bounded by the column count.
     """
-    agg = validation.agg(
+    group_by = group_by or []
+    agg = validation.groupBy(*group_by).agg(
         F.coalesce(F.avg("valid_percentage"), F.lit(0.0)).alias("overall_score"),
         F.count(F.lit(1)).alias("total_columns"),
         F.coalesce(F.max("total_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
@@ -257,6 +262,7 @@ def table_quality(validation: DataFrame, table_name: str = "table") -> DataFrame
         ))).alias("__issues"),
     )
     return agg.select(
+        *group_by,
         F.lit(table_name).alias("table_name"),
         "total_rows",
         "total_columns",
