@@ -64,8 +64,8 @@ def normalize_names(names: list, strip_underscore: bool = True, keep_internal: b
 
 def normalize_columns(df: DataFrame, strip_underscore: bool = True, keep_internal: bool = False) -> DataFrame:
     """PRJ1 (``strip_underscore=True``) / PRJ2 (``False``) applied to a DataFrame."""
-    new = normalize_names(df.columns, strip_underscore, keep_internal)
-    return df.select(*[F.col(f"`{o}`").alias(n) for o, n in zip(df.columns, new)])
+    # renamed by position: source names may collide (case-insensitively) before cleaning
+    return df.toDF(*normalize_names(df.columns, strip_underscore, keep_internal))
 
 
 def sanitize_table_name(name: str) -> str:

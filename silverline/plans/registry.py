@@ -36,8 +36,8 @@ def load_all() -> dict[str, Query]:
     # importing the modules fills QUERIES
     from silverline.plans import queries_quality  # noqa: F401
 
-    for mod in ["queries_text", "queries_docs", "queries_usage", "queries_catalog", "queries_sql",
-                "queries_routing", "queries_io", "queries_streaming"]:
+    for mod in ["queries_docs", "queries_usage", "queries_catalog", "queries_sql", "queries_routing",
+                "queries_io", "queries_schema", "queries_streaming"]:
         try:
             __import__(f"silverline.plans.{mod}")
         except ModuleNotFoundError as e:
