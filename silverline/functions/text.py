@@ -26,18 +26,14 @@ def _lit(s: str) -> Column:
 # Regex helpers
 # ---------------------------------------------------------------------------
 
-#: Python's Unicode ``\b`` written with lookarounds over the portable word class.
-WORD_BOUNDARY = f"(?:(?<={P.WORD})(?!{P.WORD})|(?<!{P.WORD})(?={P.WORD}))"
-
-
 def java_quote(text: str) -> str:
     """Escape regex metacharacters of a literal for a Java pattern."""
     return "".join("\\" + ch if ch in r".^$|?*+()[]{}\\" else ch for ch in text)
 
 
 def strip_ws(col) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(col), f"^{P.WHITESPACE}+|{P.WHITESPACE}+\\z", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends (character-set trim, no regex)."""
+    return F.trim(_c(col), F.lit(P.WHITESPACE_CHARS))
 
 
 # ---------------------------------------------------------------------------
@@ -96,45 +92,84 @@ def collapse_ws(col) -> Column:
     return F.trim(F.regexp_replace(_c(col), P.WHITESPACE + "+", " "))
 
 
+def _first_char_guard(pairs) -> str:
+    """Regex that finds any of the pairs' search strings (first two characters as classes)."""
+    firsts = sorted({a[0] for a, _ in pairs})
+    seconds = sorted({a[1] for a, _ in pairs})
+    return f"[{''.join(firsts)}][{''.join(seconds)}]"
+
+
+#: Rows without a candidate two-letter sequence skip the replace chain.
+TONE_GUARD = _first_char_guard(P.TONE_PAIRS)
+
+
 def normalize_tone(col) -> Column:
     """TXT3: move tone marks to the main vowel (16 literal replacements, in order)."""
-    out = _c(col)
+    c = _c(col)
+    out = c
     for old, new in P.TONE_PAIRS:
         out = F.replace(out, _lit(old), _lit(new))
-    return out
+    return F.when(c.rlike(TONE_GUARD), out).otherwise(c)
+
+
+#: Python's ``\b`` before a word character / after one, as lookarounds (no zero-width alternation).
+_BEFORE_WORD = f"(?<!{P.WORD})"
+_AFTER_WORD = f"(?!{P.WORD})"
+
+
+def _word_bounded(body_regex: str, optional_dot: bool) -> str:
+    r"""``\b body \.? \b`` for a body that starts and ends with a word character.
+
+    The leading ``\b`` can only be "no word character before"; the trailing one is
+    "a word character follows" after a consumed dot, else "no word character follows".
+    Same matches, same backtracking order as Python's ``re``.
+    """
+    tail = f"(?:\\.(?={P.WORD})|{_AFTER_WORD})" if optional_dot else _AFTER_WORD
+    return f"{_BEFORE_WORD}{body_regex}{tail}"
 
 
 def address_regexes():
     """(java_regex, replacement) for TXT4, in order."""
-    out = []
-    for abbr, dot, expansion in P.ADDRESS_ABBREVIATIONS:
-        body = java_quote(abbr) + ("\\.?" if dot else "")
-        out.append((f"(?iu){WORD_BOUNDARY}{body}{WORD_BOUNDARY}", expansion))
-    return out
+    return [(f"(?iu){_word_bounded(java_quote(abbr), dot)}", expansion)
+            for abbr, dot, expansion in P.ADDRESS_ABBREVIATIONS]
+
+
+#: One pass that finds any abbreviation; texts without one skip the whole chain (no
+#: expansion contains a stand-alone abbreviation, so nothing can appear later in the chain).
+ADDRESS_GUARD = "(?iu)" + _word_bounded(
+    "(?:" + "|".join(java_quote(a) for a, _, _ in sorted(P.ADDRESS_ABBREVIATIONS, key=lambda t: -len(t[0]))) + ")",
+    True)
 
 
 def expand_address(col) -> Column:
     """TXT4: expand Vietnamese address abbreviations (case-insensitive, word-bounded)."""
-    out = _c(col)
+    c = _c(col)
+    out = c
     for rx, rep in address_regexes():
         out = F.regexp_replace(out, rx, rep)
-    return out
+    return F.when(c.rlike(ADDRESS_GUARD), out).otherwise(c)
 
 
 def currency_regexes():
-    words = "|".join(java_quote(w) for w in P.CURRENCY_WORDS)
-    first = (f"(?iu){WORD_BOUNDARY}(?:{words}){WORD_BOUNDARY}", P.CURRENCY_CANONICAL)
+    words = "(?:" + "|".join(java_quote(w) for w in P.CURRENCY_WORDS) + ")"
+    first = (f"(?iu){_BEFORE_WORD}{words}{_AFTER_WORD}", P.CURRENCY_CANONICAL)
     second = (f"([\\p{{Nd}}\\.,]+){P.WHITESPACE}*{java_quote(P.CURRENCY_CANONICAL)}",
               "$1 " + P.CURRENCY_CANONICAL)
     return [first, second]
 
 
+#: Rows with neither a currency word nor the canonical symbol are left as they are.
+CURRENCY_GUARD = f"(?iu){_BEFORE_WORD}(?:" + "|".join(java_quote(w) for w in P.CURRENCY_WORDS) + \
+    f"){_AFTER_WORD}|{java_quote(P.CURRENCY_CANONICAL)}"
+
+
 def normalize_currency(col) -> Column:
     """TXT5: currency words -> VNĐ, then exactly one space between amount and VNĐ."""
-    out = _c(col)
+    c = _c(col)
+    out = c
     for rx, rep in currency_regexes():
         out = F.regexp_replace(out, rx, rep)
-    return out
+    return F.when(c.rlike(CURRENCY_GUARD), out).otherwise(c)
 
 
 def ocr_noise_regexes():

@@ -11,15 +11,15 @@ def q(s: str) -> str:
 
 
 def rx(expr: str, pattern: str) -> str:
-    return f"coalesce(regexp_matches({expr}, {q(pattern)}), false)"
+    return f"coalesce(regexp_matches({expr}, {q(P.to_re2(pattern))}), false)"
 
 
 def strip(expr: str) -> str:
-    return f"regexp_replace({expr}, {q('^' + P.WHITESPACE + '+|' + P.WHITESPACE + '+\\z')}, '', 'g')"
+    return f"trim({expr}, {q(P.WHITESPACE_CHARS)})"
 
 
 def collapse(expr: str) -> str:
-    return f"trim(regexp_replace({expr}, {q(P.WHITESPACE + '+')}, ' ', 'g'))"
+    return f"trim(regexp_replace({expr}, {q(P.WHITESPACE_RE2 + '+')}, ' ', 'g'))"
 
 
 def plain_number(expr: str) -> str:

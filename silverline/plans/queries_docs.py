@@ -107,7 +107,7 @@ def _duck_tone(expr: str) -> str:
 def _duck_ocr(expr: str) -> str:
     out = expr
     for rx, rep in X.ocr_noise_regexes():
-        out = f"regexp_replace({out}, {D.q(rx.replace('(?md)', '(?m)'))}, {D.q(rep)}, 'g')"
+        out = f"regexp_replace({out}, {D.q(P.to_re2(rx.replace('(?md)', '(?m)')))}, {D.q(rep)}, 'g')"
     return out
 
 
@@ -170,7 +170,7 @@ select doc_id, {D.q(kind)} as kind, cast(ord as int) as ordinal, value,
        when instr(text, value) * 3 <= 2 * length(text) then 'middle' else 'end' end as position,
   substring(text, greatest(1, instr(text, value) - 30), length(value) + 60) as context
 from (select doc_id, text, unnest(l) as value, generate_subscripts(l, 1) as ord
-      from (select doc_id, text, regexp_extract_all(text, {D.q(rx)}, {grp}) as l from documents) a) b""")
+      from (select doc_id, text, regexp_extract_all(text, {D.q(P.to_re2(rx))}, {grp}) as l from documents) a) b""")
     return "\nunion all\n".join(parts)
 
 

@@ -13,7 +13,7 @@ from silverline.plans.registry import register
 
 
 def _duck_score(col: str, pats) -> str:
-    terms = " + ".join(f"cast(regexp_matches(lower({col}), {D.q(P.py_to_portable(p))}) as int)" for p in pats)
+    terms = " + ".join(f"cast(regexp_matches(lower({col}), {D.q(P.to_re2(P.py_to_portable(p)))}) as int)" for p in pats)
     return f"({terms})"
 
 
