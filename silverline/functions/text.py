@@ -22,6 +22,16 @@ def _lit(s: str) -> Column:
     return F.lit(s)
 
 
+def _guarded(col, guard: str, chain) -> Column:
+    """``chain(x)`` where ``x`` matches ``guard``, else ``x`` - with ``x`` evaluated ONCE.
+
+    ``x`` is bound as the variable of a one-element ``transform`` (a let-binding):
+    written as ``when(x rlike g, chain(x)).otherwise(x)`` the input expression would be
+    copied three times and nested steps would re-run their inputs many times over.
+    """
+    return F.transform(F.array(_c(col)), lambda v: F.when(v.rlike(guard), chain(v)).otherwise(v))[0]
+
+
 # ---------------------------------------------------------------------------
 # Regex helpers
 # ---------------------------------------------------------------------------
@@ -75,11 +85,14 @@ MOJIBAKE_GUARD = "[ÃÄÅÆ]|á[º»]"
 
 def fix_mojibake(col, include_upper: bool = True, legacy_space_a_grave: bool = False) -> Column:
     """TXT1: repair Vietnamese text that was UTF-8 decoded as cp1252."""
-    c = _c(col)
-    out = c
-    for bad, good in mojibake_pairs(include_upper, legacy_space_a_grave):
-        out = F.replace(out, _lit(bad), _lit(good))
-    return F.when(c.rlike(MOJIBAKE_GUARD), out).otherwise(c)
+    pairs = mojibake_pairs(include_upper, legacy_space_a_grave)
+
+    def chain(v):
+        for bad, good in pairs:
+            v = F.replace(v, _lit(bad), _lit(good))
+        return v
+
+    return _guarded(col, MOJIBAKE_GUARD, chain)
 
 
 # ---------------------------------------------------------------------------
@@ -105,11 +118,12 @@ TONE_GUARD = _first_char_guard(P.TONE_PAIRS)
 
 def normalize_tone(col) -> Column:
     """TXT3: move tone marks to the main vowel (16 literal replacements, in order)."""
-    c = _c(col)
-    out = c
-    for old, new in P.TONE_PAIRS:
-        out = F.replace(out, _lit(old), _lit(new))
-    return F.when(c.rlike(TONE_GUARD), out).otherwise(c)
+    def chain(v):
+        for old, new in P.TONE_PAIRS:
+            v = F.replace(v, _lit(old), _lit(new))
+        return v
+
+    return _guarded(col, TONE_GUARD, chain)
 
 
 #: Python's ``\b`` before a word character / after one, as lookarounds (no zero-width alternation).
@@ -143,11 +157,12 @@ ADDRESS_GUARD = "(?iu)" + _word_bounded(
 
 def expand_address(col) -> Column:
     """TXT4: expand Vietnamese address abbreviations (case-insensitive, word-bounded)."""
-    c = _c(col)
-    out = c
-    for rx, rep in address_regexes():
-        out = F.regexp_replace(out, rx, rep)
-    return F.when(c.rlike(ADDRESS_GUARD), out).otherwise(c)
+    def chain(v):
+        for rx, rep in address_regexes():
+            v = F.regexp_replace(v, rx, rep)
+        return v
+
+    return _guarded(col, ADDRESS_GUARD, chain)
 
 
 def currency_regexes():
@@ -165,11 +180,12 @@ CURRENCY_GUARD = f"(?iu){_BEFORE_WORD}(?:" + "|".join(java_quote(w) for w in P.C
 
 def normalize_currency(col) -> Column:
     """TXT5: currency words -> VNĐ, then exactly one space between amount and VNĐ."""
-    c = _c(col)
-    out = c
-    for rx, rep in currency_regexes():
-        out = F.regexp_replace(out, rx, rep)
-    return F.when(c.rlike(CURRENCY_GUARD), out).otherwise(c)
+    def chain(v):
+        for rx, rep in currency_regexes():
+            v = F.regexp_replace(v, rx, rep)
+        return v
+
+    return _guarded(col, CURRENCY_GUARD, chain)
 
 
 def ocr_noise_regexes():

@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from silverline.functions import patterns as P
+from silverline.functions import sqltext as Q
 from silverline.functions import types as TY
 from silverline.functions.text import strip_ws
+from silverline.session import spread
 
 CHUNK_COLUMNS = 40
 STAT_FIELDS = ["non_null", "m_numeric", "m_date", "m_phone", "m_email", "m_money",
@@ -52,40 +54,42 @@ def _zero() -> Column:
 
 
 def _column_stats(name: str, dtype: T.DataType) -> Column:
-    """One struct of aggregates describing a column (same field layout for every column)."""
-    c = F.col(f"`{name}`")
-    present = _non_null(c, dtype)
-    s = c.cast("string")
+    """One struct of aggregates describing a column (same field layout for every column).
+
+    Written as SQL text so a wide table costs one call per column to build.
+    """
+    c = Q.ident(name)
+    present = f"({c} IS NOT NULL AND NOT isnan({c}))" if isinstance(dtype, (T.FloatType, T.DoubleType)) \
+        else f"({c} IS NOT NULL)"
     if _is_string(dtype):
-        raw = c
-        stripped = strip_ws(c)
-        no_comma = F.replace(raw, F.lit(","), F.lit(""))
+        st = Q.strip(c)
+        no_comma = Q.drop(c, ",")
         fields = {
             # inference (values as stored, reference's samples are not stripped)
-            "m_numeric": _count_if(no_comma.rlike(P.DETECT_NUMERIC)),
-            "m_date": _count_if(raw.rlike(P.VALIDATOR_PATTERNS["date_vn"])),
-            "m_phone": _count_if(raw.rlike(P.VALIDATOR_PATTERNS["phone"])),
-            "m_email": _count_if(raw.rlike(P.VALIDATOR_PATTERNS["email"])),
-            "m_money": _count_if(raw.rlike(P.VALIDATOR_PATTERNS["money_vn"])),
+            "m_numeric": Q.count_if(Q.rlike(no_comma, P.DETECT_NUMERIC)),
+            "m_date": Q.count_if(Q.rlike(c, P.VALIDATOR_PATTERNS["date_vn"])),
+            "m_phone": Q.count_if(Q.rlike(c, P.VALIDATOR_PATTERNS["phone"])),
+            "m_email": Q.count_if(Q.rlike(c, P.VALIDATOR_PATTERNS["email"])),
+            "m_money": Q.count_if(Q.rlike(c, P.VALIDATOR_PATTERNS["money_vn"])),
             # validity per candidate type (values stripped)
-            "v_numeric": _count_if(TY.plain_number(F.replace(F.replace(stripped, F.lit(","), F.lit("")),
-                                                           F.lit(" "), F.lit(""))).isNotNull()),
-            "v_date": _count_if(stripped.rlike(P.VALIDATOR_PATTERNS["date_vn"])),
-            "v_phone": _count_if(stripped.rlike(P.VALIDATOR_PATTERNS["phone"])),
-            "v_email": _count_if(stripped.rlike(P.VALIDATOR_PATTERNS["email"])),
-            "v_money": _count_if(stripped.rlike(P.VALIDATOR_PATTERNS["money_vn"])),
+            "v_numeric": Q.count_if(f"({Q.plain_number(Q.drop(st, ',', ' '))}) IS NOT NULL"),
+            "v_date": Q.count_if(Q.rlike(st, P.VALIDATOR_PATTERNS["date_vn"])),
+            "v_phone": Q.count_if(Q.rlike(st, P.VALIDATOR_PATTERNS["phone"])),
+            "v_email": Q.count_if(Q.rlike(st, P.VALIDATOR_PATTERNS["email"])),
+            "v_money": Q.count_if(Q.rlike(st, P.VALIDATOR_PATTERNS["money_vn"])),
             # cleaner's detection (TYP1): drop "," and " " before the numeric test
-            "d_numeric": _count_if(F.replace(no_comma, F.lit(" "), F.lit("")).rlike(P.DETECT_NUMERIC)),
-            "d_date1": _count_if(raw.rlike(P.DETECT_DATES[0])),
-            "d_date2": _count_if(raw.rlike(P.DETECT_DATES[1])),
+            "d_numeric": Q.count_if(Q.rlike(Q.drop(c, ",", " "), P.DETECT_NUMERIC)),
+            "d_date1": Q.count_if(Q.rlike(c, P.DETECT_DATES[0])),
+            "d_date2": Q.count_if(Q.rlike(c, P.DETECT_DATES[1])),
             # anomalies
-            "long_count": _count_if(F.length(raw) > P.LONG_STRING_CHARS),
-            "blank_count": _count_if(stripped == ""),
+            "long_count": Q.count_if(f"length({c}) > {P.LONG_STRING_CHARS}"),
+            "blank_count": Q.count_if(f"coalesce({st} = '', false)"),
         }
     else:
-        fields = {"d_numeric": _count_if(present & F.replace(s, F.lit(","), F.lit("")).rlike(P.DETECT_NUMERIC))}
-    fields["non_null"] = _count_if(present)
-    return F.struct(*[fields.get(k, _zero()).alias(k) for k in STAT_FIELDS])
+        fields = {"d_numeric": Q.count_if(f"{present} AND {Q.rlike(Q.drop(f'CAST({c} AS STRING)', ','), P.DETECT_NUMERIC)}")}
+    fields["non_null"] = Q.count_if(present)
+    body = ", ".join(f"{Q.lit(k)}, {fields.get(k, 'CAST(0 AS BIGINT)')}" for k in STAT_FIELDS)
+    return F.expr(f"named_struct({body})")
 
 
 def column_stats(df: DataFrame, columns: list[str] | None = None, group_by: list[str] | None = None) -> DataFrame:
@@ -103,6 +107,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, group_by: list
                   "non_null bigint")
         return df.sparkSession.createDataFrame([], schema)
     chunks = [fields[i:i + CHUNK_COLUMNS] for i in range(0, len(fields), CHUNK_COLUMNS)]
+    df = spread(df)  # regex-heavy: use every core even when the input is one coarse split
     parts = []
     offset = 0
     for chunk in chunks:

@@ -1,8 +1,8 @@
 """Bronze -> silver cleaning (CAT6) and type coercion (TYP3, TYP4).
 
 Plan: every text step (mojibake, whitespace, Vietnamese normalization) is
-fused into ONE projection; the result is checkpointed once into the shared
-checkpoint folder so the expensive regex chain runs once; one aggregation
+fused into ONE projection; the result is written once as Parquet into the
+shared checkpoint folder (lineage cut) so the expensive regex chain runs once; one aggregation
 pass then decides type conversions and counts changes (a single row reaches
 the driver); a final projection applies the conversions.  No row is ever
 dropped, so the data-loss check can only warn about cells that became null
@@ -11,7 +11,7 @@ during conversion.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,8 @@ from silverline.functions import types as TY
 from silverline.operators import integrity as IN
 from silverline.operators import profile as PR
 from silverline.operators.columns import normalize_names
-from silverline.session import shared_dir
+from silverline.session import materialize as materialize_table
+from silverline.session import spread
 
 
 def _is_string(dt) -> bool:
@@ -38,8 +39,9 @@ def _numeric_text(c, variant: str):
     return TY.plain_number(out)
 
 
-def _coercion_stats(df: DataFrame, cols: list[str], variant: str) -> dict:
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+def _coercion_stats(df: DataFrame, cols: list[str], variant: str, extra=()) -> dict:
+    df = spread(df)
+    aggs = [F.count(F.lit(1)).alias("__rows"), *extra]
     for i, name in enumerate(cols):
         c = F.col(f"`{name}`")
         no_sep = F.replace(F.replace(c, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
@@ -54,16 +56,18 @@ def _coercion_stats(df: DataFrame, cols: list[str], variant: str) -> dict:
     return df.agg(*aggs).collect()[0].asDict()
 
 
-def coercion_plan(df: DataFrame, gate: float = P.COERCE_SHARE, variant: str = "cleaner") -> list[dict]:
+def coercion_plan(df: DataFrame, gate: float = P.COERCE_SHARE, variant: str = "cleaner",
+                  stats: dict | None = None) -> list[dict]:
     """Decide conversions for string columns (one aggregation, one row to the driver).
 
     cleaner (TYP3): detect numeric/date (> 70 % of non-nulls look like it), convert when
     more than ``gate`` of ALL rows convert.  extractor (TYP4): try numeric, then date, same gate.
+    ``stats`` may carry the row of an aggregation already run (see ``clean``).
     """
     cols = [f.name for f in df.schema.fields if _is_string(f.dataType)]
     if not cols:
         return []
-    st = _coercion_stats(df, cols, variant)
+    st = stats if stats is not None else _coercion_stats(df, cols, variant)
     rows = st["__rows"]
     plan = []
     for i, name in enumerate(cols):
@@ -114,12 +118,22 @@ def coerce_columns(df: DataFrame, gate: float = P.COERCE_SHARE, variant: str = "
     return apply_coercion(df, plan, variant), report
 
 
-@dataclass
 class CleanResult:
-    data: DataFrame
-    actions: DataFrame
-    anomalies: DataFrame
-    integrity: DataFrame
+    """Cleaned rows plus report frames; the reports are built on first access only."""
+
+    def __init__(self, original: DataFrame, data: DataFrame, actions: DataFrame, n_actions: int):
+        self.original = original
+        self.data = data
+        self.actions = actions
+        self._n_actions = n_actions
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return PR.anomaly_report(self.data)
+
+    @cached_property
+    def integrity(self) -> DataFrame:
+        return IN.integrity_report(self.original, self.data, actions=self._n_actions)
 
 
 def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_space_a_grave: bool = False,
@@ -134,24 +148,31 @@ def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_s
     new_names = normalize_names([f.name for f in fields], keep_internal=keep_internal)
     strings = [i for i, f in enumerate(fields) if _is_string(f.dataType) and not
                (keep_internal and f.name.startswith("_"))]
+    # step-wise projections: each step's output is a column the next step reads once
+    # (Catalyst keeps projections apart when an expensive alias is read twice)
+    step1 = df.select(*[
+        (X.fix_mojibake(F.col(f"`{f.name}`"), legacy_space_a_grave=legacy_space_a_grave) if i in strings
+         else F.col(f"`{f.name}`")).alias(f"__c{i}") for i, f in enumerate(fields)])
+    step2 = step1.select(*[F.col(f"__c{i}") for i in range(len(fields))],
+                         *[X.collapse_ws(F.col(f"__c{i}")).alias(f"__w{i}") for i in strings])
     proj = []
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
+    for i in range(len(fields)):
         if i in strings:
-            step1 = X.fix_mojibake(c, legacy_space_a_grave=legacy_space_a_grave)
-            step2 = X.collapse_ws(step1)
-            proj.append(X.deep_normalize(step2).alias(new_names[i]))
-            proj.append((~step1.eqNullSafe(step2)).alias(f"__ws{i}"))
+            proj.append(X.deep_normalize(F.col(f"__w{i}")).alias(new_names[i]))
+            proj.append((~F.col(f"__c{i}").eqNullSafe(F.col(f"__w{i}"))).alias(f"__ws{i}"))
         else:
-            proj.append(c.alias(new_names[i]))
-    normalized = df.select(*proj)
+            proj.append(F.col(f"__c{i}").alias(new_names[i]))
+    normalized = step2.select(*proj)
     if materialize:
-        shared_dir(spark, "clean")
-        normalized = normalized.checkpoint(eager=True)
-    ws_counts = normalized.agg(*[F.count_if(F.col(f"__ws{i}")).alias(f"w{i}") for i in strings]).collect()[0].asDict() \
-        if strings else {}
-    body = normalized.select(*new_names)
-    plan = coercion_plan(body, variant="cleaner")
+        normalized = materialize_table(normalized, "clean")
+    body_cols = [c for c in normalized.columns if not c.startswith("__ws")]
+    string_names = [f.name for f in normalized.schema.fields if f.name in body_cols and _is_string(f.dataType)]
+    # one aggregation: whitespace change counts + every conversion statistic (one row to the driver)
+    st = _coercion_stats(normalized, string_names, "cleaner",
+                         extra=[F.count_if(F.col(f"__ws{i}")).alias(f"w{i}") for i in strings])
+    ws_counts = {f"w{i}": st[f"w{i}"] for i in strings}
+    body = normalized.select(*body_cols)
+    plan = coercion_plan(body, variant="cleaner", stats=st)
     cleaned = apply_coercion(body, plan, "cleaner")
 
     actions = []
@@ -167,10 +188,9 @@ def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_s
         actions.append(("type_convert", p["column"], None, float(p["success_rate"])))
     actions_df = spark.createDataFrame(
         actions, "action string, column string, rows_affected bigint, success_rate double")
-    anomalies = PR.anomaly_report(cleaned)
-    integrity = IN.integrity_report(df, cleaned, actions=len(actions))
     if strict:
-        lost = integrity.select("data_loss").first()[0]
+        # the check needs counts only, not the fingerprints of the full report
+        lost = IN.data_loss_check(df, cleaned).select("data_loss").first()[0]
         if lost:
             raise ValueError("data loss detected during cleaning")
-    return CleanResult(cleaned, actions_df, anomalies, integrity)
+    return CleanResult(df, cleaned, actions_df, len(actions))

@@ -18,8 +18,18 @@ BASE_TABLES = [
 ]
 
 
+#: Tables whose rows carry long texts: regex work on them is spread over all cores.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A base table; text tables are spread over the cores when their file is one coarse split."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from silverline.session import spread
+
+        df = spread(df)
+    return df
 
 
 _REGISTERED: dict[tuple[int, str], str] = {}

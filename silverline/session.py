@@ -86,3 +86,36 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFram
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if rows_at_most(df, limit) else df
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a CPU-heavy input over the cluster when it comes from too few files.
+
+    A small file with one row group is read by one task however many splits it
+    has; text regexes over it would then run on one core.  When the plan reads
+    fewer files than ``factor`` x default parallelism, the input is repartitioned;
+    a large input (thousands of files) is left alone, so no shuffle is added at
+    scale.  The check counts input files inside the JVM (no job, no plan
+    execution).  Spark sorts before a round-robin repartition, so a retried task
+    sees the same rows.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    files = len(df._jdf.inputFiles())
+    if 0 < files < target:
+        return df.repartition(target)
+    return df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` once as Parquet under the shared checkpoint folder, read it back.
+
+    Unlike ``DataFrame.checkpoint`` (which recomputes an unpersisted plan to write
+    its files) the plan runs exactly once; the files live in the cluster's shared
+    folder, so a lost executor re-reads them instead of recomputing the lineage.
+    Every call writes a fresh sub-folder; nothing is cleared.
+    """
+    import uuid
+
+    path = shared_dir(df.sparkSession, f"{name}/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
