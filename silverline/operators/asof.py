@@ -34,8 +34,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
               bucket_seconds: float = 86400.0, tiebreak: list[str] | None = None) -> DataFrame:
     """LEFT as-of join: right row with the greatest ``right_on <= left_on`` per ``by`` key.
 
-    Equal right times are broken by ``tiebreak`` columns of ``right`` (default: all of them,
-    descending), so the result is deterministic.  Left rows without a match keep nulls.
+    Equal right times are broken by ``tiebreak`` columns of ``right`` (default: all of them;
+    the largest wins), so the result is deterministic.  Left rows without a match keep nulls.
     """
     rcols = [c for c in right.columns if c not in by]
     tb = tiebreak or [c for c in rcols if c != right_on]
@@ -54,7 +54,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
         F.struct(*[F.col(c) for c in rcols]).alias("__r"),
     )
     both = l_.unionByName(r_)
-    order = [F.col("__t"), F.col("__side")] + [F.col(f"__r.{c}").desc_nulls_last() for c in tb]
+    # equal right times: ascending tie-break, so the last row carried forward is the largest
+    # (the same row max_by picks for the per-bucket carry below)
+    order = [F.col("__t"), F.col("__side")] + [F.col(f"__r.{c}").asc_nulls_first() for c in tb]
     w = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matched = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).where(F.col("__side") == 1)
 

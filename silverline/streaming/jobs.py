@@ -103,6 +103,9 @@ def rate_windows(spark: SparkSession, source_dir: str, schema, keys: DataFrame,
                  max_files_per_trigger: int | None = None, available_now: bool = True):
     """STM2: requests per API key per tumbling window; rows later than the watermark are dropped.
 
+    As in Spark 3.4+, an input row is late when it is older than the watermark of the
+    previous micro-batch (the current batch's watermark only evicts state).
+
     Each update is enriched with the key's plan rate limit (keys -> users -> plans, all small
     and broadcast after a size check) and an ``over_limit`` flag.
     """
