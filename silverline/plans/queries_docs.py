@@ -73,7 +73,9 @@ from ({DUCK_PROVENANCE_DOCS}) p
 where contains(lower(concat_ws(' ', cast(doc_id as varchar), content, lang, cast(n_chars as varchar))),
                {D.q(SEARCH_TERM)})""")
 def q_provenance_search(spark, sf_dir):
-    hits = S.provenance_search(provenance_docs(spark, sf_dir), SEARCH_TERM)
+    from silverline.plans.fixtures import derived
+
+    hits = S.provenance_search(provenance_docs(spark, sf_dir), SEARCH_TERM, datasets=derived(spark, sf_dir, "datasets"))
     return hits.select("doc_id", F.md5("content").alias("content_md5"), "lang", "n_chars", "prov_source_file",
                        "prov_file_type", "prov_row_number", "prov_dataset_id")
 

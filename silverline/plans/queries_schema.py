@@ -319,3 +319,33 @@ def q_decode(spark, sf_dir):
         F.md5(X.decode_bytes(F.encode("text", "UTF-8"))).alias("utf8_md5"),
         F.md5(X.decode_bytes(F.encode("text", "ISO-8859-1"))).alias("latin1_md5"),
     )
+
+
+# ---------------------------------------------------------------------------
+# FLT4: every anchored pattern, validator and cleaner variants
+# ---------------------------------------------------------------------------
+
+_FLAG_COLS = [("phone", "phone", False), ("email", "email", False), ("balance_text", "money_vn", False),
+              ("balance_text", "percentage", False), ("phone", "phone", True), ("balance_text", "money", True),
+              ("c_custkey_text", "cccd", True), ("c_custkey_text", "tax_code", True), ("date_text", "date_vn", False)]
+
+
+def _flag_name(col, kind, cleaner):
+    return f"{col}_{'c_' if cleaner else ''}{kind}"
+
+
+@register("pattern_flags_dirty_customer", ["FLT4"], duck_with("dirty_customer") + "select c_custkey, " + ", ".join(
+    f"{D.rx(c, (P.CLEANER_PATTERNS if cl else P.VALIDATOR_PATTERNS)[k])} as {_flag_name(c, k, cl)}"
+    for c, k, cl in _FLAG_COLS) + """ from (select *, lpad(cast(c_custkey as varchar), 12, '0') as c_custkey_text,
+  concat(cast(c_custkey % 28 + 1 as varchar), '/', cast(c_custkey % 12 + 1 as varchar), '/24') as date_text
+  from dirty_customer) t""")
+def q_pattern_flags(spark, sf_dir):
+    from silverline.functions.types import pattern_is
+
+    dc = derived(spark, sf_dir, "dirty_customer").withColumns({
+        "c_custkey_text": F.lpad(F.col("c_custkey").cast("string"), 12, "0"),
+        "date_text": F.concat((F.col("c_custkey") % 28 + 1).cast("string"), F.lit("/"),
+                              (F.col("c_custkey") % 12 + 1).cast("string"), F.lit("/24")),
+    })
+    return dc.select("c_custkey", *[F.coalesce(pattern_is(c, k, cl), F.lit(False)).alias(_flag_name(c, k, cl))
+                                    for c, k, cl in _FLAG_COLS])

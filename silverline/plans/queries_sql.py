@@ -399,3 +399,50 @@ def q_asof(spark, sf_dir):
         "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
     return asof_join(p, v, by=["user_id"], left_on="ts", right_on="view_ts").select(
         "event_id", "user_id", "ts", "view_id", "view_ts", "view_value")
+
+
+@register("run_sql_capped", ["LIM2", "CAT2"], """
+select l_orderkey, l_linenumber, l_extendedprice from lineitem
+order by l_extendedprice desc, l_orderkey, l_linenumber limit 1000""")
+def q_run_sql_capped(spark, sf_dir):
+    register_base(spark, sf_dir, ["lineitem"])
+    # the user's text keeps its own ORDER BY and a trailing ';'; the cap is applied with .limit
+    return run_sql(spark, "select l_orderkey, l_linenumber, l_extendedprice from lineitem "
+                          "order by l_extendedprice desc, l_orderkey, l_linenumber;", limit=1000)
+
+
+@register("sql_logged_runs", ["CAT2", "CAT7"])
+def q_logged_runs(spark, sf_dir):
+    from silverline.operators.catalog import run_sql_logged
+
+    register_base(spark, sf_dir, ["orders"])
+    logs = []
+    for text in ["select o_orderstatus, count(*) from orders group by o_orderstatus",
+                 "select * from orders where o_totalprice > 400000",
+                 "select no_such_column from orders"]:
+        _, log = run_sql_logged(spark, text, user_id="u1", executed_at="2024-01-31 00:00:00")
+        logs.append(log)
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return out.select("query_text", "status", "row_count")
+
+
+@register("sql_ctas_insert", ["DCT2"], """
+select o_orderstatus, n from (
+  select o_orderstatus, count(*) as n from orders where o_orderpriority = '1-URGENT' group by o_orderstatus
+  union all
+  select o_orderstatus, count(*) from orders where o_orderpriority = '5-LOW' group by o_orderstatus) t""")
+def q_ctas_insert(spark, sf_dir):
+    import uuid
+
+    from silverline.session import shared_dir
+
+    register_base(spark, sf_dir, ["orders"])
+    name = f"ctas_{uuid.uuid4().hex[:10]}"
+    loc = shared_dir(spark, f"tables/{name}")
+    spark.sql(f"create table {name} using parquet location '{loc}' as "
+              "select o_orderstatus, count(*) as n from orders where o_orderpriority = '1-URGENT' group by o_orderstatus")
+    spark.sql(f"insert into {name} select o_orderstatus, count(*) from orders "
+              "where o_orderpriority = '5-LOW' group by o_orderstatus")
+    return spark.table(name)

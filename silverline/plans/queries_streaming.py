@@ -85,3 +85,15 @@ def q_stream_daily(spark, sf_dir):
     J.daily_counters(spark, src, schema, out, ckpt, max_files_per_trigger=FILES_PER_CHUNK)
     final = J.latest_per_key(spark.read.parquet(out), ["api_key_id", "date"])
     return final.select("api_key_id", "date", "requests", "bytes")
+
+
+@register("stream_ingest_status", ["CAT8", "STM1"], """
+select source as dataset_id, 'success' as status from documents group by source""")
+def q_stream_status(spark, sf_dir):
+    src, out, ckpt = _dirs(spark, "status")
+    docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
+    hi = docs.agg(F.max("doc_id")).first()[0] + 1
+    _write_chunks(docs, src, "doc_id", [(0, hi // 2), (hi // 2, hi)])
+    J.incremental_ingest(spark, src, docs.schema, out, ckpt, "source", "doc_id", ["text"],
+                         max_files_per_trigger=FILES_PER_CHUNK)
+    return J.dataset_status(spark, out).select("dataset_id", "status")

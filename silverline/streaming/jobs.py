@@ -59,7 +59,24 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
     stream = reader.parquet(source_dir)
     totals_root = sink.rstrip("/") + "_totals"
 
+    status_root = sink.rstrip("/") + "_status"
+
+    def record(batch: DataFrame, epoch_id: int, status: str, message: str | None):
+        """CAT8: one status row per dataset seen in the batch (success, or error + message)."""
+        batch.select(dataset_col).distinct().select(
+            F.col(dataset_col).alias("dataset_id"), F.lit(epoch_id).cast("bigint").alias("batch_id"),
+            F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message"),
+        ).write.mode("overwrite").parquet(_batch_path(status_root, epoch_id))
+
     def handle(batch: DataFrame, epoch_id: int):
+        try:
+            process(batch, epoch_id)
+        except Exception as e:  # noqa: BLE001 - a bad batch is recorded, then the query stops
+            record(batch, epoch_id, "error", str(e)[:1000])
+            raise
+        record(batch, epoch_id, "success", None)
+
+    def process(batch: DataFrame, epoch_id: int):
         cleaned = batch.withColumns({c: X.collapse_ws(X.fix_mojibake(c)) for c in text_cols})
         numbered = number_rows(cleaned, [dataset_col], [order_col], out="__local")
         try:
@@ -84,6 +101,13 @@ def read_ingested(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).drop("_batch")
 
 
+def dataset_status(spark: SparkSession, sink: str) -> DataFrame:
+    """CAT8: latest status per dataset over all ingest batches (error message kept)."""
+    st = spark.read.parquet(sink.rstrip("/") + "_status").drop("_batch")
+    w = Window.partitionBy("dataset_id").orderBy(F.col("batch_id").desc())
+    return st.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
 # ---------------------------------------------------------------------------
 # STM2 per-minute request windows vs plan limits, STM3 live daily counters
 # ---------------------------------------------------------------------------
