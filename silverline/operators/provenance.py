@@ -12,9 +12,12 @@ dataset may hold a third of all rows).  ``number_rows`` therefore works like
    sum per dataset;
 4. that small table is joined back (broadcast after a size check).
 
-Both uses of the range-partitioned data read the same shuffle (Spark reuses
-the exchange), so partition ids agree; a lost executor recomputes the same
-partition from the same range bounds.
+The partition id and position of every row are persisted once (Parquet in the
+shared checkpoint folder) before the slice table is derived: two separate
+range exchanges would each sample their own bounds, and at scale those bounds
+(hence partition ids) could differ between the two uses.  Reading the
+persisted copy twice - thin for the slice counts, full for the join - keeps
+them consistent and survives lost executors.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from silverline.functions.text import content_hash
-from silverline.session import maybe_broadcast
+from silverline.session import materialize, maybe_broadcast
 
 INTERNAL_PREFIX = "_"
 
@@ -42,11 +45,12 @@ def number_rows(df: DataFrame, partition_by: list[str], order_by: list[str], out
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_by + order_by]
-    ranged = (
+    ranged = materialize(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("__pid", F.spark_partition_id())
-        .withColumn("__pos", F.monotonically_increasing_id())
+        .withColumn("__pos", F.monotonically_increasing_id()),
+        "row_numbers",
     )
     slices = ranged.groupBy("__pid", *partition_by).agg(
         F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n")

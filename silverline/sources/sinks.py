@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 def write_dataset(df: DataFrame, root: str, partition_col: str = "_dataset_id", mode: str = "overwrite") -> str:
     """SNK1: write rows under ``root`` partitioned by dataset; only touched partitions are replaced.
 
-    Rows are clustered by the partition column first so each task writes few files; a hot
-    dataset is still spread over many tasks because the clustering is by range, not hash.
+    Rows are range-clustered by (dataset, row number) - or (dataset, content hash) when
+    there is no row number - so each task writes a contiguous slice of few datasets, and a
+    dataset holding a third of all rows is split over many tasks instead of one.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (df.repartitionByRange(partition_col)
+    second = F.col("_row_number") if "_row_number" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    (df.repartitionByRange(F.col(partition_col), second)
        .write.mode(mode).partitionBy(partition_col).parquet(root))
     return root
 
