@@ -296,7 +296,7 @@ from lineitem"""),
 select vec_id, label, size(embedding) as dims, round(aggregate(embedding, 0D, (acc, x) -> acc + x), 4) as total,
   size(filter(embedding, x -> x > 0)) as positives, round(element_at(embedding, 1), 6) as first_elem,
   size(slice(embedding, 2, 5)) as sliced, round(array_max(transform(embedding, x -> abs(x))), 6) as max_abs,
-  round(sort_array(embedding)[0], 6) as min_sorted, sequence(1, label + 1) as seq
+  round(sort_array(embedding)[0], 6) as min_sorted, sequence(1L, cast(label as bigint) + 1) as seq
 from embeddings""", """
 select vec_id, label, len(embedding) as dims, round(list_reduce(list_transform(embedding, lambda x: x::double),
   lambda acc, x: acc + x, 0::double), 4) as total,
