@@ -102,6 +102,37 @@ CONTEXT_TOTAL_CHARS = 50000
 #: Raw-document excerpt length of the external documents listing.
 RAW_DOCUMENT_CHARS = 10000
 
+#: Report texts (printf-style templates), in the order the reports emit them.
+MESSAGES = {
+    "not_numeric": "%d values cannot be converted to number",
+    "high_nulls": "High null rate: %d/%d",
+    "low_validity": "Column '%s' has low validity: %.1f%%",
+    "rec_below_80": "⚠️ Data quality below 80%. Review source data before using for queries.",
+    "rec_fill_nulls": "📊 Column '%s': Consider filling or removing null values",
+    "rec_needs_cleaning": "🔧 Column '%s': %d values need cleaning",
+    "rec_excellent": "✅ Excellent data quality! Ready for Gold Layer promotion.",
+    "rec_good": "👍 Good data quality. Minor cleanup recommended.",
+    "warn_nulls": "Column '%s': %d null values (%.1f%%)",
+    "warn_long": "Column '%s': %d extremely long values (>10000 chars)",
+    "warn_empty": "Column '%s': %d empty string values",
+    "err_rows": "Row count decreased: %d -> %d (%d lost)",
+    "err_columns": "Column count decreased: %d -> %d",
+    "warn_non_null": "Non-null value count changed: %d -> %d",
+}
+#: Recommendation thresholds: score below, null share above, invalid count above, score at least.
+REC_LOW_SCORE = 80.0
+REC_NULL_SHARE = 0.3
+REC_INVALID_COUNT = 10
+REC_GOOD_SCORE = 85.0
+HIGH_NULL_SHARE = 0.5
+LOW_QUALITY_NULL_SHARE = 0.4
+#: Context hint types and the context block layout.
+HINT_MULTIPLE_SOURCES = "multiple_sources"
+HINT_MULTIPLE_MATCHES = "multiple_matches"
+CONTEXT_HEADER = ("=== ", " ===\n")
+CONTEXT_SEPARATOR = "\n\n"
+FILE_BULLET = "• "
+
 # ---------------------------------------------------------------------------
 # Portable character classes (same meaning in Java, RE2 and Python's ``re``)
 # ---------------------------------------------------------------------------

@@ -33,7 +33,7 @@ def context_blocks(docs: DataFrame, group_col: str, name_col: str, text_col: str
     return d.select(
         group_col, F.col(name_col).alias("file"), F.col(order_col or name_col).alias("order"),
         F.col("__n").alias("files"), budget.alias("budget"),
-        F.concat(F.lit("=== "), F.col(name_col), F.lit(" ===\n"),
+        F.concat(F.lit(P.CONTEXT_HEADER[0]), F.col(name_col), F.lit(P.CONTEXT_HEADER[1]),
                  F.substring(F.coalesce(F.col(text_col), F.lit("")), F.lit(1), budget)).alias("block"),
     )
 
@@ -49,8 +49,8 @@ def pack_context(docs: DataFrame, group_col: str, name_col: str, text_col: str,
     )
     return agg.select(
         group_col, "files",
-        F.array_join(F.transform("__b", lambda x: x["block"]), "\n\n").alias("context"),
-        F.array_join(F.transform("__b", lambda x: F.concat(F.lit("• "), x["file"])), "\n").alias("file_list"),
+        F.array_join(F.transform("__b", lambda x: x["block"]), P.CONTEXT_SEPARATOR).alias("context"),
+        F.array_join(F.transform("__b", lambda x: F.concat(F.lit(P.FILE_BULLET), x["file"])), "\n").alias("file_list"),
     )
 
 

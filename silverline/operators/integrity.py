@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silverline.functions import patterns as P
+
 
 def change_counts(df: DataFrame, pairs: list[tuple[str, str, str]], action: str) -> DataFrame:
     """AGG7: rows changed per column by one step.
@@ -80,14 +82,14 @@ def data_loss_check(before: DataFrame, after: DataFrame, tolerance: float = 0.99
         "*",
         (rows_lost | cols_lost).alias("data_loss"),
         F.array_compact(F.array(
-            F.when(rows_lost, F.format_string("Row count decreased: %d -> %d (%d lost)", F.col("original_rows"),
+            F.when(rows_lost, F.format_string(P.MESSAGES["err_rows"], F.col("original_rows"),
                                               F.col("cleaned_rows"), F.col("original_rows") - F.col("cleaned_rows"))),
-            F.when(cols_lost, F.format_string("Column count decreased: %d -> %d", F.col("original_columns"),
+            F.when(cols_lost, F.format_string(P.MESSAGES["err_columns"], F.col("original_columns"),
                                               F.col("cleaned_columns"))),
         )).alias("errors"),
         F.array_compact(F.array(
             F.when(F.col("cleaned_non_null") < F.col("original_non_null") * F.lit(tolerance),
-                   F.format_string("Non-null value count changed: %d -> %d", F.col("original_non_null"),
+                   F.format_string(P.MESSAGES["warn_non_null"], F.col("original_non_null"),
                                    F.col("cleaned_non_null"))),
         )).alias("warnings"),
     )

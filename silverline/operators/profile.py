@@ -208,9 +208,9 @@ def validate_columns(df: DataFrame, expected_schema: dict[str, str] | None = Non
     )
     issues = F.array_compact(F.array(
         F.when((et == "numeric") & (F.col("invalid_count") > 0),
-               F.format_string("%d values cannot be converted to number", F.col("invalid_count"))),
-        F.when(F.col("null_count") > F.col("total_rows") * F.lit(0.5),
-               F.format_string("High null rate: %d/%d", F.col("null_count"), F.col("total_rows"))),
+               F.format_string(P.MESSAGES["not_numeric"], F.col("invalid_count"))),
+        F.when(F.col("null_count") > F.col("total_rows") * F.lit(P.HIGH_NULL_SHARE),
+               F.format_string(P.MESSAGES["high_nulls"], F.col("null_count"), F.col("total_rows"))),
     ))
     return out.select(
         *group_by, "ordinal", "column_name", "expected_type", "actual_type", "valid_count", "invalid_count",
@@ -262,7 +262,7 @@ def table_quality(validation: DataFrame, table_name: str = "table", group_by: li
         F.coalesce(F.max("total_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
         F.sort_array(F.collect_list(F.when(
             F.col("valid_percentage") < P.LOW_VALIDITY_ISSUE,
-            F.struct("ordinal", F.format_string("Column '%s' has low validity: %.1f%%", F.col("column_name"),
+            F.struct("ordinal", F.format_string(P.MESSAGES["low_validity"], F.col("column_name"),
                                                 F.col("valid_percentage")).alias("msg")),
         ))).alias("__issues"),
     )
@@ -281,17 +281,17 @@ def recommendations(validation: DataFrame, quality: DataFrame) -> DataFrame:
     """AGG5: recommendation lines (score rules then column rules), one row each with an ordinal."""
     q = quality.select("overall_score", "total_rows")
     score_low = q.select(F.lit(0).alias("seq"), F.lit(-1).alias("ordinal"), F.when(
-        F.col("overall_score") < 80, F.lit("⚠️ Data quality below 80%. Review source data before using for queries.")
+        F.col("overall_score") < P.REC_LOW_SCORE, F.lit(P.MESSAGES["rec_below_80"])
     ).alias("text"))
     col_rules = validation.select(F.lit(1).alias("seq"), F.col("ordinal"), F.explode(F.array_compact(F.array(
-        F.when(F.col("null_count") > F.col("total_rows") * F.lit(0.3),
-               F.format_string("📊 Column '%s': Consider filling or removing null values", F.col("column_name"))),
-        F.when(F.col("invalid_count") > 10,
-               F.format_string("🔧 Column '%s': %d values need cleaning", F.col("column_name"), F.col("invalid_count"))),
+        F.when(F.col("null_count") > F.col("total_rows") * F.lit(P.REC_NULL_SHARE),
+               F.format_string(P.MESSAGES["rec_fill_nulls"], F.col("column_name"))),
+        F.when(F.col("invalid_count") > P.REC_INVALID_COUNT,
+               F.format_string(P.MESSAGES["rec_needs_cleaning"], F.col("column_name"), F.col("invalid_count"))),
     ))).alias("text"))
     positive = q.select(F.lit(2).alias("seq"), F.lit(-1).alias("ordinal"), F.when(
-        F.col("overall_score") >= 95, F.lit("✅ Excellent data quality! Ready for Gold Layer promotion.")
-    ).when(F.col("overall_score") >= 85, F.lit("👍 Good data quality. Minor cleanup recommended.")).alias("text"))
+        F.col("overall_score") >= P.GOLD_MIN_SCORE, F.lit(P.MESSAGES["rec_excellent"])
+    ).when(F.col("overall_score") >= P.REC_GOOD_SCORE, F.lit(P.MESSAGES["rec_good"])).alias("text"))
     return score_low.unionByName(col_rules).unionByName(positive).where(F.col("text").isNotNull())
 
 
@@ -301,11 +301,9 @@ def anomaly_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     null_count = F.col("total_rows") - F.col("non_null")
     null_pct = F.when(F.col("total_rows") > 0, null_count * F.lit(100.0) / F.col("total_rows")).otherwise(F.lit(0.0))
     warnings = F.array_compact(F.array(
-        F.when(null_count > 0, F.format_string("Column '%s': %d null values (%.1f%%)", F.col("column_name"), null_count, null_pct)),
-        F.when(F.col("long_count") > 0, F.format_string("Column '%s': %d extremely long values (>10000 chars)",
-                                                        F.col("column_name"), F.col("long_count"))),
-        F.when(F.col("blank_count") > 0, F.format_string("Column '%s': %d empty string values", F.col("column_name"),
-                                                         F.col("blank_count"))),
+        F.when(null_count > 0, F.format_string(P.MESSAGES["warn_nulls"], F.col("column_name"), null_count, null_pct)),
+        F.when(F.col("long_count") > 0, F.format_string(P.MESSAGES["warn_long"], F.col("column_name"), F.col("long_count"))),
+        F.when(F.col("blank_count") > 0, F.format_string(P.MESSAGES["warn_empty"], F.col("column_name"), F.col("blank_count"))),
     ))
     return st.select("ordinal", "column_name", null_count.alias("null_count"), null_pct.alias("null_pct"),
                      "long_count", "blank_count", warnings.alias("warnings"))
@@ -321,7 +319,7 @@ def low_quality_table(df: DataFrame) -> DataFrame:
     share = F.when(F.col("total_rows") > 0, (F.col("total_rows") - F.col("non_null")) / F.col("total_rows"))
     agg = st.agg(F.avg(share).alias("mean_null_share"))
     return agg.select(
-        (F.lit(generic) | F.coalesce(F.col("mean_null_share") > 0.4, F.lit(False))).alias("low_quality"),
+        (F.lit(generic) | F.coalesce(F.col("mean_null_share") > P.LOW_QUALITY_NULL_SHARE, F.lit(False))).alias("low_quality"),
         "mean_null_share",
     )
 

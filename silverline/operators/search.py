@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silverline.functions import patterns as P
 from silverline.operators.columns import row_text
 from silverline.session import maybe_broadcast
 
@@ -67,7 +68,7 @@ def context_hints(hits: DataFrame, query: str, file_col: str = "prov_source_file
         F.count_distinct(file_col).alias("total_files_matched"),
     )
     hints = F.array_compact(F.array(
-        F.when(F.col("total_files_matched") > 1, F.lit("multiple_sources")),
-        F.when(F.col("total_matches") > 1, F.lit("multiple_matches")),
+        F.when(F.col("total_files_matched") > 1, F.lit(P.HINT_MULTIPLE_SOURCES)),
+        F.when(F.col("total_matches") > 1, F.lit(P.HINT_MULTIPLE_MATCHES)),
     ))
     return agg.select(F.lit(query).alias("query"), "total_matches", "total_files_matched", hints.alias("hints"))

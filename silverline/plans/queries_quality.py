@@ -35,8 +35,8 @@ select ordinal, column_name, expected_type, actual_type, valid_count, invalid_co
   round(valid_percentage, 4) as valid_percentage,
   concat_ws('; ',
     case when expected_type = 'numeric' and invalid_count > 0
-         then printf('%d values cannot be converted to number', invalid_count) end,
-    case when null_count > total_rows * 0.5 then printf('High null rate: %d/%d', null_count, total_rows) end
+         then printf({D.q(P.MESSAGES['not_numeric'])}, invalid_count) end,
+    case when null_count > total_rows * {P.HIGH_NULL_SHARE} then printf({D.q(P.MESSAGES['high_nulls'])}, null_count, total_rows) end
   ) as issues
 from ({_duck_stats(table, columns)}) v"""
 
@@ -69,7 +69,7 @@ select {D.q(name)} as table_name, cast(coalesce(max(total_rows), 0) as bigint) a
   round(coalesce(avg(valid_percentage), 0.0), 4) as overall_score,
   {D.level('coalesce(avg(valid_percentage), 0.0)')} as quality_level,
   coalesce(string_agg(case when valid_percentage < {P.LOW_VALIDITY_ISSUE}
-           then printf('Column ''%s'' has low validity: %.1f%%', column_name, valid_percentage) end, '; '
+           then printf({D.q(P.MESSAGES['low_validity'])}, column_name, valid_percentage) end, '; '
            order by ordinal), '') as issues
 from ({_duck_stats(table, columns)}) v"""
 

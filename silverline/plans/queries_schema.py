@@ -231,18 +231,18 @@ def q_invalid_samples(spark, sf_dir):
 
 @register("recommendations_dirty_customer", ["AGG5"], duck_with("dirty_customer").rstrip() + f""",
 v as ({_CUST_STATS}), q as (select avg(valid_percentage) as score from v)
-select 0 as seq, -1 as ordinal, '⚠️ Data quality below 80%. Review source data before using for queries.' as text
-  from q where score < 80
+select 0 as seq, -1 as ordinal, {D.q(P.MESSAGES['rec_below_80'])} as text
+  from q where score < {P.REC_LOW_SCORE}
 union all
-select 1, ordinal, printf('📊 Column ''%s'': Consider filling or removing null values', column_name) from v
-  where null_count > total_rows * 0.3
+select 1, ordinal, printf({D.q(P.MESSAGES['rec_fill_nulls'])}, column_name) from v
+  where null_count > total_rows * {P.REC_NULL_SHARE}
 union all
-select 1, ordinal, printf('🔧 Column ''%s'': %d values need cleaning', column_name, invalid_count) from v
-  where invalid_count > 10
+select 1, ordinal, printf({D.q(P.MESSAGES['rec_needs_cleaning'])}, column_name, invalid_count) from v
+  where invalid_count > {P.REC_INVALID_COUNT}
 union all
-select 2, -1, case when score >= 95 then '✅ Excellent data quality! Ready for Gold Layer promotion.'
-                   when score >= 85 then '👍 Good data quality. Minor cleanup recommended.' end from q
-  where score >= 85""")
+select 2, -1, case when score >= {P.GOLD_MIN_SCORE} then {D.q(P.MESSAGES['rec_excellent'])}
+                   when score >= {P.REC_GOOD_SCORE} then {D.q(P.MESSAGES['rec_good'])} end from q
+  where score >= {P.REC_GOOD_SCORE}""")
 def q_recommendations(spark, sf_dir):
     dc = derived(spark, sf_dir, "dirty_customer")
     v = PR.validate_columns(dc)
