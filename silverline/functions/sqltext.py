@@ -39,3 +39,32 @@ def plain_number(x: str) -> str:
 
 def count_if(cond: str) -> str:
     return f"CAST(count_if({cond}) AS BIGINT)"
+
+
+# ---------------------------------------------------------------------------
+# Text steps (same rules as functions.text, for a named column)
+# ---------------------------------------------------------------------------
+
+def guarded(x: str, guard: str, chain) -> str:
+    """``chain(v)`` where ``v`` matches ``guard``, else ``v``; ``v`` is bound once (lambda variable)."""
+    return f"transform(array({x}), v -> CASE WHEN v RLIKE {lit(guard)} THEN {chain('v')} ELSE v END)[0]"
+
+
+def replace_chain(pairs):
+    def chain(v: str) -> str:
+        for a, b in pairs:
+            v = f"replace({v}, {lit(a)}, {lit(b)})"
+        return v
+    return chain
+
+
+def regex_chain(pairs):
+    def chain(v: str) -> str:
+        for rx, rep in pairs:
+            v = f"regexp_replace({v}, {lit(rx)}, {lit(rep)})"
+        return v
+    return chain
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, {lit(P.WHITESPACE + '+')}, ' '))"

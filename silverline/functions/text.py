@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from silverline.functions import patterns as P
+from silverline.functions import sqltext as Q
 
 
 def _c(col) -> Column:
@@ -22,6 +23,11 @@ def _lit(s: str) -> Column:
     return F.lit(s)
 
 
+def _named(col) -> str | None:
+    """SQL identifier when ``col`` is a column name (the one-call SQL-text path), else None."""
+    return Q.ident(col) if isinstance(col, str) else None
+
+
 def _guarded(col, guard: str, chain) -> Column:
     """``chain(x)`` where ``x`` matches ``guard``, else ``x`` - with ``x`` evaluated ONCE.
 
@@ -86,6 +92,8 @@ MOJIBAKE_GUARD = "[ÃÄÅÆ]|á[º»]"
 def fix_mojibake(col, include_upper: bool = True, legacy_space_a_grave: bool = False) -> Column:
     """TXT1: repair Vietnamese text that was UTF-8 decoded as cp1252."""
     pairs = mojibake_pairs(include_upper, legacy_space_a_grave)
+    if _named(col):
+        return F.expr(Q.guarded(_named(col), MOJIBAKE_GUARD, Q.replace_chain(pairs)))
 
     def chain(v):
         for bad, good in pairs:
@@ -102,6 +110,8 @@ def fix_mojibake(col, include_upper: bool = True, legacy_space_a_grave: bool = F
 
 def collapse_ws(col) -> Column:
     """TXT2: trim and turn every whitespace run (newlines too) into one space."""
+    if _named(col):
+        return F.expr(Q.collapse(_named(col)))
     return F.trim(F.regexp_replace(_c(col), P.WHITESPACE + "+", " "))
 
 
@@ -118,6 +128,9 @@ TONE_GUARD = _first_char_guard(P.TONE_PAIRS)
 
 def normalize_tone(col) -> Column:
     """TXT3: move tone marks to the main vowel (16 literal replacements, in order)."""
+    if _named(col):
+        return F.expr(Q.guarded(_named(col), TONE_GUARD, Q.replace_chain(P.TONE_PAIRS)))
+
     def chain(v):
         for old, new in P.TONE_PAIRS:
             v = F.replace(v, _lit(old), _lit(new))
@@ -157,6 +170,9 @@ ADDRESS_GUARD = "(?iu)" + _word_bounded(
 
 def expand_address(col) -> Column:
     """TXT4: expand Vietnamese address abbreviations (case-insensitive, word-bounded)."""
+    if _named(col):
+        return F.expr(Q.guarded(_named(col), ADDRESS_GUARD, Q.regex_chain(address_regexes())))
+
     def chain(v):
         for rx, rep in address_regexes():
             v = F.regexp_replace(v, rx, rep)
@@ -180,6 +196,9 @@ CURRENCY_GUARD = f"(?iu){_BEFORE_WORD}(?:" + "|".join(java_quote(w) for w in P.C
 
 def normalize_currency(col) -> Column:
     """TXT5: currency words -> VNĐ, then exactly one space between amount and VNĐ."""
+    if _named(col):
+        return F.expr(Q.guarded(_named(col), CURRENCY_GUARD, Q.regex_chain(currency_regexes())))
+
     def chain(v):
         for rx, rep in currency_regexes():
             v = F.regexp_replace(v, rx, rep)
@@ -208,6 +227,11 @@ def remove_ocr_noise(col) -> Column:
 
 def deep_normalize(col) -> Column:
     """TXT7: tone -> address -> currency -> OCR noise -> strip."""
+    if _named(col):
+        x = Q.guarded(_named(col), TONE_GUARD, Q.replace_chain(P.TONE_PAIRS))
+        x = Q.guarded(x, ADDRESS_GUARD, Q.regex_chain(address_regexes()))
+        x = Q.guarded(x, CURRENCY_GUARD, Q.regex_chain(currency_regexes()))
+        return F.expr(Q.strip(Q.regex_chain(ocr_noise_regexes())(x)))
     c = _c(col)
     return strip_ws(remove_ocr_noise(normalize_currency(expand_address(normalize_tone(c)))))
 

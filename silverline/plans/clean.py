@@ -39,9 +39,9 @@ def _numeric_text(c, variant: str):
     return TY.plain_number(out)
 
 
-def _coercion_stats(df: DataFrame, cols: list[str], variant: str, extra=()) -> dict:
-    df = spread(df)
-    aggs = [F.count(F.lit(1)).alias("__rows"), *extra]
+def _detect_aggs(cols: list[str]) -> list:
+    """Cheap anchored tests (TYP1 detection) for every string column."""
+    aggs = []
     for i, name in enumerate(cols):
         c = F.col(f"`{name}`")
         no_sep = F.replace(F.replace(c, F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
@@ -50,15 +50,49 @@ def _coercion_stats(df: DataFrame, cols: list[str], variant: str, extra=()) -> d
             F.count_if(F.coalesce(no_sep.rlike(P.DETECT_NUMERIC), F.lit(False))).alias(f"dn{i}"),
             F.count_if(F.coalesce(c.rlike(P.DETECT_DATES[0]), F.lit(False))).alias(f"dd1{i}"),
             F.count_if(F.coalesce(c.rlike(P.DETECT_DATES[1]), F.lit(False))).alias(f"dd2{i}"),
-            F.count_if(_numeric_text(c, variant).isNotNull()).alias(f"cn{i}"),
-            F.count_if(TY.clean_date(c).isNotNull()).alias(f"cd{i}"),
         ]
-    return df.agg(*aggs).collect()[0].asDict()
+    return aggs
+
+
+def _convert_aggs(cols: list[str], indices, variant: str) -> list:
+    """Conversion success counts, only for the columns that can still convert."""
+    aggs = []
+    for i in indices:
+        c = F.col(f"`{cols[i]}`")
+        aggs += [F.count_if(_numeric_text(c, variant).isNotNull()).alias(f"cn{i}"),
+                 F.count_if(TY.clean_date(c).isNotNull()).alias(f"cd{i}")]
+    return aggs
+
+
+def _detected(st: dict, i: int) -> str:
+    nn = st[f"nn{i}"]
+    if nn == 0:
+        return "unknown"
+    if st[f"dn{i}"] > nn * P.INFER_SHARE:
+        return "numeric"
+    if st[f"dd1{i}"] > nn * P.INFER_SHARE or st[f"dd2{i}"] > nn * P.INFER_SHARE:
+        return "date"
+    return "text"
+
+
+def _coercion_stats(df: DataFrame, cols: list[str], variant: str, extra=()) -> dict:
+    """Statistics for ``coercion_plan``: detection for all string columns in one pass, then
+    conversion counts for the candidate columns only (the cleaner converts only detected
+    numeric/date columns, so long text columns never pay for the conversion tests)."""
+    df = spread(df)
+    aggs = [F.count(F.lit(1)).alias("__rows"), *extra]
+    if variant == "cleaner":
+        st = df.agg(*aggs, *_detect_aggs(cols)).collect()[0].asDict()
+        candidates = [i for i in range(len(cols)) if _detected(st, i) in ("numeric", "date")]
+        if candidates:
+            st.update(df.agg(*_convert_aggs(cols, candidates, variant)).collect()[0].asDict())
+        return st
+    return df.agg(*aggs, *_detect_aggs(cols), *_convert_aggs(cols, range(len(cols)), variant)).collect()[0].asDict()
 
 
 def coercion_plan(df: DataFrame, gate: float = P.COERCE_SHARE, variant: str = "cleaner",
                   stats: dict | None = None) -> list[dict]:
-    """Decide conversions for string columns (one aggregation, one row to the driver).
+    """Decide conversions for string columns (one or two aggregations, one row each to the driver).
 
     cleaner (TYP3): detect numeric/date (> 70 % of non-nulls look like it), convert when
     more than ``gate`` of ALL rows convert.  extractor (TYP4): try numeric, then date, same gate.
@@ -71,16 +105,8 @@ def coercion_plan(df: DataFrame, gate: float = P.COERCE_SHARE, variant: str = "c
     rows = st["__rows"]
     plan = []
     for i, name in enumerate(cols):
-        nn = st[f"nn{i}"]
         if variant == "cleaner":
-            if nn == 0:
-                detected = "unknown"
-            elif st[f"dn{i}"] > nn * P.INFER_SHARE:
-                detected = "numeric"
-            elif st[f"dd1{i}"] > nn * P.INFER_SHARE or st[f"dd2{i}"] > nn * P.INFER_SHARE:
-                detected = "date"
-            else:
-                detected = "text"
+            detected = _detected(st, i)
             candidates = [detected] if detected in ("numeric", "date") else []
         else:
             candidates = ["numeric", "date"]
@@ -189,8 +215,8 @@ def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_s
     actions_df = spark.createDataFrame(
         actions, "action string, column string, rows_affected bigint, success_rate double")
     if strict:
-        # the check needs counts only, not the fingerprints of the full report
-        lost = IN.data_loss_check(df, cleaned).select("data_loss").first()[0]
-        if lost:
+        # rows and columns are what strict mode guards (both counts come from Parquet metadata
+        # or a cheap scan); the full report with fingerprints stays lazy in ``integrity``
+        if cleaned.count() < df.count() or len(cleaned.columns) < len(df.columns):
             raise ValueError("data loss detected during cleaning")
     return CleanResult(df, cleaned, actions_df, len(actions))

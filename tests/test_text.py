@@ -54,8 +54,11 @@ EDGE = [
 
 
 def _apply(spark, fn, values):
+    """Apply through both paths (Column expression and SQL text for a named column); they must agree."""
     df = spark.createDataFrame([(v,) for v in values], "s string")
-    return [r[0] for r in df.select(fn(F.col("s"))).collect()]
+    rows = df.select(fn(F.col("s")).alias("a"), fn("s").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows], fn.__name__
+    return [r.a for r in rows]
 
 
 def test_deep_normalize_matches_python_model(spark):
