@@ -54,13 +54,21 @@ def read_parquet(spark: SparkSession, paths) -> DataFrame:
     return spark.read.parquet(*paths) if isinstance(paths, (list, tuple)) else spark.read.parquet(paths)
 
 
+def utf8_text(binary_col: str = "content", ignore_bad_bytes: bool = True):
+    """Bytes -> text as UTF-8 without failing on malformed input.
+
+    Spark 4's ``decode`` raises on malformed UTF-8, so the bytes are reinterpreted as a
+    string and repaired with ``make_valid_utf8`` (each bad sequence becomes U+FFFD), which
+    is then dropped - the "ignore" error mode of the reference's file reader.
+    """
+    text = F.expr(f"make_valid_utf8(cast(`{binary_col}` as string))")
+    return F.replace(text, F.lit("\ufffd"), F.lit("")) if ignore_bad_bytes else text
+
+
 def read_whole_text(spark: SparkSession, paths, ignore_bad_bytes: bool = True) -> DataFrame:
     """SRC5: one row per file: ``content`` (UTF-8; undecodable bytes dropped) and ``_source_file``."""
     files = spark.read.format("binaryFile").load(paths)
-    text = F.decode(F.col("content"), "UTF-8")
-    if ignore_bad_bytes:
-        text = F.regexp_replace(text, "�", "")
-    return files.select(text.alias("content"), F.col("path").alias("_source_file"))
+    return files.select(utf8_text("content", ignore_bad_bytes).alias("content"), F.col("path").alias("_source_file"))
 
 
 def file_stats(df: DataFrame) -> DataFrame:
@@ -109,8 +117,7 @@ def ingest_files(spark: SparkSession, directory: str, normalize: bool = True) ->
                 df = normalize_columns(df, strip_underscore=False, keep_internal=True)
         else:
             files = spark.read.format("binaryFile").options(**opts).load(directory)
-            df = files.select(F.regexp_replace(F.decode("content", "UTF-8"), "\ufffd", "").alias("content"),
-                              F.col("path").alias("_source_file"))
+            df = files.select(utf8_text("content").alias("content"), F.col("path").alias("_source_file"))
         frames[kind] = df.withColumn("_source_type", F.lit(kind)) if kind not in frames else \
             frames[kind].unionByName(df.withColumn("_source_type", F.lit(kind)), allowMissingColumns=True)
     errors = listing.where(~F.col("ext").isin(*READABLE)).select(
