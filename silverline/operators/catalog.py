@@ -82,7 +82,7 @@ def list_tables(datasets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def promote_all(df: DataFrame, dataset_col: str, name_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def promote_all(df: DataFrame, dataset_col: str) -> tuple[DataFrame, DataFrame]:
     """CAT3 + CAT4 for every dataset in ``df`` at once: (gold_tables, gold_columns).
 
     Profiles user columns only (internal ``_`` columns are carried, not scored).

@@ -25,7 +25,6 @@ from pyspark.sql.window import Window
 from silverline.functions import patterns as P
 from silverline.functions import sqltext as Q
 from silverline.functions import types as TY
-from silverline.functions.text import strip_ws
 from silverline.session import spread
 
 CHUNK_COLUMNS = 40
@@ -38,21 +37,6 @@ def _is_string(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
 
 
-def _non_null(c: Column, dtype: T.DataType) -> Column:
-    """Present value: not null and, for floating columns, not NaN (pandas treats NaN as missing)."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return c.isNotNull() & ~F.isnan(c)
-    return c.isNotNull()
-
-
-def _count_if(cond: Column) -> Column:
-    return F.count_if(F.coalesce(cond, F.lit(False))).cast("bigint")
-
-
-def _zero() -> Column:
-    return F.lit(0).cast("bigint")
-
-
 def _column_stats(name: str, dtype: T.DataType) -> Column:
     """One struct of aggregates describing a column (same field layout for every column).
 

@@ -9,7 +9,6 @@ from silverline.operators import catalog as C
 from silverline.plans import duck as D
 from silverline.plans.fixtures import derived, duck_with, read_table
 from silverline.plans.registry import register
-from silverline.plans.queries_usage import AS_OF  # noqa: F401  (shared reporting date)
 
 DOC_COLUMNS = [("doc_id", "bigint", "integer"), ("text", "string", None), ("lang", "string", None),
                ("n_chars", "bigint", "integer")]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from silverline.functions import patterns as P
 from silverline.operators import usage as U

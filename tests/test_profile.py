@@ -1,6 +1,5 @@
 """Validation, scoring and coercion edge cases (AGG2-AGG6, TYP1-TYP4, FLT4/FLT5)."""
 
-from pyspark.sql import functions as F
 
 from silverline.functions import types as TY
 from silverline.operators import profile as PR

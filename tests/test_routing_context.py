@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from silverline.operators.context import pack_context
 from silverline.operators.routing import classify_intent, route

@@ -1,7 +1,6 @@
 import datetime as dt
 import tempfile
 
-from pyspark.sql import functions as F
 
 from silverline.streaming import jobs as J
 
