@@ -71,6 +71,13 @@ def read_whole_text(spark: SparkSession, paths, ignore_bad_bytes: bool = True) -
     return files.select(utf8_text("content", ignore_bad_bytes).alias("content"), F.col("path").alias("_source_file"))
 
 
+def read_dataset(spark: SparkSession, root: str, dataset_ids: list[str] | None = None,
+                 partition_col: str = "_dataset_id") -> DataFrame:
+    """Stored datasets (SNK1 layout); a dataset filter prunes partitions at the scan (FLT3)."""
+    df = spark.read.parquet(root)
+    return df.where(F.col(partition_col).isin(*dataset_ids)) if dataset_ids else df
+
+
 def file_stats(df: DataFrame) -> DataFrame:
     """SRC8: per stored file: path, size in bytes and row count (from the hidden ``_metadata``)."""
     return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")) \

@@ -96,3 +96,15 @@ def test_entities(spark):
                                "id int, text string")
     got = {(r["kind"], r["value"]) for r in extract_entities(df, "text", ["id"]).collect()}
     assert got == {("phone", "0912345678"), ("email", "a.b@mail.vn"), ("date", "31/12/2024"), ("money", "150.000 đ")}
+
+
+def test_scoped_read_prunes_partitions(spark):
+    from silverline.sources.sinks import write_dataset
+
+    root = tempfile.mkdtemp(prefix="sl-ds-") + "/store"
+    df = spark.createDataFrame([(f"d{i % 5}", i, "x") for i in range(100)], "_dataset_id string, k int, v string")
+    write_dataset(df, root)
+    scoped = RD.read_dataset(spark, root, ["d2"])
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_dataset_id" in plan and "d2" in plan
+    assert scoped.count() == 20
