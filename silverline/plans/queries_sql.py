@@ -446,3 +446,57 @@ def q_ctas_insert(spark, sf_dir):
     spark.sql(f"insert into {name} select o_orderstatus, count(*) from orders "
               "where o_orderpriority = '5-LOW' group by o_orderstatus")
     return spark.table(name)
+
+
+def _duck_sql_functions_orders():
+    from silverline.functions import patterns as P
+    from silverline.plans import duck as D
+    from silverline.plans.fixtures import duck_with
+    from silverline.plans.queries_schema import _duck_clean_date, _duck_numeric_text
+
+    return duck_with("dirty_orders") + f"""
+select o_orderkey, {_duck_clean_date('date_text')} as order_date,
+  {_duck_numeric_text('price_text', (',', ' ', 'đ', 'VND', '$'))} as price,
+  (date_text is null or {D.rx(D.strip('date_text'), P.VALIDATOR_PATTERNS['date_vn'])}) as date_ok,
+  {D.rx('price_text', P.VALIDATOR_PATTERNS['money_vn'])} as money_like, 'DOUBLE' as price_sql_type
+from dirty_orders"""
+
+
+@register("sql_functions_on_orders", ["DSC7", "TYP5", "TYP7", "FLT4", "FLT5"], _duck_sql_functions_orders())
+def q_sql_functions_orders(spark, sf_dir):
+    from silverline.functions.sql_functions import register_sql_functions
+    from silverline.plans.fixtures import derived
+
+    register_sql_functions(spark)
+    derived(spark, sf_dir, "dirty_orders").createOrReplaceTempView("dirty_orders")
+    return run_sql(spark, """
+select o_orderkey, clean_date(date_text) as order_date, clean_numeric(price_text) as price,
+  is_valid_for_type(date_text, 'date') as date_ok, pattern_is(price_text, 'money_vn') as money_like,
+  sql_type('money') as price_sql_type
+from dirty_orders""")
+
+
+def _duck_sql_functions_docs():
+    from silverline.functions import patterns as P
+    from silverline.plans import duck as D
+    from silverline.plans.queries_docs import _duck_wordcount
+
+    return f"""
+select doc_id, md5({D.collapse('text')}) as collapsed_md5,
+  case when length(lower(text)) - length(translate(lower(text), {D.q(P.VIETNAMESE_LETTERS)}, ''))
+            > length(text) * 0.01 then 'vi' else 'en' end as detected_lang,
+  case when text is null or text = '' then null else md5(text) end as content_hash,
+  cast({_duck_wordcount('text')} as bigint) as words
+from documents"""
+
+
+@register("sql_functions_on_documents", ["TXT2", "TXT8", "TXT9", "TXT13", "CAT2"], _duck_sql_functions_docs())
+def q_sql_functions_docs(spark, sf_dir):
+    from silverline.functions.sql_functions import register_sql_functions
+
+    register_sql_functions(spark)
+    register_base(spark, sf_dir, ["documents"])
+    return run_sql(spark, """
+select doc_id, md5(collapse_ws(text)) as collapsed_md5, detect_language(text) as detected_lang,
+  content_hash(text) as content_hash, word_count(text) as words
+from documents""")

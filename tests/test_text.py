@@ -122,3 +122,18 @@ def test_decode_bytes(spark):
     data = [(bytearray("Việt".encode("utf-8")),), (bytearray("café €".encode("cp1252")),)]
     df = spark.createDataFrame(data, "b binary")
     assert [r[0] for r in df.select(X.decode_bytes("b")).collect()] == ["Việt", "café €"]
+
+
+def test_sql_functions_match_model(spark):
+    from silverline.functions.sql_functions import register_sql_functions
+
+    register_sql_functions(spark)
+    spark.createDataFrame([(v,) for v in EDGE], "s string").createOrReplaceTempView("edge_rows")
+    rows = spark.sql("select s, deep_normalize(s) as d, collapse_ws(s) as c, fix_mojibake(s) as m "
+                     "from edge_rows").collect()
+    assert [r.d for r in rows] == [py_deep(r.s) for r in rows]
+    assert [r.c for r in rows] == [py_collapse(r.s) for r in rows]
+    assert [r.m for r in rows] == [r.s for r in rows]
+    got = spark.sql("select clean_date('3/4/24') as d, clean_integer('2.5') as i, is_valid_for_type('có', 'boolean') as b, "
+                    "pattern_is('012345678901', 'cleaner_cccd') as c").first()
+    assert str(got.d.date()) == "2024-04-03" and got.i == 2 and got.b is True and got.c is True
