@@ -237,21 +237,22 @@ def q_data_loss(spark, sf_dir):
 
 @register("anomaly_report_documents", ["AGG1"], f"""
 select 0 as ordinal, 'doc_id' as column_name, count(*) - count(doc_id) as null_count,
-  (count(*) - count(doc_id)) * 100.0 / count(*) as null_pct, 0 as long_count, 0 as blank_count from documents
+  round((count(*) - count(doc_id)) * 100.0 / count(*), 4) as null_pct, 0 as long_count, 0 as blank_count from documents
 union all
-select 1, 'text', count(*) - count(text), (count(*) - count(text)) * 100.0 / count(*),
+select 1, 'text', count(*) - count(text), round((count(*) - count(text)) * 100.0 / count(*), 4),
   count_if(length(text) > {P.LONG_STRING_CHARS}), count_if({D.strip('text')} = '') from documents
 union all
-select 2, 'lang', count(*) - count(lang), (count(*) - count(lang)) * 100.0 / count(*),
+select 2, 'lang', count(*) - count(lang), round((count(*) - count(lang)) * 100.0 / count(*), 4),
   count_if(length(lang) > {P.LONG_STRING_CHARS}), count_if({D.strip('lang')} = '') from documents
 union all
-select 3, 'source', count(*) - count(source), (count(*) - count(source)) * 100.0 / count(*),
+select 3, 'source', count(*) - count(source), round((count(*) - count(source)) * 100.0 / count(*), 4),
   count_if(length(source) > {P.LONG_STRING_CHARS}), count_if({D.strip('source')} = '') from documents
 union all
-select 4, 'n_chars', count(*) - count(n_chars), (count(*) - count(n_chars)) * 100.0 / count(*), 0, 0 from documents""")
+select 4, 'n_chars', count(*) - count(n_chars), round((count(*) - count(n_chars)) * 100.0 / count(*), 4), 0, 0 from documents""")
 def q_anomalies(spark, sf_dir):
     r = PR.anomaly_report(read_table(spark, sf_dir, "documents"))
-    return r.select("ordinal", "column_name", "null_count", "null_pct", "long_count", "blank_count")
+    return r.select("ordinal", "column_name", "null_count", F.round("null_pct", 4).alias("null_pct"), "long_count",
+                    "blank_count")
 
 
 @register("clean_documents", ["CAT6", "TXT1", "TXT2", "TXT7", "PRJ1", "TYP3"])

@@ -63,7 +63,7 @@ def q_conform(spark, sf_dir):
 
 @register("map_to_schema_orders", ["PRJ9"], duck_with("dirty_orders") + """
 select target, source, type, non_null, converted,
-  case when non_null > 0 then converted * 100.0 / non_null else 0.0 end as convert_pct from (
+  round(case when non_null > 0 then converted * 100.0 / non_null else 0.0 end, 4) as convert_pct from (
   select 'order_id' as target, 'o_orderkey' as source, 'bigint' as type, count(o_orderkey) as non_null,
     count(try_cast(o_orderkey as bigint)) as converted from dirty_orders
   union all select 'order_date', 'date_text', 'date', count(date_text), count(try_cast(date_text as date)) from dirty_orders
@@ -72,7 +72,7 @@ select target, source, type, non_null, converted,
 def q_map_schema(spark, sf_dir):
     _, report = COL.map_to_schema(derived(spark, sf_dir, "dirty_orders"), {
         "order_id": ("o_orderkey", "bigint"), "order_date": ("date_text", "date"), "price": ("price_text", "double")})
-    return report
+    return report.withColumn("convert_pct", F.round("convert_pct", 4))
 
 
 # ---------------------------------------------------------------------------
@@ -252,14 +252,14 @@ def q_recommendations(spark, sf_dir):
 @register("completeness_dirty_customer", ["AGG21", "AGG6"], duck_with("dirty_customer") + """
 select cast(count(c_custkey) + count(phone) + count(email) + count(balance_text) + count(segment) as bigint)
     as non_null_cells, cast(count(*) * 5 as bigint) as cells,
-  (count(c_custkey) + count(phone) + count(email) + count(balance_text) + count(segment)) * 100.0 / (count(*) * 5)
-    as completeness_pct,
+  round((count(c_custkey) + count(phone) + count(email) + count(balance_text) + count(segment)) * 100.0
+    / (count(*) * 5), 4) as completeness_pct,
   ((count(*) - count(c_custkey)) / count(*) + (count(*) - count(phone)) / count(*) + (count(*) - count(email)) / count(*)
    + (count(*) - count(balance_text)) / count(*) + (count(*) - count(segment)) / count(*)) / 5 > 0.4 as low_quality
 from dirty_customer""")
 def q_completeness(spark, sf_dir):
     dc = derived(spark, sf_dir, "dirty_customer")
-    comp = PR.data_completeness(dc)
+    comp = PR.data_completeness(dc).withColumn("completeness_pct", F.round("completeness_pct", 4))
     low = PR.low_quality_table(dc).select("low_quality")
     return IN._side_by_side(comp, low)
 
@@ -268,7 +268,8 @@ def q_completeness(spark, sf_dir):
 select 'tabular' as kind, true as verified, cast(count(*) as bigint) as extracted_rows, 100.0 as metric from dirty_customer
 union all
 select 'json', count(*) >= (select count(*) from events) * 0.95, count(*),
-  least(100.0, count(*) * 100.0 / greatest((select count(*) from events), 1)) from events where event_type <> 'error'
+  round(least(100.0, count(*) * 100.0 / greatest((select count(*) from events), 1)), 4) from events
+  where event_type <> 'error'
 union all
 select 'text', sum(length(text)) + count(*) - 1 > 100, count(*), cast(sum(length(text)) + count(*) - 1 as double)
 from documents""")
@@ -283,7 +284,7 @@ def q_verify(spark, sf_dir):
     x = IN.verify_extraction(None, read_table(spark, sf_dir, "documents").select("text"), "text").select(
         F.lit("text").alias("kind"), "verified", "extracted_rows",
         F.col("extracted_characters").cast("double").alias("metric"))
-    return t.unionByName(j).unionByName(x)
+    return t.unionByName(j).unionByName(x).withColumn("metric", F.round("metric", 4))
 
 
 # ---------------------------------------------------------------------------

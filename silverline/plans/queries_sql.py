@@ -55,18 +55,19 @@ select l_returnflag, null, cast(grouping(l_returnflag) as int), 1, count(*), sum
 from lineitem group by grouping sets ((l_returnflag), ())"""),
     "sql_filtered_aggregates": (["DAG4"], ["lineitem"], """
 select l_linestatus, count(*) filter (where l_discount > 0.05) as n_disc, count_if(l_quantity >= 25) as n_big,
-  sum(l_extendedprice) filter (where l_returnflag = 'R') as returned_value_raw
+  round(sum(l_extendedprice) filter (where l_returnflag = 'R'), 2) as returned_value
 from lineitem group by l_linestatus""", """
 select l_linestatus, count(*) filter (where l_discount > 0.05) as n_disc, count_if(l_quantity >= 25) as n_big,
-  sum(l_extendedprice) filter (where l_returnflag = 'R') as returned_value_raw
+  round(sum(l_extendedprice) filter (where l_returnflag = 'R'), 2) as returned_value
 from lineitem group by l_linestatus"""),
     "sql_ordered_set_aggregates": (["DAG5"], ["orders"], """
-select o_orderpriority, percentile_cont(0.5) within group (order by o_totalprice) as p50,
-  percentile_cont(0.9) within group (order by o_totalprice) as p90, median(o_totalprice) as med,
+select o_orderpriority, round(percentile_cont(0.5) within group (order by o_totalprice), 6) as p50,
+  round(percentile_cont(0.9) within group (order by o_totalprice), 6) as p90, round(median(o_totalprice), 6) as med,
   mode(o_orderstatus) as common_status
 from orders group by o_orderpriority""", """
-select o_orderpriority, quantile_cont(o_totalprice, 0.5) as p50, quantile_cont(o_totalprice, 0.9) as p90,
-  median(o_totalprice) as med, mode(o_orderstatus) as common_status
+select o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 6) as p50,
+  round(quantile_cont(o_totalprice, 0.9), 6) as p90, round(median(o_totalprice), 6) as med,
+  mode(o_orderstatus) as common_status
 from orders group by o_orderpriority"""),
     "sql_string_agg": (["DAG7"], ["nation", "region"], """
 select r_name, listagg(n_name, ',') within group (order by n_name) as nations, count(*) as n
