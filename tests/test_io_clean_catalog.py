@@ -108,3 +108,16 @@ def test_scoped_read_prunes_partitions(spark):
     plan = scoped._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_dataset_id" in plan and "d2" in plan
     assert scoped.count() == 20
+
+
+def test_json_array_file_and_csv_inference(spark):
+    root = tempfile.mkdtemp(prefix="sl-arr-")
+    with open(f"{root}/items.json", "w", encoding="utf-8") as fh:
+        fh.write('[{"id": 1, "info": {"name": "Bàn", "price": 1.5}}, {"id": 2, "info": {"name": "Ghế", "price": 2}}]')
+    flat = RD.read_json_flat(spark, f"{root}/items.json", multi_line=True)
+    assert sorted(flat.columns) == ["id", "infoname", "infoprice"]
+    assert sorted(r["infoname"] for r in flat.collect()) == ["Bàn", "Ghế"]
+    with open(f"{root}/t.csv", "w", encoding="utf-8") as fh:
+        fh.write("a,b\n1,x\n2,y\n")
+    csv = RD.read_csv(spark, f"{root}/t.csv")
+    assert dict(csv.dtypes) == {"a": "int", "b": "string"} and csv.count() == 2
