@@ -155,7 +155,7 @@ def q_deep_normalize(spark, sf_dir):
 
 @register("markup_to_text_pages", ["SRC7"], f"""
 select page_id, md5({D.collapse("regexp_replace(html, '<[^>]+>', ' ', 'g')")}) as text_md5,
-  length({D.collapse("regexp_replace(html, '<[^>]+>', ' ', 'g')")}) as text_chars
+  cast(length({D.collapse("regexp_replace(html, '<[^>]+>', ' ', 'g')")}) as integer) as text_chars
 from pages""")
 def q_markup(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
@@ -190,12 +190,12 @@ def _string_pairs(df, cols):
 
 
 @register("whitespace_changes_documents", ["AGG7", "TXT2"], f"""
-select 'trim' as action, 'text' as "column", count_if(not ({_duck_mojibake('text')} is not distinct from
-   {D.collapse(_duck_mojibake('text'))})) as rows_affected from documents
+select 'trim' as action, 'text' as "column", cast(count_if(not ({_duck_mojibake('text')} is not distinct from
+   {D.collapse(_duck_mojibake('text'))})) as bigint) as rows_affected from documents
 union all
-select 'trim', 'lang', count_if(not (lang is not distinct from {D.collapse('lang')})) from documents
+select 'trim', 'lang', cast(count_if(not (lang is not distinct from {D.collapse('lang')})) as bigint) from documents
 union all
-select 'trim', 'source', count_if(not (source is not distinct from {D.collapse('source')})) from documents""")
+select 'trim', 'source', cast(count_if(not (source is not distinct from {D.collapse('source')})) as bigint) from documents""")
 def q_change_counts(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     cols = ["text", "lang", "source"]
@@ -237,16 +237,17 @@ def q_data_loss(spark, sf_dir):
 
 @register("anomaly_report_documents", ["AGG1"], f"""
 select 0 as ordinal, 'doc_id' as column_name, count(*) - count(doc_id) as null_count,
-  round((count(*) - count(doc_id)) * 100.0 / count(*), 4) as null_pct, 0 as long_count, 0 as blank_count from documents
+  round((count(*) - count(doc_id)) * 100.0 / count(*), 4) as null_pct, cast(0 as bigint) as long_count,
+  cast(0 as bigint) as blank_count from documents
 union all
 select 1, 'text', count(*) - count(text), round((count(*) - count(text)) * 100.0 / count(*), 4),
-  count_if(length(text) > {P.LONG_STRING_CHARS}), count_if({D.strip('text')} = '') from documents
+  cast(count_if(length(text) > {P.LONG_STRING_CHARS}) as bigint), cast(count_if({D.strip('text')} = '') as bigint) from documents
 union all
 select 2, 'lang', count(*) - count(lang), round((count(*) - count(lang)) * 100.0 / count(*), 4),
-  count_if(length(lang) > {P.LONG_STRING_CHARS}), count_if({D.strip('lang')} = '') from documents
+  cast(count_if(length(lang) > {P.LONG_STRING_CHARS}) as bigint), cast(count_if({D.strip('lang')} = '') as bigint) from documents
 union all
 select 3, 'source', count(*) - count(source), round((count(*) - count(source)) * 100.0 / count(*), 4),
-  count_if(length(source) > {P.LONG_STRING_CHARS}), count_if({D.strip('source')} = '') from documents
+  cast(count_if(length(source) > {P.LONG_STRING_CHARS}) as bigint), cast(count_if({D.strip('source')} = '') as bigint) from documents
 union all
 select 4, 'n_chars', count(*) - count(n_chars), round((count(*) - count(n_chars)) * 100.0 / count(*), 4), 0, 0 from documents""")
 def q_anomalies(spark, sf_dir):

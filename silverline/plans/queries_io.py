@@ -44,7 +44,7 @@ def q_json(spark, sf_dir):
 
 
 @register("whole_text_documents_by_source", ["SRC5"], """
-select source, sum(length(text) + 1) as chars from documents group by source""")
+select source, cast(sum(length(text) + 1) as bigint) as chars from documents group by source""")
 def q_whole_text(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     path = _fresh(spark, "text")

@@ -103,7 +103,7 @@ def q_sample_rows(spark, sf_dir):
 
 
 @register("raw_documents_newest", ["CTX4"], """
-select source, doc_id, md5(text) as text_md5, length(text) as chars,
+select source, doc_id, md5(text) as text_md5, cast(length(text) as integer) as chars,
   (select count(*) from documents d2 where d2.source = d.source) as total_documents
 from documents d qualify row_number() over (partition by source order by doc_id desc) <= 3""")
 def q_raw_docs(spark, sf_dir):

@@ -54,10 +54,10 @@ union all
 select l_returnflag, null, cast(grouping(l_returnflag) as int), 1, count(*), sum(l_quantity)
 from lineitem group by grouping sets ((l_returnflag), ())"""),
     "sql_filtered_aggregates": (["DAG4"], ["lineitem"], """
-select l_linestatus, count(*) filter (where l_discount > 0.05) as n_disc, count_if(l_quantity >= 25) as n_big,
+select l_linestatus, count(*) filter (where l_discount > 0.05) as n_disc, cast(count_if(l_quantity >= 25) as bigint) as n_big,
   round(sum(l_extendedprice) filter (where l_returnflag = 'R'), 2) as returned_value
 from lineitem group by l_linestatus""", """
-select l_linestatus, count(*) filter (where l_discount > 0.05) as n_disc, count_if(l_quantity >= 25) as n_big,
+select l_linestatus, count(*) filter (where l_discount > 0.05) as n_disc, cast(count_if(l_quantity >= 25) as bigint) as n_big,
   round(sum(l_extendedprice) filter (where l_returnflag = 'R'), 2) as returned_value
 from lineitem group by l_linestatus"""),
     "sql_ordered_set_aggregates": (["DAG5"], ["orders"], """
@@ -92,26 +92,28 @@ union all select s_suppkey, 'acctbal', s_acctbal from supplier"""),
     "sql_group_by_all": (["DAG10"], ["orders"], """
 select o_orderstatus, year(o_orderdate) as yr, count(*) as n, round(sum(o_totalprice), 2) as total
 from orders group by all""", """
-select o_orderstatus, year(o_orderdate) as yr, count(*) as n, round(sum(o_totalprice), 2) as total
+select o_orderstatus, cast(year(o_orderdate) as integer) as yr, count(*) as n, round(sum(o_totalprice), 2) as total
 from orders group by all"""),
     "sql_outer_joins": (["DJN1", "JOIN2"], ["customer", "orders", "nation", "supplier"], """
 select c.c_mktsegment, count(o.o_orderkey) as orders, count(distinct c.c_custkey) as customers,
-  count_if(o.o_orderkey is null) as customers_without_orders
+  cast(count_if(o.o_orderkey is null) as bigint) as customers_without_orders
 from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_mktsegment
 union all
-select n.n_name, count(s.s_suppkey), count(distinct n.n_nationkey), count_if(s.s_suppkey is null)
+select n.n_name, count(s.s_suppkey), count(distinct n.n_nationkey), cast(count_if(s.s_suppkey is null) as bigint)
 from supplier s right join nation n on s.s_nationkey = n.n_nationkey group by n.n_name
 union all
-select 'full', count(s.s_suppkey), count(n.n_nationkey), count_if(s.s_suppkey is null or n.n_nationkey is null)
+select 'full', count(s.s_suppkey), count(n.n_nationkey),
+  cast(count_if(s.s_suppkey is null or n.n_nationkey is null) as bigint)
 from supplier s full outer join nation n on s.s_nationkey = n.n_nationkey""", """
 select c.c_mktsegment, count(o.o_orderkey) as orders, count(distinct c.c_custkey) as customers,
-  count_if(o.o_orderkey is null) as customers_without_orders
+  cast(count_if(o.o_orderkey is null) as bigint) as customers_without_orders
 from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_mktsegment
 union all
-select n.n_name, count(s.s_suppkey), count(distinct n.n_nationkey), count_if(s.s_suppkey is null)
+select n.n_name, count(s.s_suppkey), count(distinct n.n_nationkey), cast(count_if(s.s_suppkey is null) as bigint)
 from supplier s right join nation n on s.s_nationkey = n.n_nationkey group by n.n_name
 union all
-select 'full', count(s.s_suppkey), count(n.n_nationkey), count_if(s.s_suppkey is null or n.n_nationkey is null)
+select 'full', count(s.s_suppkey), count(n.n_nationkey),
+  cast(count_if(s.s_suppkey is null or n.n_nationkey is null) as bigint)
 from supplier s full outer join nation n on s.s_nationkey = n.n_nationkey"""),
     "sql_broadcast_dimension": (["DJN2"], ["lineitem", "supplier", "nation", "region"], """
 select /*+ BROADCAST(n), BROADCAST(r) */ r.r_name, n.n_name, count(*) as lines,
@@ -159,8 +161,9 @@ from customer c"""),
 select o_orderkey, row_number() over w as rn, rank() over w as rnk, dense_rank() over w as drnk,
   round(percent_rank() over w, 6) as prank, ntile(3) over w as tile, round(cume_dist() over w, 6) as cdist
 from orders window w as (partition by o_custkey order by o_orderstatus, o_orderkey)""", """
-select o_orderkey, row_number() over w as rn, rank() over w as rnk, dense_rank() over w as drnk,
-  round(percent_rank() over w, 6) as prank, ntile(3) over w as tile, round(cume_dist() over w, 6) as cdist
+select o_orderkey, cast(row_number() over w as integer) as rn, cast(rank() over w as integer) as rnk,
+  cast(dense_rank() over w as integer) as drnk,
+  round(percent_rank() over w, 6) as prank, cast(ntile(3) over w as integer) as tile, round(cume_dist() over w, 6) as cdist
 from orders window w as (partition by o_custkey order by o_orderstatus, o_orderkey)"""),
     "sql_value_windows": (["DWN2"], ["orders"], """
 select o_orderkey,
@@ -267,20 +270,21 @@ select p_partkey, lower(p_name) as lo, upper(p_brand) as up, trim(concat('  ', p
   substr(p_name, 2, 4) as sub, replace(p_name, ' ', '_') as rep, string_split(p_name, ' ')[1] as first_word,
   lpad(cast(p_size as varchar), 4, '0') as padded, p_name like '%ring%' as has_ring, p_type ilike 'small%' as small,
   regexp_extract(p_brand, '([0-9]+)', 1) as brand_no, regexp_replace(p_name, '[aeiou]', '*', 'g') as masked,
-  regexp_matches(p_name, '^(red|blue)') as primary_color, length(p_name) as len
+  regexp_matches(p_name, '^(red|blue)') as primary_color, cast(length(p_name) as integer) as len
 from part"""),
     "sql_date_functions": (["DSC2"], ["orders"], """
-select o_orderkey, date_trunc('MONTH', o_orderdate) as month_start, extract(year from o_orderdate) as yr,
+select o_orderkey, cast(date_trunc('MONTH', o_orderdate) as timestamp_ntz) as month_start,
+  extract(year from o_orderdate) as yr,
   extract(quarter from o_orderdate) as qtr, datediff(DAY, o_orderdate, timestamp_ntz'2002-01-01 00:00:00') as days_left,
   date_add(cast(o_orderdate as date), 45) as due, date_format(o_orderdate, 'yyyy/MM/dd') as fmt,
   to_timestamp_ntz(date_format(o_orderdate, 'dd-MM-yyyy'), 'dd-MM-yyyy') as parsed,
   dayofweek(o_orderdate) as dow, unix_seconds(cast(o_orderdate as timestamp)) as epoch
 from orders""", """
-select o_orderkey, date_trunc('month', o_orderdate) as month_start, extract(year from o_orderdate) as yr,
-  extract(quarter from o_orderdate) as qtr, date_diff('day', o_orderdate, timestamp '2002-01-01 00:00:00') as days_left,
+select o_orderkey, date_trunc('month', o_orderdate) as month_start,
+  cast(extract(year from o_orderdate) as integer) as yr, cast(extract(quarter from o_orderdate) as integer) as qtr, date_diff('day', o_orderdate, timestamp '2002-01-01 00:00:00') as days_left,
   cast(o_orderdate as date) + 45 as due, strftime(o_orderdate, '%Y/%m/%d') as fmt,
   strptime(strftime(o_orderdate, '%d-%m-%Y'), '%d-%m-%Y') as parsed,
-  dayofweek(o_orderdate) + 1 as dow, cast(epoch(o_orderdate) as bigint) as epoch
+  cast(dayofweek(o_orderdate) + 1 as integer) as dow, cast(epoch(o_orderdate) as bigint) as epoch
 from orders"""),
     "sql_math_functions": (["DSC3"], ["lineitem"], """
 select l_orderkey, l_linenumber, round(l_extendedprice, 1) as r1, floor(l_extendedprice) as fl,
@@ -299,15 +303,16 @@ select vec_id, label, size(embedding) as dims, round(aggregate(embedding, 0D, (a
   size(slice(embedding, 2, 5)) as sliced, round(array_max(transform(embedding, x -> abs(x))), 6) as max_abs,
   round(sort_array(embedding)[0], 6) as min_sorted, sequence(1L, cast(label as bigint) + 1) as seq
 from embeddings""", """
-select vec_id, label, len(embedding) as dims, round(list_reduce(list_transform(embedding, lambda x: x::double),
+select vec_id, label, cast(len(embedding) as integer) as dims, round(list_reduce(list_transform(embedding, lambda x: x::double),
   lambda acc, x: acc + x, 0::double), 4) as total,
-  len(list_filter(embedding, lambda x: x > 0)) as positives, round(embedding[1], 6) as first_elem,
-  len(embedding[2:6]) as sliced, round(list_max(list_transform(embedding, lambda x: abs(x))), 6) as max_abs,
+  cast(len(list_filter(embedding, lambda x: x > 0)) as integer) as positives, round(embedding[1], 6) as first_elem,
+  cast(len(embedding[2:6]) as integer) as sliced, round(list_max(list_transform(embedding, lambda x: abs(x))), 6) as max_abs,
   round(list_sort(embedding)[1], 6) as min_sorted, generate_series(1, label + 1) as seq
 from embeddings"""),
     "sql_explode": (["DSC4"], ["part"], """
 select p_partkey, pos + 1 as pos, word from part lateral view posexplode(split(p_name, ' ')) t as pos, word""", """
-select p_partkey, generate_subscripts(string_split(p_name, ' '), 1) as pos, unnest(string_split(p_name, ' ')) as word
+select p_partkey, cast(generate_subscripts(string_split(p_name, ' '), 1) as integer) as pos,
+  unnest(string_split(p_name, ' ')) as word
 from part"""),
     "sql_struct_map": (["DSC5"], ["supplier"], """
 select s_suppkey, named_struct('k', s_suppkey, 'n', s_nationkey).n as nation_from_struct,

@@ -84,8 +84,9 @@ def q_keys_users(spark, sf_dir):
 
 
 @register("dataset_status_by_space", ["FLT7"], duck_with("datasets") + """
-select space_id, count_if(status = 'success') as ready_files, count_if(status = 'processing') as processing_files,
-  count_if(status = 'error') as error_files from datasets group by space_id""")
+select space_id, cast(count_if(status = 'success') as bigint) as ready_files,
+  cast(count_if(status = 'processing') as bigint) as processing_files,
+  cast(count_if(status = 'error') as bigint) as error_files from datasets group by space_id""")
 def q_status(spark, sf_dir):
     return U.dataset_status(derived(spark, sf_dir, "datasets"))
 
@@ -105,7 +106,7 @@ def q_key_storage(spark, sf_dir):
 
 
 @register("query_log_stats", ["CAT7"], duck_with("query_history") + """
-select user_id, cast(created_at as date) as date, count(*) as runs, count_if(status <> 'success') as failures,
+select user_id, cast(created_at as date) as date, count(*) as runs, cast(count_if(status <> 'success') as bigint) as failures,
   cast(sum(row_count) as bigint) as rows, round(avg(execution_time_ms), 2) as avg_ms,
   quantile_cont(execution_time_ms, 0.5) as median_ms
 from query_history group by user_id, cast(created_at as date)""")
