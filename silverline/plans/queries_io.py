@@ -102,7 +102,21 @@ def q_file_stats(spark, sf_dir):
     return RD.file_stats(spark.read.parquet(root))
 
 
-@register("promote_write_gold_customer", ["SNK2", "CAT5", "CAT3", "CAT4"])
+def _duck_gold_customer_columns():
+    from silverline.functions import patterns as P
+    from silverline.plans import duck as D
+    from silverline.plans.fixtures import duck_with
+    from silverline.plans.queries_quality import DIRTY_CUSTOMER_COLUMNS
+
+    sql_type = ("case expected_type " + " ".join(f"when '{a}' then '{b}'" for a, b in P.SEMANTIC_SQL_TYPES)
+                + " else 'VARCHAR' end")
+    return duck_with("dirty_customer") + f"""
+select 'dirty_customer' as table_name, column_name, expected_type as column_type, {sql_type} as sql_type,
+  round(valid_percentage, 4) as valid_percentage
+from ({D.column_stats_sql("dirty_customer", DIRTY_CUSTOMER_COLUMNS)}) s"""
+
+
+@register("promote_write_gold_customer", ["SNK2", "CAT5", "CAT3", "CAT4"], _duck_gold_customer_columns())
 def q_write_gold(spark, sf_dir):
     from silverline.sources.sinks import write_gold
 

@@ -94,7 +94,13 @@ def q_pack_context(spark, sf_dir):
     return CX.pack_context(docs, "source", "name", "text", order_col="doc_id")
 
 
-@register("sample_rows_context", ["CTX2", "WIN2"])
+@register("sample_rows_context", ["CTX2", "WIN2"], """
+with p as (select source as _dataset_id, doc_id, lang, n_chars,
+             row_number() over (partition by source order by doc_id) as _row_number from documents)
+select _dataset_id, count(*) as preview_rows,
+  '[' || string_agg(json_object('doc_id', doc_id, 'lang', lang, 'n_chars', n_chars)::varchar, ','
+                    order by _row_number) || ']' as rows_json
+from p where _row_number <= 100 group by _dataset_id""")
 def q_sample_rows(spark, sf_dir):
     from silverline.plans.queries_docs import provenance_docs
 

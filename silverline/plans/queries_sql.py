@@ -417,7 +417,14 @@ def q_run_sql_capped(spark, sf_dir):
                           "order by l_extendedprice desc, l_orderkey, l_linenumber;", limit=1000)
 
 
-@register("sql_logged_runs", ["CAT2", "CAT7"])
+@register("sql_logged_runs", ["CAT2", "CAT7"], """
+select 'select o_orderstatus, count(*) from orders group by o_orderstatus' as query_text, 'success' as status,
+  (select count(distinct o_orderstatus) from orders) as row_count
+union all
+select 'select * from orders where o_totalprice > 400000', 'success',
+  (select count(*) from orders where o_totalprice > 400000)
+union all
+select 'select no_such_column from orders', 'error', cast(0 as bigint)""")
 def q_logged_runs(spark, sf_dir):
     from silverline.operators.catalog import run_sql_logged
 
