@@ -139,9 +139,6 @@ FILE_BULLET = "• "
 
 #: A word character as Python's Unicode ``\w`` sees it.
 WORD = r"[\p{L}\p{N}_]"
-NOT_WORD = r"[^\p{L}\p{N}_]"
-#: A decimal digit as Python's Unicode ``\d`` sees it.
-DIGIT = r"\p{Nd}"
 
 
 def _whitespace_class(negate: bool = False) -> str:
@@ -235,11 +232,3 @@ DETECT_DATES = [py_to_portable(p) for p in _DETECT_DATES_PY]
 
 #: A number Spark's and DuckDB's casts both read the same way (our rule, SURVEY 7.4 #7).
 PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-
-#: Unanchored entity patterns for extraction: the validator's patterns without anchors.
-ENTITY_PATTERNS = [
-    ("email", py_to_portable(r"[\w\.-]+@[\w\.-]+\.\w+")),
-    ("phone", py_to_portable(r"(?:\+84|0)[0-9]{9,10}")),
-    ("date", py_to_portable(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}")),
-    ("money", py_to_portable(r"\d[\d\.,]*\s?(?:VNĐ|VND|đồng|đ|\$)")),
-]

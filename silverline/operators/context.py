@@ -75,7 +75,8 @@ def raw_documents(docs: DataFrame, group_col: str, order_cols: list, n: int, tex
                   excerpt_chars: int | None = None) -> DataFrame:
     """CTX4: newest ``n`` documents per group with the group's total document count.
 
-    ``excerpt_chars`` optionally cuts each text (the reference's 10,000); default: whole text.
+    ``excerpt_chars`` optionally cuts each text (the reference used ``P.RAW_DOCUMENT_CHARS``);
+    the default keeps whole texts.
     """
     from silverline.operators.catalog import newest_per_group
 
