@@ -55,15 +55,19 @@ def main() -> None:
     names = only or HEADLINE
     spark_times: dict[str, float] = {}
     duck_times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         q = queries[name]
         runs = []
-        for i in range(reps + 1):
-            t0 = time.perf_counter()
-            q.fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:
-                runs.append(time.perf_counter() - t0)
-        spark_times[name] = round(statistics.median(runs), 3)
+        try:
+            for i in range(reps + 1):
+                t0 = time.perf_counter()
+                q.fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                if i:
+                    runs.append(time.perf_counter() - t0)
+            spark_times[name] = round(statistics.median(runs), 3)
+        except Exception as e:  # noqa: BLE001 - one failing query must not hide the others' timings
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
     if with_duck:
         import duckdb
 
@@ -76,13 +80,16 @@ def main() -> None:
             if sql is None:
                 continue
             runs = []
-            for i in range(reps + 1):
-                t0 = time.perf_counter()
-                # hash every output column so DuckDB cannot prune computed expressions
-                con.execute(f"select count(*), sum(hash(__q)) from ({sql}) __q").fetchall()
-                if i:
-                    runs.append(time.perf_counter() - t0)
-            duck_times[name] = round(statistics.median(runs), 3)
+            try:
+                for i in range(reps + 1):
+                    t0 = time.perf_counter()
+                    # hash every output column so DuckDB cannot prune computed expressions
+                    con.execute(f"select count(*), sum(hash(__q)) from ({sql}) __q").fetchall()
+                    if i:
+                        runs.append(time.perf_counter() - t0)
+                duck_times[name] = round(statistics.median(runs), 3)
+            except Exception as e:  # noqa: BLE001
+                errors[f"duckdb:{name}"] = f"{type(e).__name__}: {str(e)[:300]}"
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     total = round(sum(spark_times.values()), 3)
     print(json.dumps({
@@ -95,6 +102,7 @@ def main() -> None:
         "reps": reps,
         "duckdb_queries": duck_times,
         "duckdb_total_sec": round(sum(duck_times.values()), 3),
+        **({"errors": errors} if errors else {}),
     }))
 
 
