@@ -179,11 +179,14 @@ def not_promoted(datasets: DataFrame, gold_tables: DataFrame) -> DataFrame:
 def upsert(current: DataFrame, updates: DataFrame, key: str, version_col: str) -> DataFrame:
     """JOIN7: latest version per key wins; rows of keys that are not updated stay.
 
-    ``row_number`` per key: a key has only a handful of versions, so no group is large.
+    ``max_by`` in a ``groupBy`` (partial aggregation): every executor keeps only its latest
+    version of each key before the shuffle, so even a key with very many versions costs one
+    row per partition.
     """
     both = current.unionByName(updates, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(version_col).desc_nulls_last())
-    return both.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    cols = [c for c in both.columns if c != key]
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col(version_col)).alias("__r"))
+    return latest.select(key, *[F.col(f"__r.`{c}`").alias(c) for c in cols])
 
 
 def cascade_delete(parents: DataFrame, children: DataFrame, deleted: DataFrame, parent_key: str,
