@@ -48,24 +48,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_BASE: dict[int, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's shared ``spark.checkpoint.dir``.
 
     The setting is read from the session.  Only a local-mode session without
-    the setting (tests, the bench) gets a fresh temporary folder assigned; a
-    cluster session without it is an error, because a machine-local folder is
-    not visible to other executors.
+    the setting (tests, ad-hoc runs) gets a fresh temporary folder, remembered
+    per SparkContext; a cluster session without it is an error, because a
+    machine-local folder is not visible to other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_BASE.get(id(spark.sparkContext))
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
         base = tempfile.mkdtemp(prefix="silverline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
+        _LOCAL_BASE[id(spark.sparkContext)] = base
     return base.rstrip("/") + "/" + name
 
 
