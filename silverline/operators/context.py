@@ -1,8 +1,8 @@
 """Context assembly for language-model prompts (CTX1, CTX2, CTX4) as batch jobs.
 
 Per-group counts come from a ``groupBy`` (partial aggregation; a hot group is
-pre-reduced on every executor) joined back to the rows, never from a window
-over the whole group.  The packed context of a group is bounded by its
+pre-reduced on every executor) attached back to the rows by broadcast or a
+salted join (``joins.attach_per_key``), never from a window over the whole group.  The packed context of a group is bounded by its
 budget: each document contributes at most ``min(8000, 50000 div n)``
 characters, so the text of one group never exceeds 50,000 characters.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverline.functions import patterns as P
-from silverline.session import maybe_broadcast
+from silverline.operators.joins import attach_per_key
 
 
 def _group_counts(df: DataFrame, group_col: str, name: str = "__n") -> DataFrame:
@@ -27,8 +27,7 @@ def context_blocks(docs: DataFrame, group_col: str, name_col: str, text_col: str
     budget = min(max_chars, total_chars div documents in the group).  Columns: group, file,
     order (``order_col``, default the name), files, budget, block.
     """
-    counts = maybe_broadcast(_group_counts(docs, group_col))
-    d = docs.join(counts, group_col)
+    d = attach_per_key(docs, _group_counts(docs, group_col), [group_col], how="inner")
     budget = F.least(F.lit(max_chars), F.floor(F.lit(total_chars) / F.col("__n")).cast("int"))
     return d.select(
         group_col, F.col(name_col).alias("file"), F.col(order_col or name_col).alias("order"),
@@ -80,8 +79,7 @@ def raw_documents(docs: DataFrame, group_col: str, order_cols: list, n: int, tex
     """
     from silverline.operators.catalog import newest_per_group
 
-    counts = maybe_broadcast(_group_counts(docs, group_col, "total_documents"))
     newest = newest_per_group(docs, group_col, order_cols, n)
     if excerpt_chars:
         newest = newest.withColumn(text_col, F.substring(text_col, 1, excerpt_chars))
-    return newest.join(counts, group_col)
+    return attach_per_key(newest, _group_counts(docs, group_col, "total_documents"), [group_col], how="inner")

@@ -1,8 +1,8 @@
 """Question routing and cache analysis (RTE1-RTE3) as batch jobs over a question table.
 
 Intent scores are sums of ``rlike`` tests on the lower-cased question (pure
-JVM expressions); routing joins a per-space gold-table count (one row per
-space, broadcast after a size check); cache statistics group by
+JVM expressions); routing attaches a per-space gold-table count (one row per
+space: broadcast after a size check, else a salted join); cache statistics group by
 (space, md5(lower(question))) with partial aggregation.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from silverline.functions import patterns as P
 from silverline.functions.text import question_hash
-from silverline.session import maybe_broadcast
+from silverline.operators.joins import attach_per_key
 
 INTENT_LISTS = {
     "numeric": P.NUMERIC_INTENT,
@@ -58,7 +58,7 @@ def route(questions: DataFrame, gold_tables: DataFrame, col: str = "question") -
     """RTE2: sql when the space has gold tables and the intent is numeric/aggregate/lookup;
     list_documents when the intent is list and the text names documents; otherwise ai."""
     per_space = gold_tables.groupBy("space_id").agg(F.count(F.lit(1)).alias("gold_tables"))
-    q = classify_intent(questions, col).join(maybe_broadcast(per_space), "space_id", "left")
+    q = attach_per_key(classify_intent(questions, col), per_space, ["space_id"], how="left")
     has_gold = F.coalesce(F.col("gold_tables"), F.lit(0)) > 0
     decision = (
         F.when(has_gold & F.col("intent").isin("numeric", "aggregate", "lookup"), F.lit("sql"))

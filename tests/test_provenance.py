@@ -20,3 +20,16 @@ def test_hot_dataset_spans_many_partitions(spark):
     df = spark.createDataFrame(rows, "ds string, k bigint")
     ranged = df.repartitionByRange(16, "ds", "k").withColumn("p", F.spark_partition_id())
     assert ranged.where(F.col("ds") == "hot").select("p").distinct().count() > 3
+
+
+def test_attach_per_key_salted_path_matches_broadcast(spark):
+    from silverline.operators.joins import attach_per_key
+
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i % 40}", i) for i in range(2000)],
+                                 "g string, v bigint")
+    per_key = rows.groupBy("g").count()
+    a = attach_per_key(rows, per_key, ["g"])                        # broadcast path
+    b = attach_per_key(rows, per_key, ["g"], broadcast_limit=5)     # salted path
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert b.count() == 5000 and "hashpartitioning(g" in plan and "__salt" in plan
