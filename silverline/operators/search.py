@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from silverline.functions import patterns as P
 from silverline.operators.columns import row_text
-from silverline.session import maybe_broadcast
+from silverline.operators.joins import attach_per_key
 
 PROVENANCE_FIELDS = [
     ("source_file", "_source_file"),
@@ -43,7 +43,7 @@ def provenance_search(df: DataFrame, query: str, datasets: DataFrame | None = No
     """FLT2 (+JOIN5): every match with its user columns and a flat provenance record.
 
     Missing provenance falls back to the dataset's name and type from ``datasets``
-    (id, name, file_type), joined by broadcast after a size check.
+    (id, name, file_type), attached by broadcast after a size check, else a salted join.
     """
     user = columns or [c for c in df.columns if not c.startswith("_")]
     hits = df.where(matches(df, query, user))
@@ -51,9 +51,9 @@ def provenance_search(df: DataFrame, query: str, datasets: DataFrame | None = No
         (F.col(src) if src in df.columns else F.lit(None)).alias(f"prov_{name}") for name, src in PROVENANCE_FIELDS
     ])
     if datasets is not None:
-        ds = maybe_broadcast(datasets.select(
-            F.col("id").alias("prov_dataset_id"), F.col("name").alias("__ds_name"), F.col("file_type").alias("__ds_type")))
-        out = out.join(ds, "prov_dataset_id", "left").withColumns({
+        ds = datasets.select(
+            F.col("id").alias("prov_dataset_id"), F.col("name").alias("__ds_name"), F.col("file_type").alias("__ds_type"))
+        out = attach_per_key(out, ds, ["prov_dataset_id"], how="left").withColumns({
             "prov_source_file": F.coalesce("prov_source_file", "__ds_name"),
             "prov_file_type": F.coalesce("prov_file_type", "__ds_type"),
         }).drop("__ds_name", "__ds_type")

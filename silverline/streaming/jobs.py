@@ -20,7 +20,7 @@ from silverline.functions import text as X
 from silverline.functions.patterns import DEFAULT_PLAN, PLAN_LIMITS
 from silverline.operators.provenance import number_rows
 from silverline.operators.usage import with_plan_limits
-from silverline.session import maybe_broadcast
+from silverline.operators.joins import attach_per_key
 
 
 DEFAULT_RATE = dict((p[0], p[3]) for p in PLAN_LIMITS)[DEFAULT_PLAN]
@@ -84,7 +84,7 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
         except Exception:  # noqa: BLE001 - the first batch has no earlier totals
             prev = batch.sparkSession.createDataFrame([], f"{dataset_col} string, rows bigint")
         prev = prev.select(dataset_col, F.col("rows").alias("__offset"))
-        out = numbered.join(maybe_broadcast(prev), dataset_col, "left").withColumn(
+        out = attach_per_key(numbered, prev, [dataset_col], how="left").withColumn(
             "_row_number", F.col("__local") + F.coalesce("__offset", F.lit(0))).drop("__local", "__offset")
         out = out.withColumn("_batch_id", F.lit(epoch_id).cast("bigint"))
         out.write.mode("overwrite").partitionBy(dataset_col).parquet(_batch_path(sink, epoch_id))
@@ -146,7 +146,7 @@ def rate_windows(spark: SparkSession, source_dir: str, schema, keys: DataFrame,
     def enrich(batch: DataFrame) -> DataFrame:
         b = batch.select("api_key_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "requests")
         # keys without a known user fall back to the default plan's limit
-        out = b.join(maybe_broadcast(limits), "api_key_id", "left").withColumn(
+        out = attach_per_key(b, limits, ["api_key_id"], how="left").withColumn(
             "limit", F.coalesce("limit", F.lit(DEFAULT_RATE)))
         return out.withColumn("over_limit", F.col("requests") > F.col("limit"))
 
