@@ -26,6 +26,9 @@ WHAT = {
     "asof_join_purchase_last_view": "as-of join: windows partitioned by (key, day bucket), per-bucket carry",
     "gold_tables_documents": "every (dataset, column) profiled in one grouped aggregation",
     "sql_broadcast_dimension": "fact table joined to hinted dimension broadcasts",
+    "pack_context_by_source": "per-source counts (partial aggregation) attached to the documents by a checked "
+                              "broadcast, then one bounded list per source",
+    "route_questions": "intent scores as JVM expressions; per-space counts attached by a checked broadcast",
 }
 
 
