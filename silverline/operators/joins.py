@@ -19,9 +19,15 @@ from silverline.session import BROADCAST_ROW_LIMIT, rows_at_most
 def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left",
                    salt_buckets: int = 32, broadcast_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Left/inner join of a one-row-per-key table onto ``rows``, broadcast or salted."""
+    # key columns of the fact table are renamed and compared null-safely: a null key is a group too
+    facts = per_key.select(*[F.col(f"`{c}`").alias(f"__k_{c}") if c in keys else F.col(f"`{c}`")
+                             for c in per_key.columns])
+    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    drop = [f"__k_{k}" for k in keys]
     if rows_at_most(per_key, broadcast_limit):
-        return rows.join(F.broadcast(per_key), keys, how)
+        return rows.join(F.broadcast(facts), cond, how).drop(*drop)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salt_buckets))
     salted_rows = rows.withColumn("__salt", salt)
-    salted_keys = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return salted_rows.join(salted_keys, [*keys, "__salt"], how).drop("__salt")
+    salted_facts = facts.withColumn("__fsalt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    cond = cond + [F.col("__salt") == F.col("__fsalt")]
+    return salted_rows.join(salted_facts, cond, how).drop("__salt", "__fsalt", *drop)

@@ -57,11 +57,14 @@ def number_rows(df: DataFrame, partition_by: list[str], order_by: list[str], out
     )
     before = Window.partitionBy(*partition_by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    slices = slices.select("__pid", *partition_by, "__first", "__offset")
-    numbered = ranged.join(maybe_broadcast(slices), ["__pid", *partition_by])
+    slices = slices.select(F.col("__pid").alias("__spid"), *[F.col(c).alias(f"__s_{c}") for c in partition_by],
+                           "__first", "__offset")
+    # null-safe on the group columns: rows whose group is null are numbered too, never dropped
+    cond = [F.col("__pid") == F.col("__spid")] + [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in partition_by]
+    numbered = ranged.join(maybe_broadcast(slices), cond)
     return numbered.withColumn(
         out, (F.col("__pos") - F.col("__first") + F.col("__offset") + F.lit(1)).cast("bigint")
-    ).drop("__pid", "__pos", "__first", "__offset")
+    ).drop("__pid", "__pos", "__first", "__offset", "__spid", *[f"__s_{c}" for c in partition_by])
 
 
 def add_provenance(df: DataFrame, dataset_id: Column | str, source_file: Column | str,

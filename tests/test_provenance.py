@@ -33,3 +33,15 @@ def test_attach_per_key_salted_path_matches_broadcast(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert b.count() == 5000 and "hashpartitioning(g" in plan and "__salt" in plan
+
+
+def test_null_groups_are_kept(spark):
+    from silverline.operators.joins import attach_per_key
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "ds string, k bigint")
+    got = sorted(((r["ds"] or ""), r["k"], r["_row_number"]) for r in number_rows(df, ["ds"], ["k"]).collect())
+    assert got == [("", 1, 1), ("", 2, 2), ("a", 1, 1)]
+    counts = df.groupBy("ds").count()
+    for limit in (10, 0):
+        out = attach_per_key(df, counts, ["ds"], how="inner", broadcast_limit=limit)
+        assert sorted(((r["ds"] or ""), r["count"]) for r in out.collect()) == [("", 2), ("", 2), ("a", 1)]
