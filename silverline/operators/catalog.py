@@ -111,7 +111,10 @@ def promote(df: DataFrame, table_name: str) -> tuple[DataFrame, DataFrame, DataF
     Returns (gold rows, gold_tables row, gold_columns rows).  The per-column types reach the
     driver as one small row per column; the data itself is transformed in one ``select``.
     """
-    v = PR.validate_columns(df)
+    profiled = PR.validate_columns(df)
+    # one scan: the validation has one row per column, so it is collected once and the
+    # quality and metadata frames are derived from that small local copy
+    v = df.sparkSession.createDataFrame(profiled.collect(), profiled.schema)
     q = PR.table_quality(v, table_name)
     qrow = q.select("overall_score", "quality_level").first()
     types = {r["column_name"]: r["expected_type"] for r in v.select("column_name", "expected_type").collect()}
