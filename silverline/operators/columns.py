@@ -84,13 +84,14 @@ def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in cols])
 
 
-def schema_json(df: DataFrame) -> str:
+def schema_json(df: DataFrame | T.StructType) -> str:
     """PRJ7: published schema: user columns (name, SQL type) and the internal column names."""
-    user = [f for f in df.schema.fields if not f.name.startswith("_")]
+    schema = df if isinstance(df, T.StructType) else df.schema
+    user = [f for f in schema.fields if not f.name.startswith("_")]
     return json.dumps({
         "columns": [{"name": f.name, "type": f.dataType.simpleString(), "sql_type": sql_type_of_dtype(f.dataType)}
                     for f in user],
-        "internal_columns": [f.name for f in df.schema.fields if f.name.startswith("_")],
+        "internal_columns": [f.name for f in schema.fields if f.name.startswith("_")],
     })
 
 

@@ -42,7 +42,22 @@ def q_clean_headers(spark, sf_dir):
     return COL.normalize_columns(messy, strip_underscore=False)
 
 
-@register("schema_json_provenance", ["PRJ7"])
+#: Column layout of the provenance documents (documents columns, then the provenance columns).
+PROVENANCE_LAYOUT = [("doc_id", "bigint"), ("content", "string"), ("lang", "string"), ("n_chars", "bigint"),
+                     ("_dataset_id", "string"), ("_source_file", "string"), ("_source_type", "string"),
+                     ("_row_number", "bigint"), ("_content_hash", "string")]
+
+
+def _duck_schema_json():
+    from pyspark.sql import types as T
+
+    kinds = {"bigint": T.LongType(), "string": T.StringType()}
+    layout = T.StructType([T.StructField(n, kinds[t]) for n, t in PROVENANCE_LAYOUT])
+    text = COL.schema_json(layout)
+    return f"select source as _dataset_id, count(*) as row_count, {D.q(text)} as schema_json from documents group by source"
+
+
+@register("schema_json_provenance", ["PRJ7"], _duck_schema_json())
 def q_schema_json(spark, sf_dir):
     from silverline.plans.queries_docs import provenance_docs
 
