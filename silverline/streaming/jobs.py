@@ -79,8 +79,11 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
     def process(batch: DataFrame, epoch_id: int):
         cleaned = batch.withColumns({c: X.collapse_ws(X.fix_mojibake(c)) for c in text_cols})
         numbered = number_rows(cleaned, [dataset_col], [order_col], out="__local")
+        # running totals are cumulative per epoch folder: the largest total of any EARLIER epoch
+        # is the offset, so an epoch without output (or a re-run of this one) changes nothing
         try:
-            prev = batch.sparkSession.read.parquet(_batch_path(totals_root, epoch_id - 1))
+            earlier = batch.sparkSession.read.parquet(totals_root).where(F.col("_batch") < epoch_id)
+            prev = earlier.groupBy(dataset_col).agg(F.max("rows").alias("rows"))
         except Exception:  # noqa: BLE001 - the first batch has no earlier totals
             prev = batch.sparkSession.createDataFrame([], f"{dataset_col} string, rows bigint")
         prev = prev.select(dataset_col, F.col("rows").alias("__offset"))
