@@ -36,12 +36,20 @@ def _row_md5(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.md5(F.concat_ws("\u001f", *parts))
 
 
-def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """AGG8: order-insensitive digest: row count + sum of the first 8 hex digits of each row's md5.
+def table_fingerprint(df: DataFrame, columns: list[str] | None = None, method: str = "md5") -> DataFrame:
+    """AGG8: order-insensitive digest: row count + a sum of per-row hashes.
 
-    A sum is associative, so the digest is computed with partial aggregation and is
-    unchanged by any repartitioning or row order.
+    ``md5`` (portable, the DuckDB twin computes the same): first 8 hex digits of each
+    row's md5.  ``xxhash64`` (faster, Spark only): each row's xxhash64, summed exactly as a
+    decimal.  A sum is associative, so the digest uses partial aggregation and is unchanged
+    by any repartitioning or row order; unlike XOR, duplicate rows do not cancel out.
     """
+    if method == "xxhash64":
+        cols = [F.col(f"`{c}`") for c in (columns or df.columns)]
+        part = F.xxhash64(*cols).cast("decimal(38,0)")
+        return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(part).alias("digest")).select(
+            "rows", F.col("digest").cast("string").alias("digest"),
+            F.concat_ws(":", F.col("rows").cast("string"), F.col("digest").cast("string")).alias("fingerprint"))
     h = _row_md5(df, columns)
     part = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(part).cast("bigint").alias("digest")).select(

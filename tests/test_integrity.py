@@ -9,6 +9,10 @@ def test_fingerprint_ignores_order_and_partitioning(spark):
     b = IN.table_fingerprint(df.repartition(13).orderBy(F.rand(1))).first()["fingerprint"]
     c = IN.table_fingerprint(df.where("id > 0")).first()["fingerprint"]
     assert a == b and a != c
+    x = IN.table_fingerprint(df, method="xxhash64").first()["fingerprint"]
+    y = IN.table_fingerprint(df.repartition(7).orderBy(F.rand(2)), method="xxhash64").first()["fingerprint"]
+    dup = IN.table_fingerprint(df.unionByName(df.limit(1)), method="xxhash64").first()["fingerprint"]
+    assert x == y and x != dup
 
 
 def test_change_counts_null_safe(spark):
