@@ -137,3 +137,13 @@ def test_sql_functions_match_model(spark):
     got = spark.sql("select clean_date('3/4/24') as d, clean_integer('2.5') as i, is_valid_for_type('có', 'boolean') as b, "
                     "pattern_is('012345678901', 'cleaner_cccd') as c").first()
     assert str(got.d.date()) == "2024-04-03" and got.i == 2 and got.b is True and got.c is True
+
+
+def test_all_sql_functions_registered(spark):
+    from silverline.functions.sql_functions import definitions, register_sql_functions
+
+    names = register_sql_functions(spark, prefix="t_")
+    assert names == ["t_" + d[0] for d in definitions()]
+    row = spark.sql("select t_sql_type('money') as a, t_normalize_phone('09 12.34-5') as b, "
+                    "t_markup_to_text('<p>a</p>\\n<b>b</b>') as c, t_question_hash('ABC') = md5('abc') as d").first()
+    assert (row.a, row.b, row.c, row.d) == ("DOUBLE", "0912345", "a b", True)
