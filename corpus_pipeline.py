@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silverline.llm import decontaminate, langid, mixing, ngram_join, quality
-from silverline.session import materialize
+from silverline.session import configure, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from two thirds of the rows that have a language; drop documents whose language is not found."""
+    configure(spark)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     return langid.keep_identified(langid.train(docs.where(fold != 1)), docs)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from four fifths of the labels; drop documents that score low."""
+    configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return quality.keep_good(quality.train(docs, labels.where(fold != 0)), docs)
@@ -35,16 +37,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    configure(spark)
     return ngram_join.one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    configure(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicate to the target weights and shuffle."""
+    configure(spark)
     return mixing.mix_sources(docs)
 
 
