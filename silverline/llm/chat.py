@@ -115,7 +115,8 @@ def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Turns and loss texts parsed from ``formatted`` and ``loss`` alone: adds turns (role, text) and loss_texts."""
-    raw = F.slice(F.split(F.col("formatted"), r"<\|im_start\|>", -1), F.lit(2), F.lit(2**31 - 1))
+    cut = F.split(F.col("formatted"), r"<\|im_start\|>", -1)
+    raw = F.slice(cut, F.lit(2), F.size(cut))
 
     def turn(piece: Column) -> Column:
         cut = F.instr(piece, "\n")

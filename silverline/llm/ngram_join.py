@@ -128,7 +128,7 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 def _first_block(docs: DataFrame, levels: np.ndarray, usual: float, k: int, percent: int, hot: int) -> DataFrame:
     """Entries (token, salt, key, n, left) of the first block; left: columns from this one on."""
     model = docs.sparkSession.sparkContext.broadcast(levels)
-    salts = np.maximum(1, np.ceil(usual * 2.0 ** (np.arange(256) + 1) / hot)).astype(np.uint64)
+    salts = np.maximum(1, np.ceil(usual * 2.0 ** np.minimum(np.arange(256) + 1, 50) / hot)).astype(np.uint64)
 
     def run(batches):
         import pyarrow as pa

@@ -116,6 +116,19 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
   case when page_id <> first_id then first_id end refers_to from b
 """
 
+SQL["op4_ngram_join"] = rf"""
+with recursive dw as materialized (select doc_id, case when text is null then cast([] as varchar[]) else regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') end w from documents),
+sh as materialized (select distinct doc_id, hash(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) s
+  from dw, lateral (select unnest(range(1, len(w) - least(5, len(w)) + 2)) i) where len(w) > 0),
+n as materialized (select doc_id, count(*) n from sh group by 1),
+p as materialized (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as materialized (select a, b from l union all select b, a from l),
+reach(d, r) as (select doc_id, doc_id from dw union select reach.d, e.b from reach join e on e.a = reach.r)
+select dw.doc_id, coalesce(n.n, 0) n_shingles, m component_id
+from dw left join n using (doc_id) join (select d, min(r) m from reach group by 1) on d = dw.doc_id
+"""
+
 SQL["op7_chat"] = rf"""
 with t as (select conv_id, turn, role, text from conversations
   union all select -1, 0, 'user', '{chat.STOP}{chat.START}assistant ok' union all select -1, 1, 'assistant', '{chat.STOP}{chat.START}assistant ok'),

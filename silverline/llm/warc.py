@@ -45,12 +45,11 @@ RECORDS_PER_FILE = 20_000
 
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 (RFC 4648, 32 characters) of the SHA-1 of a binary column."""
-    digest = F.sha1(data)
-    parts = []
-    for i in range(8):  # 5 hex digits are 20 bits are 4 characters
-        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+    def spell(digest: Column) -> Column:  # 5 hex digits are 20 bits are 4 digits of base 32
+        parts = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+        return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
+
+    return F.transform(F.array(F.sha1(data)), spell)[0]  # the digest is computed once
 
 
 def capture_plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -107,26 +106,33 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
                     F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece")))
 
 
+def _payload(record: Column, head: Column, size: Column) -> Column:
+    """Bytes of a record's payload: its block without the HTTP header."""
+    def cut(block: Column) -> Column:
+        return F.when(F.octet_length(block) > 0, F.substring(block, F.octet_length(F.substring_index(block.cast("string"), END, 1)) + 5,
+                                                             F.octet_length(block))).otherwise(block)
+
+    return F.transform(F.array(F.substring(record.cast("binary"), head + 1, size.cast("int"))), cut)[0]
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One row per piece with its offset, successor offset (null: no valid header) and the fields of its header."""
-    header = F.substring_index("piece", END, 1)
-    head = F.octet_length(header) + 4
-    length = _field(header, "Content-Length").cast("string")
-    size = F.when(length.rlike(r"^\d{1,18}$"), length.try_cast("long"))
-    # a piece that holds its whole record: the payload is measured here and does not move
-    body = F.substring(F.col("piece").cast("binary"), head + 1, size.cast("int"))
-    http = F.octet_length(F.substring_index(body.cast("string"), END, 1)) + 4
-    payload = F.when(size > 0, F.substring(body, http + 1, F.lit(2**31 - 1))).otherwise(body)
-    whole = F.octet_length("piece") == head + size + 4
-    thin = _pieces(spark, path).select(
+    header = F.col("header")
+    length = _field(header, "Content-Length")
+    rows = (_pieces(spark, path).withColumn("header", F.substring_index("piece", END, 1))
+            .withColumn("head", F.octet_length("header") + 4)
+            .withColumn("size", F.when(length.rlike(r"^\d{1,18}$"), length.try_cast("long")))
+            .withColumn("whole", F.octet_length("piece") == F.col("head") + F.col("size") + 4)
+            # a piece that holds its whole record: the payload is measured here and does not move
+            .withColumn("payload", F.when(F.col("whole"), _payload(F.col("piece"), F.col("head"), F.col("size")))))
+    thin = rows.select(
         "file", "block", "at", F.octet_length("piece").alias("n"),
-        F.when(F.octet_length("piece") >= head, head + size).alias("span"), whole.alias("whole"),
+        F.when(F.octet_length("piece") >= F.col("head"), F.col("head") + F.col("size")).alias("span"), "whole",
         _field(header, "WARC-Type").alias("record_type"),
         F.regexp_extract(header, r"(?im)^WARC-Record-ID:[ \t]*<urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
         F.regexp_extract(header, r"(?im)^WARC-Refers-To:[ \t]*<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
         _field(header, "WARC-Target-URI").alias("url"), _field(header, "WARC-Payload-Digest").alias("stated_digest"),
-        F.when(whole, F.octet_length(payload).cast("long")).alias("payload_bytes"),
-        F.when(whole, base32_sha1(payload)).alias("payload_digest"))
+        F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     thin = materialize(thin, "warc-candidates")
     step = F.col("n") + len(MAGIC)
     inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,11 +183,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     full = (pieces.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("p"))
             .select("file", F.col("start").alias("offset"),
                     F.array_join(F.transform("p", lambda x: x["piece"]), MAGIC).alias("text")))
-    header = F.substring_index("text", END, 1)
-    size = _field(header, "Content-Length").try_cast("int")
-    body = F.substring(F.col("text").cast("binary"), F.octet_length(header) + 5, size)
-    http = F.octet_length(F.substring_index(body.cast("string"), END, 1)) + 4
-    payload = F.when(size > 0, F.substring(body, http + 1, F.lit(2**31 - 1))).otherwise(body)
+    full = full.withColumn("header", F.substring_index("text", END, 1))
+    payload = _payload(F.col("text"), F.octet_length("header") + 4, _field(F.col("header"), "Content-Length").try_cast("long"))
     full = full.select("file", "offset", payload.alias("payload"))
     out = records.drop("block", "at", "next").join(full, ["file", "offset"], "left")
     out = (out.withColumn("payload_bytes", F.coalesce("payload_bytes", F.octet_length("payload").cast("long")))
