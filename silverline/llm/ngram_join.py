@@ -11,7 +11,7 @@ A document's row holds its distinct five-word shingles.  Documents link when
 3. The product over the first block accumulates overlap counts by pair, column by
    column.  Pairs are discarded by size-derived bounds: sizes further apart than 0.75,
    too few columns left for the needed overlap, or parity signatures (256 bits, then
-   2,048) that differ in more places than linked sets can.  Only surviving pairs
+   at least four per n-gram) that differ in more places than linked sets can.  Only surviving pairs
    meet in the remaining blocks, which gives their exact overlap.
 4. Not all pairs of a list are multiplied: rounds of neighbouring pairs (linear in a
    list) come first, then only pairs between different components, in
@@ -46,7 +46,7 @@ HOT = 50_000
 BROADCAST_IDS = 1_000_000
 LINEAR_ROUNDS = 3
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
-_WIDE = 2048
+_LEAST = 256
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS):
@@ -87,7 +87,8 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 key.append(_set_key(s) if len(s) else None)
                 np.add.at(cells, s >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
-                bits = np.packbits((np.bincount((s & np.uint64(_WIDE - 1)).astype(np.int64), minlength=_WIDE) & 1).astype(np.uint8))
+                size = max(_LEAST, 1 << (4 * len(s)).bit_length())
+                bits = np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
                 wide.append(bits.tobytes())
                 sig[i] = np.bitwise_xor.reduce(bits.reshape(-1, 32), axis=0).view(np.int64)
             none = pa.nulls(part.num_rows, pa.int32())
@@ -165,28 +166,31 @@ class _Sets:
         self.first = members.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
 
     def of(self, keys: DataFrame) -> DataFrame:
-        """key, s (bytes of the sorted set) of at least the given classes."""
+        """key, s (bytes of the sorted set) of the given classes."""
         k = self.k
-        if self.have is not None:
-            keys = keys.join(self.have.select("key"), "key", "left_anti")
-        want = materialize(keys.join(self.first, "key"), "join-wanted")
-        if want.count() <= BROADCAST_IDS:
-            want = F.broadcast(want)
+        keys = materialize(keys, "join-keys")
+        few = keys.count() <= BROADCAST_IDS
+        new = keys if self.have is None else keys.join(self.have.select("key"), "key", "left_anti")
+        want = materialize(new.join(self.first, "key"), "join-wanted")
+        if few:
+            keys, want = F.broadcast(keys), F.broadcast(want)
 
         def run(batches):
             import pyarrow as pa
 
+            seen = set()
             for part, texts in _batches(batches, 1):
                 sets = {i: s for i, s in shingle_sets(texts, k)}
                 # a doc_id may repeat with another text: only the text of the class counts
-                fits = [i for i, of in enumerate(part.column(0).to_pylist()) if len(sets[i]) and _set_key(sets[i]) == of]
+                fits = [i for i, of in enumerate(part.column(0).to_pylist())
+                        if of not in seen and len(sets[i]) and _set_key(sets[i]) == of and not seen.add(of)]
                 yield pa.record_batch([part.column(0).take(pa.array(fits, pa.int64())), pa.array([sets[i].tobytes() for i in fits], pa.binary())],
                                       names=["key", "s"])
 
         rows = self.docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(want, "id")
-        new = materialize(rows.select("key", "text").mapInArrow(run, "key long, s binary").dropDuplicates(["key"]), "join-sets")
+        new = materialize(rows.select("key", "text").mapInArrow(run, "key long, s binary"), "join-sets")
         self.have = new if self.have is None else self.have.unionByName(new)
-        return self.have
+        return self.have.join(keys, "key", "left_semi")
 
 
 def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -199,10 +203,15 @@ def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, _WIDE // 8) for i in (3, 5))
             size = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
-            needed = -(-size * percent // (100 + percent))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ones[x ^ y].sum(axis=1) <= size - 2 * needed))
+            most = size - 2 * -(-size * percent // (100 + percent))
+            keep = []
+            for x, y, limit in zip(batch.column(3), batch.column(5), most.tolist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                if len(x) != len(y):  # the longer is folded to the length of the shorter
+                    x, y = (np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+                keep.append(int(ones[x ^ y].sum()) <= limit)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
 
@@ -274,6 +283,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
                                                            F.col("p_left").alias("la"), F.col("n").alias("nb"), F.col("left").alias("lb"))
         else:
             rows = _multi(lists, label)
+            lists = rows.select("token", "key", "n", "left")
             pick = F.struct(F.xxhash64("key", F.lit(step)), "key", "n", "left")
             lead = rows.groupBy("token", "c").agg(F.min(pick).alias("x")).select("token", "x.key", "x.n", "x.left")
             w = Window.partitionBy("token").orderBy("n", "key")
@@ -308,7 +318,7 @@ def _multi(lists: DataFrame, label: DataFrame) -> DataFrame:
     rows = lists.select("token", "key", "n", "left").join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
     rows = materialize(rows, "join-labelled")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    return rows.join(mixed, "token", "left_semi")
+    return materialize(rows.join(mixed, "token", "left_semi"), "join-mixed")
 
 
 def one_per_component(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
