@@ -10,7 +10,7 @@ A document's row holds its distinct five-word shingles.  Documents link when
    ``n - ceil(0.75 n) + 1`` columns: linked rows share at least one of them.
 3. The product over the first block accumulates overlap counts by pair, column by
    column.  Pairs are discarded by size-derived bounds: sizes further apart than 0.75,
-   too few columns left for the needed overlap, or parity signatures (256 bits, then
+   too few columns left for the needed overlap, or parity signatures (512 bits, then
    at least four per n-gram) that differ in more places than linked sets can.  Only surviving pairs
    meet in the remaining blocks, which gives their exact overlap.
 4. Not all pairs of a list are multiplied: rounds of neighbouring pairs (linear in a
@@ -44,9 +44,9 @@ WORDS, SIMILARITY = 5, 75
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 HOT = 50_000
 BROADCAST_IDS = 1_000_000
-LINEAR_ROUNDS = 3
-_SIGNATURE = ["s0", "s1", "s2", "s3"]
-_LEAST = 256
+LINEAR_ROUNDS = 6
+_SIGNATURE = [f"s{i}" for i in range(8)]
+_LEAST = 64 * len(_SIGNATURE)
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS):
@@ -74,7 +74,7 @@ def _batches(batches, column: int):
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents (doc_id, key, n, signature), and of the sketch (part, counts of the part's cells)."""
-    schema = "doc_id long, key long, n int, s0 long, s1 long, s2 long, s3 long, wide binary, part int, counts binary"
+    schema = "doc_id long, key long, n int, " + "".join(f"{c} long, " for c in _SIGNATURE) + "wide binary, part int, counts binary"
     names = ["doc_id", "key", "n", *_SIGNATURE, "wide", "part", "counts"]
 
     def run(batches):
@@ -82,7 +82,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
 
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for part, texts in _batches(batches, 1):
-            key, n, sig, wide = [], [], np.zeros((part.num_rows, 4), np.int64), []
+            key, n, sig, wide = [], [], np.zeros((part.num_rows, len(_SIGNATURE)), np.int64), []
             for i, s in shingle_sets(texts, k):
                 n.append(len(s))
                 key.append(_set_key(s) if len(s) else None)
@@ -90,14 +90,14 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 size = max(_LEAST, 1 << (4 * len(s)).bit_length())
                 bits = np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
                 wide.append(bits.tobytes())
-                sig[i] = np.bitwise_xor.reduce(bits.reshape(-1, 32), axis=0).view(np.int64)
+                sig[i] = np.bitwise_xor.reduce(bits.reshape(-1, _LEAST // 8), axis=0).view(np.int64)
             none = pa.nulls(part.num_rows, pa.int32())
-            yield pa.record_batch([part.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int32()), *(pa.array(sig[:, j]) for j in range(4)),
+            yield pa.record_batch([part.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int32()), *(pa.array(sig[:, j]) for j in range(len(_SIGNATURE))),
                                    pa.array(wide, pa.binary()), none, pa.nulls(part.num_rows, pa.binary())], names=names)
         if cells.any():
             blobs = [c.tobytes() for c in np.split(cells, SKETCH_PARTS)]
             empty = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.record_batch([empty, empty, pa.nulls(SKETCH_PARTS, pa.int32()), *[empty] * 4, pa.nulls(SKETCH_PARTS, pa.binary()),
+            yield pa.record_batch([empty, empty, pa.nulls(SKETCH_PARTS, pa.int32()), *[empty] * len(_SIGNATURE), pa.nulls(SKETCH_PARTS, pa.binary()),
                                    pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -238,24 +238,29 @@ def _verify(pairs: DataFrame, signs: DataFrame, sets: _Sets, percent: int) -> Da
     return materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "join-links")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """key, c (smallest key reachable) of every key in ``links`` (a, b); with ``rounds``, possibly not yet the smallest.
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side of known, bounded size; else leave the choice to Catalyst."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
-    Each round takes the least label among neighbours and then the label of the label.
+
+def components(links: DataFrame) -> DataFrame:
+    """key, c (smallest key reachable) of every key in ``links`` (a, b).
+
+    Each round takes the least label among neighbours and then the label of the label, until nothing changes.
     """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = materialize(edges, "join-edges")
-    label = materialize(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "join-labels")
-    while rounds is None or rounds > 0:
-        near = (edges.join(label.select(F.col("key").alias("b"), F.col("c").alias("m")), "b").groupBy(F.col("a").alias("key")).agg(F.min("m").alias("m")))
-        new = label.join(near, "key").select("key", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-edges")
+    rows = edges.count()
+    parts = 1 + rows // 200_000  # label files follow the number of links
+    label = materialize(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("c")).coalesce(parts), "join-labels")
+    while True:
+        near = (edges.join(_few(label.select(F.col("key").alias("b"), F.col("c").alias("m")), rows), "b")
+                .groupBy(F.col("a").alias("key")).agg(F.min("m").alias("m")))
+        new = near.join(_few(label, rows), "key").select("key", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         over = label.select(F.col("key").alias("c"), F.col("c").alias("m"))
-        new = materialize(new.join(over, "c").select("key", "old", F.least("c", "m").alias("c")), "join-labels")
+        new = materialize(new.join(_few(over, rows), "c").select("key", "old", F.least("c", "m").alias("c")).coalesce(parts), "join-labels")
         label = new.select("key", "c")
-        if rounds is None and new.where("c <> old").isEmpty():
-            break
-        rounds = None if rounds is None else rounds - 1
-    return label
+        if new.where("c <> old").isEmpty():
+            return label
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY, hot: int = HOT) -> DataFrame:
@@ -282,19 +287,23 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
             near = lists.where("p_key is not null").select(F.col("p_key").alias("a"), F.col("key").alias("b"), F.col("p_n").alias("na"),
                                                            F.col("p_left").alias("la"), F.col("n").alias("nb"), F.col("left").alias("lb"))
         else:
+            # one row per component of a list: each meets the row before it, and that of the list's largest component
             rows = _multi(lists, label)
             lists = rows.select("token", "key", "n", "left")
-            pick = F.struct(F.xxhash64("key", F.lit(step)), "key", "n", "left")
-            lead = rows.groupBy("token", "c").agg(F.min(pick).alias("x")).select("token", "x.key", "x.n", "x.left")
-            w = Window.partitionBy("token").orderBy("n", "key")
-            near = lead.select(F.lag("key").over(w).alias("a"), F.col("key").alias("b"), F.lag("n").over(w).alias("na"), F.lag("left").over(w).alias("la"),
-                               F.col("n").alias("nb"), F.col("left").alias("lb")).where("a is not null")
+            pick = F.struct(F.xxhash64("key", F.lit(step)).alias("h"), "key", "n", "left")
+            lead = rows.groupBy("token", "c").agg(F.min(pick).alias("x"), F.count("*").alias("m")).select("token", "m", "x.h", "x.key", "x.n", "x.left")
+            around, first = (Window.partitionBy("token").orderBy(*o) for o in (("n", "h", "key"), (F.desc("m"), "h", "key")))
+            lead = lead.withColumn("before", F.lag(F.struct("key", "n", "left")).over(around)).withColumn(
+                "top", F.first(F.struct("key", "n", "left")).over(first))
+            near = lead.select(F.explode(F.array("before", "top")).alias("o"), "key", "n", "left").where("o is not null and o.key <> key").select(
+                F.col("o.key").alias("a"), F.col("key").alias("b"), F.col("o.n").alias("na"), F.col("o.left").alias("la"), F.col("n").alias("nb"),
+                F.col("left").alias("lb"))
         near = near.where(possible(F.col("na"), F.col("la"), F.col("nb"), F.col("lb")))
         found = _verify(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signs, sets, percent)
         if step and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        label = components(links, 2)
+        label = components(links)
     rows = _multi(lists, label)
     big = (rows.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("big")))
     rows = rows.join(big, "token").join(signs.select("key", *_SIGNATURE), "key").withColumn("minor", F.col("c") != F.col("big")).drop("big")
@@ -315,7 +324,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
 
 def _multi(lists: DataFrame, label: DataFrame) -> DataFrame:
     """token, key, n, left, c of the lists that hold more than one component."""
-    rows = lists.select("token", "key", "n", "left").join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
+    rows = lists.select("token", "key", "n", "left").join(_few(label, label.count()), "key", "left").withColumn("c", F.coalesce("c", "key"))
     rows = materialize(rows, "join-labelled")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     return materialize(rows.join(mixed, "token", "left_semi"), "join-mixed")
