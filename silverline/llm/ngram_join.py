@@ -44,7 +44,7 @@ WORDS, SIMILARITY = 5, 75
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 HOT = 50_000
 BROADCAST_IDS = 1_000_000
-LINEAR_ROUNDS = 6
+LINEAR_ROUNDS = 3
 _SIGNATURE = [f"s{i}" for i in range(8)]
 _LEAST = 64 * len(_SIGNATURE)
 
