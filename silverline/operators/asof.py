@@ -16,6 +16,9 @@ axis is cut into buckets:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     Equal right times are broken by ``tiebreak`` columns of ``right`` (default: all of them;
     the largest wins), so the result is deterministic.  Left rows without a match keep nulls.
     """
+    # null keys and null times match nothing: the right rows go, the left rows are added again at the end
+    usable = [F.col(c).isNotNull() for c in by]
+    fine = reduce(and_, [*usable, F.col(left_on).isNotNull()])
+    lost, left = left.where(~fine), left.where(fine)
+    right = right.where(reduce(and_, [*usable, F.col(right_on).isNotNull()]))
     rcols = [c for c in right.columns if c not in by]
     tb = tiebreak or [c for c in rcols if c != right_on]
     lcols = left.columns
@@ -72,7 +80,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
 
     out = matched.join(carry, [*by, "__b"], "left")
     m = F.coalesce(F.col("__m"), F.col("__carry"))
-    return out.select(
+    found = out.select(
         *[F.col(c) if c in by else F.col(f"__l.{c}").alias(c) for c in lcols],
         *[m[c].alias(c) for c in rcols],
     )
+    return found.union(lost.select(*lcols, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rcols]))

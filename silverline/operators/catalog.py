@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from silverline.functions import patterns as P
 from silverline.functions import types as TY
 from silverline.operators import profile as PR
+from silverline.session import materialize
 
 
 # ---------------------------------------------------------------------------
@@ -38,11 +39,11 @@ def run_sql_logged(spark: SparkSession, sql: str, user_id: str, limit: int | Non
     """CAT2 with a query-history row (text, ms, rows, status, error)."""
     t0 = time.time()
     try:
-        df = run_sql(spark, sql, limit)
+        df = materialize(run_sql(spark, sql, limit), "sql-result")  # every column is computed, once
         rows = df.count()
         status, error = "success", None
     except Exception as e:  # noqa: BLE001 - the error text is the logged outcome
-        df, rows, status, error = None, 0, "error", str(e)[:1000]
+        df, rows, status, error = None, 0, "error", str(e)
     ms = int((time.time() - t0) * 1000)
     log = spark.createDataFrame(
         [(user_id, sql, status, error, ms, rows, executed_at)],
@@ -111,7 +112,8 @@ def promote(df: DataFrame, table_name: str) -> tuple[DataFrame, DataFrame, DataF
     Returns (gold rows, gold_tables row, gold_columns rows).  The per-column types reach the
     driver as one small row per column; the data itself is transformed in one ``select``.
     """
-    profiled = PR.validate_columns(df)
+    user = [c for c in df.columns if not c.startswith("_")]  # provenance columns are neither scored nor rewritten
+    profiled = PR.validate_columns(df.select(*[F.col(f"`{c}`") for c in user]))
     # one scan: the validation has one row per column, so it is collected once and the
     # quality and metadata frames are derived from that small local copy
     v = df.sparkSession.createDataFrame(profiled.collect(), profiled.schema)
@@ -121,7 +123,7 @@ def promote(df: DataFrame, table_name: str) -> tuple[DataFrame, DataFrame, DataF
     clean = qrow["quality_level"] != "bronze" or qrow["overall_score"] >= 50
     if clean:
         out = df.select(*[
-            (TY.apply_typed(F.col(f"`{c}`"), types.get(c, "text")) if isinstance(df.schema[c].dataType, T.StringType)
+            (TY.apply_typed(F.col(f"`{c}`"), types.get(c, "text")) if c in user and isinstance(df.schema[c].dataType, T.StringType)
              else F.col(f"`{c}`")).alias(c)
             for c in df.columns
         ])
@@ -188,7 +190,10 @@ def upsert(current: DataFrame, updates: DataFrame, key: str, version_col: str) -
     """
     both = current.unionByName(updates, allowMissingColumns=True)
     cols = [c for c in both.columns if c != key]
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col(version_col)).alias("__r"))
+    latest = both.groupBy(key).agg(
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]),
+                 # null versions are the oldest, but a key that has only such keeps its values
+                 F.struct(F.col(version_col).isNotNull().alias("known"), F.col(version_col).alias("version"))).alias("__r"))
     return latest.select(key, *[F.col(f"__r.`{c}`").alias(c) for c in cols])
 
 

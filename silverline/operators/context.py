@@ -21,14 +21,19 @@ def _group_counts(df: DataFrame, group_col: str, name: str = "__n") -> DataFrame
 
 
 def context_blocks(docs: DataFrame, group_col: str, name_col: str, text_col: str, order_col: str | None = None,
-                   max_chars: int = P.CONTEXT_MAX_CHARS, total_chars: int = P.CONTEXT_TOTAL_CHARS) -> DataFrame:
+                   max_chars: int | None = None, total_chars: int | None = None) -> DataFrame:
     """CTX1 in long form: one ``=== name ===`` block per document with its budgeted text.
 
-    budget = min(max_chars, total_chars div documents in the group).  Columns: group, file,
+    budget = min(max_chars, total_chars div documents in the group); without these limits the whole text.  Columns: group, file,
     order (``order_col``, default the name), files, budget, block.
     """
     d = attach_per_key(docs, _group_counts(docs, group_col), [group_col], how="inner")
-    budget = F.least(F.lit(max_chars), F.floor(F.lit(total_chars) / F.col("__n")).cast("int"))
+    most = [F.lit(2**31 - 1)] * 2
+    if max_chars is not None:
+        most.append(F.lit(max_chars))
+    if total_chars is not None:
+        most.append(F.floor(F.lit(total_chars) / F.col("__n")).cast("int"))
+    budget = F.least(*most)
     return d.select(
         group_col, F.col(name_col).alias("file"), F.col(order_col or name_col).alias("order"),
         F.col("__n").alias("files"), budget.alias("budget"),
@@ -38,7 +43,7 @@ def context_blocks(docs: DataFrame, group_col: str, name_col: str, text_col: str
 
 
 def pack_context(docs: DataFrame, group_col: str, name_col: str, text_col: str, order_col: str | None = None,
-                 max_chars: int = P.CONTEXT_MAX_CHARS, total_chars: int = P.CONTEXT_TOTAL_CHARS) -> DataFrame:
+                 max_chars: int | None = None, total_chars: int | None = None) -> DataFrame:
     """CTX1: per group the packed context (blocks joined by a blank line, in ``order_col`` order),
     the file list ("• name" lines) and the number of files."""
     blocks = context_blocks(docs, group_col, name_col, text_col, order_col, max_chars, total_chars)

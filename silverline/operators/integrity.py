@@ -31,8 +31,8 @@ def change_counts(df: DataFrame, pairs: list[tuple[str, str, str]], action: str)
 
 def _row_md5(df: DataFrame, columns: list[str] | None = None) -> Column:
     cols = columns or df.columns
-    # \u001f separates fields; "\u0000" marks null so (null, "") and ("", null) differ
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in cols]
+    # \u001f separates fields; "\u0001" marks null so (null, "") and ("", null) differ
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001")) for c in cols]
     return F.md5(F.concat_ws("\u001f", *parts))
 
 
@@ -52,7 +52,7 @@ def table_fingerprint(df: DataFrame, columns: list[str] | None = None, method: s
             F.concat_ws(":", F.col("rows").cast("string"), F.col("digest").cast("string")).alias("fingerprint"))
     h = _row_md5(df, columns)
     part = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(part).cast("bigint").alias("digest")).select(
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(part.cast("decimal(38,0)")).alias("digest")).select(
         "rows", "digest", F.concat_ws(":", F.col("rows").cast("string"), F.col("digest").cast("string")).alias("fingerprint")
     )
 

@@ -25,7 +25,6 @@ from pyspark.sql.window import Window
 from silverline.functions import patterns as P
 from silverline.functions import sqltext as Q
 from silverline.functions import types as TY
-from silverline.session import spread
 
 CHUNK_COLUMNS = 40
 STAT_FIELDS = ["non_null", "m_numeric", "m_date", "m_phone", "m_email", "m_money",
@@ -91,7 +90,6 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, group_by: list
                   "non_null bigint")
         return df.sparkSession.createDataFrame([], schema)
     chunks = [fields[i:i + CHUNK_COLUMNS] for i in range(0, len(fields), CHUNK_COLUMNS)]
-    df = spread(df)  # regex-heavy: use every core even when the input is one coarse split
     parts = []
     offset = 0
     for chunk in chunks:

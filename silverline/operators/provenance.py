@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from silverline.functions.text import content_hash
-from silverline.session import materialize, maybe_broadcast
+from silverline.session import materialize
 
 INTERNAL_PREFIX = "_"
 
@@ -61,7 +61,7 @@ def number_rows(df: DataFrame, partition_by: list[str], order_by: list[str], out
                            "__first", "__offset")
     # null-safe on the group columns: rows whose group is null are numbered too, never dropped
     cond = [F.col("__pid") == F.col("__spid")] + [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in partition_by]
-    numbered = ranged.join(maybe_broadcast(slices), cond)
+    numbered = ranged.join(slices, cond)
     return numbered.withColumn(
         out, (F.col("__pos") - F.col("__first") + F.col("__offset") + F.lit(1)).cast("bigint")
     ).drop("__pid", "__pos", "__first", "__offset", "__spid", *[f"__s_{c}" for c in partition_by])

@@ -24,7 +24,6 @@ from silverline.operators import integrity as IN
 from silverline.operators import profile as PR
 from silverline.operators.columns import normalize_names
 from silverline.session import materialize as materialize_table
-from silverline.session import spread
 
 
 def _is_string(dt) -> bool:
@@ -79,7 +78,6 @@ def _coercion_stats(df: DataFrame, cols: list[str], variant: str, extra=()) -> d
     """Statistics for ``coercion_plan``: detection for all string columns in one pass, then
     conversion counts for the candidate columns only (the cleaner converts only detected
     numeric/date columns, so long text columns never pay for the conversion tests)."""
-    df = spread(df)
     aggs = [F.count(F.lit(1)).alias("__rows"), *extra]
     if variant == "cleaner":
         st = df.agg(*aggs, *_detect_aggs(cols)).collect()[0].asDict()

@@ -18,34 +18,15 @@ BASE_TABLES = [
 ]
 
 
-#: Tables whose rows carry long texts: regex work on them is spread over all cores.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; text tables are spread over the cores when their file is one coarse split."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        from silverline.session import spread
-
-        df = spread(df)
-    return df
-
-
-_REGISTERED: dict[tuple[int, str], str] = {}
+    """A base table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_base(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    """Temp views of base tables (a DataFrame's plan binds to them when it is built).
-
-    A view is re-created only when it last pointed at another ``sf_dir``.
-    """
+    """Temp views of base tables (a DataFrame's plan binds to them when it is built)."""
     for name in names or BASE_TABLES:
-        key = (id(spark), name)
-        if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
-            continue
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-        _REGISTERED[key] = sf_dir
 
 
 _NUM = "cast(regexp_extract(source, '([0-9]+)', 1) as int)"

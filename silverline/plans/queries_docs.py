@@ -205,7 +205,7 @@ def q_change_counts(spark, sf_dir):
 def _duck_fingerprint(table: str, cols) -> str:
     parts = ", ".join(f"coalesce(cast({c} as varchar), chr(1))" for c in cols)
     h = f"md5(concat_ws(chr(31), {parts}))"
-    return (f"select count(*) as rows, cast(sum(cast(('0x' || substr({h}, 1, 8)) as bigint)) as bigint) as digest, "
+    return (f"select count(*) as rows, cast(sum(cast(('0x' || substr({h}, 1, 8)) as bigint)) as decimal(38,0)) as digest, "
             f"concat(cast(count(*) as varchar), ':', cast(sum(cast(('0x' || substr({h}, 1, 8)) as bigint)) as varchar)) "
             f"as fingerprint from {table}")
 

@@ -91,7 +91,9 @@ select source, n as files, string_agg(block, chr(10) || chr(10) order by doc_id)
 from b group by source, n""")
 def q_pack_context(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("doc_"), F.col("doc_id")))
-    return CX.pack_context(docs, "source", "name", "text", order_col="doc_id")
+    # the budgets of a language model's prompt are this query's feature; the operator's default keeps whole texts
+    return CX.pack_context(docs, "source", "name", "text", order_col="doc_id", max_chars=P.CONTEXT_MAX_CHARS,
+                           total_chars=P.CONTEXT_TOTAL_CHARS)
 
 
 @register("sample_rows_context", ["CTX2", "WIN2"], """

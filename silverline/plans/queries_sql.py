@@ -131,7 +131,8 @@ select 'not_exists', count(*) from customer c where not exists (select 1 from or
 union all
 select 'in', count(*) from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'P')
 union all
-select 'not_in', count(*) from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)""",
+select 'not_in', count(*) from customer c where c_custkey is not null
+  and not exists (select 1 from orders o where o.o_custkey = c.c_custkey)""",
                             """
 select 'exists' as kind, count(*) as n from customer c
 where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 400000)

@@ -1,4 +1,4 @@
-"""Session helpers: one SparkSession, shared checkpoint folder, size checks."""
+"""Session helpers: one SparkSession, the shared checkpoint folder, code for the executors."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows below which a side is broadcast after its size has been checked.
-BROADCAST_ROW_LIMIT = 1_000_000
-
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "silverline") -> SparkSession:
@@ -22,10 +19,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    cpus = os.cpu_count() or 8
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -89,43 +86,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows.
-
-    Counts at most ``limit + 1`` rows on the executors; no row reaches the driver.
-    """
-    return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only after checking that its row count is bounded.
-
-    Above the bound the plain DataFrame is returned and Catalyst/AQE choose a
-    shuffle join (with skew splitting) instead.
-    """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if rows_at_most(df, limit) else df
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a CPU-heavy input over the cluster when it comes from too few files.
-
-    A small file with one row group is read by one task however many splits it
-    has; text regexes over it would then run on one core.  When the plan reads
-    fewer files than ``factor`` x default parallelism, the input is repartitioned;
-    a large input (thousands of files) is left alone, so no shuffle is added at
-    scale.  The check counts input files inside the JVM (no job, no plan
-    execution).  Spark sorts before a round-robin repartition, so a retried task
-    sees the same rows.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    files = len(df._jdf.inputFiles())
-    if 0 < files < target:
-        return df.repartition(target)
-    return df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet under the shared checkpoint folder, read it back.
 

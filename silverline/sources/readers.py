@@ -61,8 +61,9 @@ def utf8_text(binary_col: str = "content", ignore_bad_bytes: bool = True):
     string and repaired with ``make_valid_utf8`` (each bad sequence becomes U+FFFD), which
     is then dropped - the "ignore" error mode of the reference's file reader.
     """
-    text = F.expr(f"make_valid_utf8(cast(`{binary_col}` as string))")
-    return F.replace(text, F.lit("\ufffd"), F.lit("")) if ignore_bad_bytes else text
+    raw, text = F.expr(f"cast(`{binary_col}` as string)"), F.expr(f"make_valid_utf8(cast(`{binary_col}` as string))")
+    # a file without bad bytes stays as it is, also where it holds U+FFFD itself
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(text, F.lit("\ufffd"), F.lit(""))) if ignore_bad_bytes else text
 
 
 def read_whole_text(spark: SparkSession, paths, ignore_bad_bytes: bool = True) -> DataFrame:

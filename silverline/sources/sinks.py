@@ -18,11 +18,9 @@ def write_dataset(df: DataFrame, root: str, partition_col: str = "_dataset_id",
     there is no row number - so each task writes a contiguous slice of few datasets, and a
     dataset holding a third of all rows is split over many tasks instead of one.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     second = F.col("_row_number") if "_row_number" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     (df.repartitionByRange(F.col(partition_col), second)
-       .write.mode(mode).partitionBy(partition_col).parquet(root))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(root))
     return root
 
 

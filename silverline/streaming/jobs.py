@@ -11,6 +11,7 @@ update-mode aggregates collapse to their final values.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,7 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
         try:
             process(batch, epoch_id)
         except Exception as e:  # noqa: BLE001 - a bad batch is recorded, then the query stops
-            record(batch, epoch_id, "error", str(e)[:1000])
+            record(batch, epoch_id, "error", str(e))
             raise
         record(batch, epoch_id, "success", None)
 
@@ -84,7 +85,10 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
         try:
             earlier = batch.sparkSession.read.parquet(totals_root).where(F.col("_batch") < epoch_id)
             prev = earlier.groupBy(dataset_col).agg(F.max("rows").alias("rows"))
-        except Exception:  # noqa: BLE001 - the first batch has no earlier totals
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # the first batch has no earlier totals
             prev = batch.sparkSession.createDataFrame([], f"{dataset_col} string, rows bigint")
         prev = prev.select(dataset_col, F.col("rows").alias("__offset"))
         out = attach_per_key(numbered, prev, [dataset_col], how="left").withColumn(

@@ -28,8 +28,8 @@ def test_attach_per_key_salted_path_matches_broadcast(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [(f"k{i % 40}", i) for i in range(2000)],
                                  "g string, v bigint")
     per_key = rows.groupBy("g").count()
-    a = attach_per_key(rows, per_key, ["g"])                        # broadcast path
-    b = attach_per_key(rows, per_key, ["g"], broadcast_limit=5)     # salted path
+    a = attach_per_key(rows, per_key, ["g"])                        # adaptive path
+    b = attach_per_key(rows, per_key, ["g"], salt_buckets=32)       # salted path
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert b.count() == 5000 and "hashpartitioning(g" in plan and "__salt" in plan
@@ -42,6 +42,6 @@ def test_null_groups_are_kept(spark):
     got = sorted(((r["ds"] or ""), r["k"], r["_row_number"]) for r in number_rows(df, ["ds"], ["k"]).collect())
     assert got == [("", 1, 1), ("", 2, 2), ("a", 1, 1)]
     counts = df.groupBy("ds").count()
-    for limit in (10, 0):
-        out = attach_per_key(df, counts, ["ds"], how="inner", broadcast_limit=limit)
+    for salts in (None, 4):
+        out = attach_per_key(df, counts, ["ds"], how="inner", salt_buckets=salts)
         assert sorted(((r["ds"] or ""), r["count"]) for r in out.collect()) == [("", 2), ("", 2), ("a", 1)]

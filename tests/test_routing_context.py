@@ -32,7 +32,7 @@ def test_route(spark):
 def test_context_budgets(spark):
     def budget(n):
         docs = spark.createDataFrame([("s", f"f{i}", "x" * 9000) for i in range(n)], "space string, name string, text string")
-        ctx = pack_context(docs, "space", "name", "text").first()
+        ctx = pack_context(docs, "space", "name", "text", max_chars=8000, total_chars=50000).first()
         return ctx["files"], len(ctx["context"].split("\n\n")[0].split("\n", 1)[1])
 
     assert budget(1) == (1, 8000)
