@@ -306,12 +306,15 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
         label = components(links)
     rows = _multi(lists, label)
     big = (rows.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("big")))
+    # two rows that also share the column before this one have met there, under bounds that are no tighter
+    rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("key").orderBy(F.desc("left"))))
     rows = rows.join(big, "token").join(signs.select("key", *_SIGNATURE), "key").withColumn("minor", F.col("c") != F.col("big")).drop("big")
     rows = materialize(rows, "join-rest")
     a, b = rows.where("minor").alias("a"), rows.alias("b")
     differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SIGNATURE), F.lit(0))
     na, nb = F.col("a.n"), F.col("b.n")
     joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.minor") | (F.col("a.key") < F.col("b.key")))
+                    & ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
                     & possible(na, F.col("a.left"), nb, F.col("b.left")) & (differ <= na + nb - 2 * _needed(na, nb, percent)))
     pairs = joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
     found = _verify(pairs, signs, sets, percent)
