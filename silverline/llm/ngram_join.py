@@ -263,6 +263,23 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (key, c) after further ``links``: only edges between its components are walked.
+
+    Many links between two components are one edge, links inside a component are none;
+    a key that ``label`` lacks is a component of its own.
+    """
+    rows = label.count()
+    edges = links.select("a", "b")
+    for side in ("a", "b"):
+        of = label.select(F.col("key").alias(side), F.col("c").alias("of"))
+        edges = edges.join(_few(of, rows), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+    over = components(edges.where("a <> b"))
+    new = over.join(label.select("key"), "key", "left_anti")
+    known = label.join(over.select(F.col("key").alias("c"), F.col("c").alias("m")), "c", "left").select("key", F.coalesce("m", "c").alias("c"))
+    return materialize(known.unionByName(new).coalesce(1 + rows // 200_000), "join-labels")
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
     profile = materialize(_profile(docs, k), "join-profile")
@@ -281,7 +298,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
     def possible(na: Column, la: Column, nb: Column, lb: Column) -> Column:
         return (F.least(la, lb) >= _needed(na, nb, percent)) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
-    links, label = None, None
+    label = None
     for step in range(LINEAR_ROUNDS):
         if step == 0:
             near = lists.where("p_key is not null").select(F.col("p_key").alias("a"), F.col("key").alias("b"), F.col("p_n").alias("na"),
@@ -302,8 +319,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
         found = _verify(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signs, sets, percent)
         if step and found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        label = merge(label, found) if step else components(found)
     rows = _multi(lists, label)
     big = (rows.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("big")))
     # two rows that also share the column before this one have met there, under bounds that are no tighter
@@ -318,7 +334,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
                     & possible(na, F.col("a.left"), nb, F.col("b.left")) & (differ <= na + nb - 2 * _needed(na, nb, percent)))
     pairs = joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
     found = _verify(pairs, signs, sets, percent)
-    label = components(links.unionByName(found))
+    label = merge(label, found)
     of = members.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")).join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
     of = materialize(of, "join-members")
     least = of.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
