@@ -280,24 +280,40 @@ def merge(label: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.unionByName(new).coalesce(1 + rows // 200_000), "join-labels")
 
 
+def _useful(entries: DataFrame, possible, percent: int) -> DataFrame:
+    """Rows of the lists that can link, each with the row before it (p_key, p_n, p_left).
+
+    A list of two rows is one pair, which the first round decides: it stays as its second row (``two``), if the
+    bounds allow the pair.  In longer lists, in order of size, a row goes whose neighbours are both beyond its bounds,
+    as all rows past them are.  A salted list may go on under another salt: all its rows stay.  Repeated entries of one class go.
+    """
+    order = Window.partitionBy("token", "salt").orderBy("n", "key")
+    entries = entries.withColumns({"p_key": F.lag("key").over(order), "p_n": F.lag("n").over(order), "p_left": F.lag("left").over(order),
+                                   "x_n": F.lead("n").over(order), "third": F.coalesce(F.lag("n", 2).over(order), F.lead("n", 2).over(order))})
+    n, left, salted = F.col("n"), F.col("left"), F.col("salt") >= 0
+    middle = F.col("p_key").isNotNull() & F.col("x_n").isNotNull()
+    two = ~salted & F.col("third").isNull() & ~middle
+    smaller = F.col("p_n") * 100 >= n * percent
+    larger = (n * 100 >= F.col("x_n") * percent) & (left >= _needed(n, F.col("x_n"), percent))
+    pair = possible(F.col("p_n"), F.col("p_left"), n, left)
+    keep = F.when(salted, True).when(two, pair).otherwise(smaller | larger)
+    again = F.coalesce(F.col("p_key") == F.col("key"), F.lit(False))
+    return entries.withColumn("two", two).where(F.coalesce(keep, F.lit(False)) & ~again).drop("x_n", "third", "salt")
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
     profile = materialize(_profile(docs, k), "join-profile")
     members = profile.where("part is null").drop("part", "counts")
     levels, usual = _levels(profile)
-    order = Window.partitionBy("token", "salt").orderBy("n", "key")
-    entries = (_first_block(docs, levels, usual, k, percent, hot)
-               .withColumn("p_key", F.lag("key").over(order)).withColumn("p_n", F.lag("n").over(order)).withColumn("p_left", F.lag("left").over(order))
-               .withColumn("more", F.lead("key").over(order).isNotNull()))
-    # lists of one row cannot link; a salted list may go on under another salt
-    fine = F.col("p_key").isNotNull() | F.col("more") | (F.col("salt") >= 0)
-    lists = materialize(entries.where(fine & (F.col("p_key").isNull() | (F.col("p_key") != F.col("key")))).drop("more", "salt"), "join-lists")
-    sets = _Sets(docs, members, k)
-    signs = materialize(members.where("key is not null").dropDuplicates(["key"]).select("key", "n", *_SIGNATURE, "wide"), "join-signs")
 
     def possible(na: Column, la: Column, nb: Column, lb: Column) -> Column:
         return (F.least(la, lb) >= _needed(na, nb, percent)) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
+    lists = materialize(_useful(_first_block(docs, levels, usual, k, percent, hot), possible, percent), "join-lists")
+    sets = _Sets(docs, members, k)
+    signs = materialize(members.where("key is not null").dropDuplicates(["key"]).select("key", "n", *_SIGNATURE, "wide"), "join-signs")
+
     label = None
     for step in range(LINEAR_ROUNDS):
         if step == 0:
@@ -305,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
                                                            F.col("p_left").alias("la"), F.col("n").alias("nb"), F.col("left").alias("lb"))
         else:
             # one row per component of a list: each meets the row before it, and that of the list's largest component
-            rows = _multi(lists, label)
+            rows = _multi(lists.where(~F.col("two")) if step == 1 else lists, label)
             lists = rows.select("token", "key", "n", "left")
             pick = F.struct(F.xxhash64("key", F.lit(step)).alias("h"), "key", "n", "left")
             lead = rows.groupBy("token", "c").agg(F.min(pick).alias("x"), F.count("*").alias("m")).select("token", "m", "x.h", "x.key", "x.n", "x.left")
@@ -343,8 +359,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
 
 def _multi(lists: DataFrame, label: DataFrame) -> DataFrame:
     """token, key, n, left, c of the lists that hold more than one component."""
-    rows = lists.select("token", "key", "n", "left").join(_few(label, label.count()), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    rows = materialize(rows, "join-labelled")
+    known = label.count()
+    rows = lists.select("token", "key", "n", "left").join(_few(label, known), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    if known > BROADCAST_IDS:  # a broadcast join is cheaper to repeat than to store
+        rows = materialize(rows, "join-labelled")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     return materialize(rows.join(mixed, "token", "left_semi"), "join-mixed")
 
