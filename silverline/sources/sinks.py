@@ -25,10 +25,13 @@ def write_dataset(df: DataFrame, root: str, partition_col: str = "_dataset_id",
 
 
 def write_gold(df: DataFrame, gold_tables: DataFrame, gold_columns: DataFrame, root: str, table_name: str) -> dict:
-    """SNK2: write a gold table and append its metadata rows (tables and columns)."""
-    path = f"{root.rstrip('/')}/tables/{table_name}"
+    """SNK2: write a gold table and its metadata rows (tables and columns); a second promotion replaces both.
+
+    ``table_name`` is a sanitized name; each table's metadata is one ``promoted=<table_name>`` folder.
+    """
+    path, meta = f"{root.rstrip('/')}/tables/{table_name}", f"{root.rstrip('/')}/meta"
     df.write.mode("overwrite").parquet(path)
-    gold_tables.withColumn("parquet_path", F.lit(path)).withColumn("is_queryable", F.lit(True)) \
-        .write.mode("append").parquet(f"{root.rstrip('/')}/meta/gold_tables")
-    gold_columns.write.mode("append").parquet(f"{root.rstrip('/')}/meta/gold_columns")
+    tables = gold_tables.withColumn("parquet_path", F.lit(path)).withColumn("is_queryable", F.lit(True))
+    tables.write.mode("overwrite").parquet(f"{meta}/gold_tables/promoted={table_name}")
+    gold_columns.write.mode("overwrite").parquet(f"{meta}/gold_columns/promoted={table_name}")
     return {"path": path, "tables": f"{root}/meta/gold_tables", "columns": f"{root}/meta/gold_columns"}

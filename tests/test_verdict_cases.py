@@ -7,6 +7,7 @@ from silverline.operators.asof import asof_join
 from silverline.operators.context import pack_context
 from silverline.operators.integrity import table_fingerprint
 from silverline.sources.readers import utf8_text
+from silverline.sources.sinks import write_gold
 
 
 def test_asof_null_keys_and_times_match_nothing(spark):
@@ -50,3 +51,11 @@ def test_valid_replacement_characters_stay(spark):
 def test_context_keeps_whole_texts_by_default(spark):
     docs = spark.createDataFrame([("s", f"f{i}", "x" * 9000) for i in range(9)], "space string, name string, text string")
     assert pack_context(docs, "space", "name", "text").first()["context"].count("x") == 81000
+
+
+def test_second_promotion_replaces_the_metadata(spark, tmp_path):
+    df = spark.createDataFrame([("1", "x"), ("2", "y")], "n string, s string")
+    for name in ("first", "second", "first"):
+        out = write_gold(*C.promote(df, name), str(tmp_path), name)
+    assert sorted(r["table_name"] for r in spark.read.parquet(out["tables"]).collect()) == ["first", "second"]
+    assert spark.read.parquet(out["columns"]).count() == 4
