@@ -20,7 +20,8 @@ blank, trimmed; blocks joined in page order by one LF.
 Defined results: null or empty html gives an empty text; a null url belongs to the
 host ''; repeated rows each give a row and count as one page of their host; an
 empty table gives an empty table; other columns are ignored.  Broken markup is
-read tolerantly: an open element ends with its parent.
+read tolerantly: an open element ends with its parent; a script, style or other raw element
+ends at its own closing tag, else with the page, whatever it holds.
 
 Scale: page trees are parsed in two narrow passes; between them only hashes of
 branches move, pre-aggregated.  The table of removed branches (per host a short list)
@@ -46,7 +47,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"
 _ATTR = re.compile(r"""(id|class|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in "script style title textarea xmp iframe noembed noframes".split()}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike "
                     "strong sub sup time tt u var wbr".split())
 _SECTION = frozenset("html body main article section aside nav header footer div table td th tr ul ol dl blockquote figure form "
@@ -93,7 +94,7 @@ class Page:
         stack: list[int] = []
         self._open("", {}, -1, False)
         stack.append(0)
-        block, at, raw, articles = 0, 0, None, 0
+        block, at, articles = 0, 0, 0
 
         def close(to: int) -> int:
             nonlocal articles
@@ -106,21 +107,16 @@ class Page:
             return ended
 
         def text(value: str) -> None:
-            if value and (raw is None or raw == "title"):
+            if value:
                 self.pieces.append((stack[-1], block, unescape(value)))
 
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if raw is not None and not (m[1] and m[2] and m[2].lower() == raw):
-                continue
+        while m := _TOKEN.search(source, at):
             text(source[at:m.start()])
             at = m.end()
             if not m[2]:
                 continue
             tag = m[2].lower()
             if m[1]:
-                raw = None
                 for i in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[i]] == tag:
                         block += close(i)
@@ -149,10 +145,13 @@ class Page:
             if tag not in _VOID and not (m[3] or "").endswith("/"):
                 stack.append(e)
                 articles += tag == "article"
-                if tag in _RAW:
-                    raw = tag
-        if raw is None:
-            text(source[at:])
+                if tag in _RAW:  # nothing inside is markup: go on after its own closing tag, else at the end of the page
+                    end = _RAW[tag].search(source, at)
+                    if end and tag == "title":
+                        text(source[at:end.start()])
+                    at = end.end() if end else len(source)
+                    block += close(len(stack) - 1)
+        text(source[at:])
         close(0)
 
     def _open(self, tag: str, attrs: dict[str, str], parent: int, in_article: bool) -> int:

@@ -250,6 +250,14 @@ def test_marked_elements_go():
     assert page_text.Page(source).text() == "a b c d\none\ntwo\nend"
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){f(i)}", "x = '<!-- ';", "<!-- f(a<b)", "'</scripts>' <p title=\"", "if(a<b){s='</p>'}"])
+@pytest.mark.parametrize("tag", ["script", "STYLE", "textarea"])
+def test_raw_elements_end_at_their_own_closing_tag(script, tag):
+    source = f"<body><{tag}>{script}</{tag.swapcase()} ><article><p>a<{tag}>{script}</{tag}> b<p>c<i>d</i></article><footer>z"
+    assert page_text.Page(source).text() == "a\nb\ncd"
+    assert page_text.Page(f"<article><p>a</article><{tag}>{script}<p>never closed").text() == "a"
+
+
 # ---- 7
 
 def test_conversations_survive_control_strings(spark):
