@@ -3,7 +3,7 @@
 The pages of a host are merged into a style tree: a style node is a path of element
 styles (tag, id, class) from the root.  For each node the entropy of its contents and
 of its presentations (sequences of child styles) over the distinct pages that
-have it is taken, as a share of the largest possible; the importance is the
+have it is taken (a page counts with all its elements of the node, in page order), as a share of the largest possible; the importance is the
 larger share.  Branches seen on at least ``MIN_PAGES`` distinct pages with
 importance under ``LOW`` are boilerplate and are removed from each page, as are
 elements that HTML or their class names mark as menus, headers, footers, sidebars,
@@ -170,11 +170,16 @@ class Page:
         return e
 
     def branches(self):
-        """(path, content hash, presentation hash) of every element that a style tree may remove."""
+        """(path, content hash, presentation hash) of every path that a style tree may remove, over all its elements in page order."""
+        found: dict[int, tuple[xxhash.xxh3_64, xxhash.xxh3_64]] = {}
         for e in range(1, len(self.path)):
             if not self.plain[e] and not self.noise[e]:
                 content = _SPACE.sub(" ", "".join(p[2] for p in self.pieces[self.first[e]:self.last[e]])).strip()
-                yield self.path[e], xxhash.xxh3_64_intdigest(content), xxhash.xxh3_64_intdigest("|".join(self.styles[e]))
+                contents, looks = found.setdefault(self.path[e], (xxhash.xxh3_64(seed=self.path[e]), xxhash.xxh3_64(seed=self.path[e])))
+                contents.update(content + "\0")
+                looks.update("|".join(self.styles[e]) + "\0")
+        for path, (contents, looks) in found.items():
+            yield path, contents.intdigest(), looks.intdigest()
 
     def text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
         """Blocks of the main text, without the branches whose path is in ``low``."""
@@ -209,7 +214,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             hosts, out = batch.column(0).to_pylist(), []
             for h, source in zip(hosts, batch.column(1).to_pylist(), strict=True):
                 page = np.uint64(xxhash.xxh3_64_intdigest(source)).view(np.int64)
-                for path, (content, look) in {p: (c, s) for p, c, s in Page(source).branches()}.items():
+                for path, content, look in Page(source).branches():
                     out.append((h, path, content, look, page))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[1:4]),

@@ -243,6 +243,12 @@ def test_style_tree_removes_repeated_branches_and_keeps_the_rest(spark):
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
+def test_style_tree_sees_all_elements_of_a_path(spark):
+    rows = [(i, "http://a.org/x", f"<article><p class='body'>one {i}<p class='body'>two {i * i}<p class='body'>By the staff</article>") for i in range(8)]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"one {i}\ntwo {i * i}\nBy the staff" for i in range(8)}
+
+
 def test_marked_elements_go():
     source = ("<header>top</header><form>f</form><aside>s</aside><div id='cookie-notice'>c</div><main><h1>T</h1><article><p>a <i>b</i>\n c<br>d"
               "<ul><li>one<li>two</ul><div class='ad'>x</div><section class='comments'><article>no</article></section><script>if(a<b)'</p>'</script>"
