@@ -3,16 +3,21 @@
 The pages of a host are merged into a style tree: a style node is a path of element
 styles (tag, id, class) from the root.  For each node the entropy of its contents and
 of its presentations (sequences of child styles) over the distinct pages that
-have it is taken (a page counts with all its elements of the node, in page order), as a share of the largest possible; the importance is the
-larger share.  Branches seen on at least ``MIN_PAGES`` distinct pages with
-importance under ``LOW`` are boilerplate and are removed from each page, as are
+have it is taken (a page counts with all its elements of the node, in page order), as
+a share of the largest possible; the importance is the larger share.  Pages are
+distinct by their main text: copies that differ in a script, a comment or a menu
+are one page.  In nodes seen on at least ``MIN_PAGES`` distinct pages with importance under
+``LOW`` the contents that themselves repeat are boilerplate: those whose surprisal, as
+a share of the largest possible, is under ``LOW`` too (n of N pages: n > N ** 0.7).  They
+are removed from the pages that have them; a content seen once never is.  Also removed are
 elements that HTML or their class names mark as menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments.  Of what
 remains, the article (else the main element, else the body) is the text.
 
 Plain content elements without class or id (paragraphs, headings, lists, tables) inside
-the article are never removed for being alike, so a site that repeats one
-article keeps it.
+the article are never removed for being alike, and pages with one main text count once, so a site
+that repeats one article keeps it.  Copies of a classed article whose main texts differ (say
+by a date) are still distinct pages, and what most of the host's pages share of them is removed from them.
 
 Text: character references decoded, white space inside a block (``br`` too) turned into one
 blank, trimmed; blocks joined in page order by one LF.
@@ -24,8 +29,8 @@ read tolerantly: an open element ends with its parent; a script, style or other
 ends at its own closing tag, else with the page, whatever it holds.
 
 Scale: page trees are parsed in two narrow passes; between them only hashes of
-branches move, pre-aggregated.  The table of removed branches (per host a short list)
-is written and re-read, so Catalyst broadcasts it only when it is small.
+branches move, pre-aggregated.  The table of removed contents (per host a short list: at most
+N ** 0.3 of a node on N pages) is written and re-read, so Catalyst broadcasts it only when it is small.
 """
 
 from __future__ import annotations
@@ -204,8 +209,8 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages and importance of every style node that may be removed."""
+def _branches(pages: DataFrame) -> DataFrame:
+    """host, path, main, content and look of every style node of every distinct page."""
 
     def run(batches):
         import pyarrow as pa
@@ -213,20 +218,29 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, out = batch.column(0).to_pylist(), []
             for h, source in zip(hosts, batch.column(1).to_pylist(), strict=True):
-                page = np.uint64(xxhash.xxh3_64_intdigest(source)).view(np.int64)
-                for path, content, look in Page(source).branches():
-                    out.append((h, path, content, look, page))
+                page = Page(source)
+                main = xxhash.xxh3_64_intdigest(page.text())
+                for path, content, look in page.branches():
+                    out.append((h, path, main, content, look))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[1:4]),
-                                   pa.array(np.array(cols[4], np.int64))], names=["host", "path", "content", "look", "page"])
+            yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[1:])],
+                                  names=["host", "path", "main", "content", "look"])
 
     rows = (pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).where("html is not null")
-            .mapInArrow(run, "host string, path long, content long, look long, page long").distinct())
-    rows = materialize(rows, "html-branches")  # distinct pages only: copies of a page are one page
+            .mapInArrow(run, "host string, path long, main long, content long, look long"))
+    rows = rows.groupBy("host", "path", "main").agg(F.min(F.struct("content", "look")).alias("x"))
+    return materialize(rows.select("host", "path", "main", "x.content", "x.look"), "html-branches")
+
+
+def _counts(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy("host", "path", column).agg(F.count("*").alias("n"))
+
+
+def style_tree(rows: DataFrame) -> DataFrame:
+    """host, path, pages and importance of every style node in ``rows`` (of ``_branches``)."""
 
     def entropy(column: str) -> DataFrame:
-        counts = rows.groupBy("host", "path", column).agg(F.count("*").alias("n"))
-        return counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nln")).select(
+        return _counts(rows, column).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nln")).select(
             "host", "path", "pages", F.when(F.col("pages") > 1, (F.ln("pages") - F.col("nln") / F.col("pages")) / F.ln("pages"))
             .otherwise(F.lit(1.0)).alias(f"{column}_share"))
 
@@ -234,10 +248,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
         "host", "path", "pages", F.greatest("content_share", "look_share").alias("importance"))
 
 
+def _text(source: str, gone: list[int] | None) -> str:
+    """Main text of a page without the branches whose content hash is in ``gone``."""
+    page = Page(source)
+    if not gone:
+        return page.text()
+    known = {x % (1 << 64) for x in gone}
+    return page.text({path for path, content, _ in page.branches() if content in known})
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    branches = style_tree(pages).where((F.col("pages") >= min_pages) & (F.col("importance") < low))
-    removed = materialize(branches.groupBy("host").agg(F.collect_set("path").alias("low")), "html-removed")
+    rows = _branches(pages)
+    nodes = style_tree(rows).where((F.col("pages") >= min_pages) & (F.col("importance") < low))
+    contents = _counts(rows, "content").where("n > 1").join(nodes, ["host", "path"]).where(F.ln("pages") - F.ln("n") < F.lit(low) * F.ln("pages"))
+    removed = materialize(contents.groupBy("host").agg(F.collect_set("content").alias("low")), "html-removed")
 
     def run(batches):
         import pyarrow as pa
@@ -245,7 +270,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [Page(source).text({x % (1 << 64) for x in gone or ()}) if source else ""
+                texts = [_text(source, gone) if source else ""
                          for source, gone in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                                       names=["page_id", "url", "text", "n_chars"])

@@ -249,6 +249,20 @@ def test_style_tree_sees_all_elements_of_a_path(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"one {i}\ntwo {i * i}\nBy the staff" for i in range(8)}
 
 
+def test_copies_of_one_article_do_not_take_the_other_articles(spark):
+    def page(i, story, claim="Same on every page"):
+        return (i, "http://a.org/x", f"<body><script>track({i})</script><div class='claim'>{claim}</div><article class='post'><div class='story'>{story}</div></article>")
+
+    # 45 of 60 pages are copies of one article; then pages that differ in a date, so that copies are distinct pages
+    rows = [page(i, "the one article" if i < 45 else f"story {i}") for i in range(60)]
+    rows += [(i, "http://b.org/x", f"<body><i>{i}</i><div class='story'>{'the one article' if i < 190 else f'story {i}'}</div>") for i in range(100, 200)]
+    rows += [(i, "http://c.org/x", page(i, f"story {i}", "Odd one" if i == 307 else "Same")[2].replace("article", "section")) for i in range(300, 340)]
+    got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(60)} == {i: "the one article" if i < 45 else f"story {i}" for i in range(60)}
+    assert {i: got[i] for i in range(190, 200)} == {i: f"{i}\nstory {i}" for i in range(190, 200)}
+    assert {i: got[i] for i in range(300, 340)} == {i: f"{'Odd one' + chr(10) if i == 307 else ''}story {i}" for i in range(300, 340)}
+
+
 def test_marked_elements_go():
     source = ("<header>top</header><form>f</form><aside>s</aside><div id='cookie-notice'>c</div><main><h1>T</h1><article><p>a <i>b</i>\n c<br>d"
               "<ul><li>one<li>two</ul><div class='ad'>x</div><section class='comments'><article>no</article></section><script>if(a<b)'</p>'</script>"
