@@ -3,9 +3,9 @@
 Every preference pair (a document labelled good, one labelled bad) says that the
 first should score higher: ``P(a over b) = sigmoid(w . (f(a) - f(b)))``.  The weights
 come from the logistic loss on feature differences.  The cut between the classes
-is a quantile of the training scores (of the quantiles of both classes,
-the one with fewest errors); scores are shifted so that the cut maps to
-``THRESHOLD``.
+is the one with fewest errors on all labelled documents, each error weighing the
+same (from a histogram of their scores, ``STEPS`` to a standard deviation; of equal cuts the middle one);
+scores are shifted so that the cut maps to ``THRESHOLD``.
 
 Features are shares and means over the bytes, words and lines of the whole text;
 they are counted per buffer in numpy.
@@ -14,9 +14,10 @@ Defined results: null and empty texts have all features 0 and get the score of
 an empty text; repeated rows score alike; without both labels every document
 scores 0.5; a text's score never depends on other columns.
 
-Scale: learning takes at most ``MOST_LABELLED`` labelled documents of either class
+Scale: the weights are learnt from at most ``MOST_LABELLED`` labelled documents of either class
 (smallest hashes of doc_id): a documented bound, not a share of the corpus.  The
-ids are broadcast (bounded), so the training texts never shuffle.  Scoring
+ids are broadcast (bounded), so the training texts never shuffle.  For the cut all documents
+are scored in a narrow pass, and only ids and histogram steps meet the labels.  Scoring
 is a narrow pass.
 """
 
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from .words import blocks, text_bytes
 
-#: bound on the labelled documents of either class that are learnt from
+#: bound on the labelled documents of either class that the weights are learnt from
 MOST_LABELLED = 8_000
 PAIRS = 100_000
 THRESHOLD = 0.3
+#: histogram steps to a standard deviation of the scores, and standard deviations to either side of their mean
+STEPS, REACH = 1000, 20
 
 _CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "beyond": range(128, 256),
@@ -100,14 +103,27 @@ class Ranker:
             self.weights += step
             if np.abs(step).max() < 1e-8:
                 break
-        sg, sb = np.sort(g @ self.weights), np.sort(b @ self.weights)
-        # cut by score quantile: quantiles of both classes are tried, each error weighs the same
-        tried = np.unique(np.concatenate([np.quantile(sg, np.linspace(0, 1, 401)), np.quantile(sb, np.linspace(0, 1, 401))]))
-        tried = np.concatenate([(tried[1:] + tried[:-1]) / 2, tried])
-        errors = np.searchsorted(sg, tried, side="left") + (len(sb) - np.searchsorted(sb, tried, side="left"))
-        best = np.sort(tried[errors == errors.min()])
-        self.cut = best[len(best) // 2]
-        self.unit = max(1e-6, float(np.concatenate([sg, sb]).std()))
+        raw = np.concatenate([g, b]) @ self.weights
+        self.middle, self.width = float(raw.mean()), max(1e-6, float(raw.std())) / STEPS
+
+    def steps(self, rows: np.ndarray) -> np.ndarray:
+        """Histogram step of every row's score; the outermost take what lies beyond."""
+        return np.clip(np.floor((self._scaled(rows) @ self.weights - self.middle) / self.width), -REACH * STEPS, REACH * STEPS - 1).astype(np.int32)
+
+    def place_cut(self, good: dict[int, int], bad: dict[int, int]) -> None:
+        """Set the cut from the labelled documents of either class by histogram step."""
+        low, high = min([*good, *bad]), max([*good, *bad])
+        counts = np.zeros((2, high - low + 2), np.int64)
+        for row, of in zip(counts, (good, bad), strict=True):
+            for step, n in of.items():
+                row[step - low + 1] = n
+        g, b = counts.cumsum(axis=1)  # below the start of step low + i
+        errors = g + b[-1] - b
+        best = np.flatnonzero(errors == errors.min())
+        self.cut = self.middle + (low + int(best[len(best) // 2])) * self.width
+        both, at = counts.sum(axis=0), np.arange(high - low + 2) * self.width
+        mean = (both * at).sum() / both.sum()
+        self.unit = max(1e-6, float(np.sqrt((both * (at - mean) ** 2).sum() / both.sum())))
 
     def _scaled(self, rows: np.ndarray) -> np.ndarray:
         return np.clip((rows - self.mean) / self.spread, -6, 6)
@@ -120,7 +136,7 @@ class Ranker:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Ranker:
-    """Learn from the labelled documents in ``labels`` (doc_id, quality), at most ``most`` of either class."""
+    """Learn from the labelled documents in ``labels`` (doc_id, quality): weights from at most ``most`` of either class, the cut from all."""
     spark = docs.sparkSession
     rows = labels.where("quality is not null and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality"))
@@ -145,7 +161,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Rank
     got = (texts.mapInArrow(make, "l_id long, quality int, f array<double>").groupBy("l_id")
            .agg(F.max("quality").alias("quality"), F.max("f").alias("f")).orderBy("l_id").collect())
     width = len(FEATURES)
-    return Ranker(*(np.array([r["f"] for r in got if r["quality"] == q]).reshape(-1, width) for q in (1, 0)))
+    ranker = Ranker(*(np.array([r["f"] for r in got if r["quality"] == q]).reshape(-1, width) for q in (1, 0)))
+    if ranker.fitted:
+        ranker.place_cut(*_histogram(ranker, docs, rows))
+    return ranker
+
+
+def _histogram(ranker: Ranker, docs: DataFrame, labels: DataFrame) -> list[dict[int, int]]:
+    """Number of good and of bad documents in ``labels`` (l_id, quality) by histogram step."""
+    known = docs.sparkSession.sparkContext.broadcast(ranker)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.record_batch([part.column(0), pa.array(known.value.steps(features(text_bytes(part.column(1)))))], names=["l_id", "step"])
+
+    thin = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text")).where("l_id is not null")
+    # one row per labelled id, also where documents repeat; at most 2 * REACH * STEPS rows of either class
+    got = (thin.mapInArrow(run, "l_id long, step int").join(labels.where("quality in (0, 1)"), "l_id").groupBy("l_id", "quality")
+           .agg(F.max("step").alias("step")).groupBy("quality", "step").agg(F.count("*").alias("n")).collect())
+    return [{r["step"]: r["n"] for r in got if r["quality"] == q} for q in (1, 0)]
 
 
 def _apply(ranker: Ranker, docs: DataFrame, at: int, make, schema):

@@ -215,6 +215,21 @@ def test_quality_held_out(spark, sf):
     assert quality.score(ranker, odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [60, 10_000])
+def test_quality_cut_covers_all_labels(spark, most):
+    rng = np.random.default_rng(9)
+    label = [int(i % 7 > 0) for i in range(1400)]
+    texts = [prose(rng, 20) + "!" * rng.poisson(3 if q else 8) for q in label]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([*enumerate(label), (5, label[5])], "doc_id long, quality int")
+    ranker = quality.train(docs.unionByName(docs.limit(3)), labels, most)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(ranker, docs).collect()}
+    errors = sum(got[i][1] != q for i, q in enumerate(label))
+    order = sorted((got[i][0], q) for i, q in enumerate(label))
+    fewest = min(sum(q for _, q in order[:k]) + sum(1 - q for _, q in order[k:]) for k in range(len(order) + 1))
+    assert fewest > 0 and errors <= fewest + 1  # rows within one step of the histogram are not told apart
+
+
 # ---- 6
 
 def test_main_text_of_pages(spark, sf):
