@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from silverline.session import materialize
 
@@ -184,44 +185,67 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``remove='spans'``) with the hit words cut from their texts.
 
-    All columns and their types stay as they are.  With several broadcast blocks, spans are cut block by block.
+    All columns and their types stay as they are.  With several broadcast blocks, each is held against the text as given;
+    the hit words of all blocks are cut once, after the last, so the blocking does not change the result.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     at = [c.lower() for c in docs.columns].index("text")
 
-    def run_with(known_bc):
+    mark = "hits"
+    while mark in [c.lower() for c in docs.columns]:
+        mark += "_"
+
+    def drop(known_bc):
         def run(batches):
             import pyarrow as pa
 
-            known = known_bc.value
             for batch in _slices(batches):
-                texts, keep = text_bytes(batch.column(at)), np.ones(batch.num_rows, bool)
-                changed = {}
+                keep = np.ones(batch.num_rows, bool)
+                for b in blocks(text_bytes(batch.column(at)), ALNUM):
+                    keep[list(_marks(b, known_bc.value)[1])] = False
+                yield batch.filter(pa.array(keep))
+        return run
+
+    def cut(known_bc, first, last):
+        """Add the hit words of a block to those of the blocks before it (positions, in the last column); the last one cuts."""
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in _slices(batches):
+                texts = text_bytes(batch.column(at))
+                hits = [None] * batch.num_rows if first else batch.column(batch.num_columns - 1).to_pylist()
+                if not first:
+                    batch = batch.select(range(batch.num_columns - 1))
+                values = batch.column(at).to_pylist()
                 for b in blocks(texts, ALNUM):
-                    hit, items = _marks(b, known)
-                    if not items:
-                        continue
+                    hit, items = _marks(b, known_bc.value)
                     ends = np.cumsum(b.counts)
                     bounds = np.cumsum([len(t) + 1 for t in texts[b.lo:b.hi]])
-                    for i in items:
-                        keep[i] = False
+                    for i in range(b.lo, b.hi):
+                        if i not in items and hits[i] is None:
+                            continue
                         lo, hi = ends[i - b.lo] - b.counts[i - b.lo], ends[i - b.lo]
-                        shift = int(bounds[i - b.lo]) - len(texts[i]) - 1
-                        out, last = [], 0
-                        for w in np.flatnonzero(hit[lo:hi]) + lo:
-                            out.append(texts[i][last:b.starts[w] - shift])
-                            last = b.ends[w] - shift
-                        changed[i] = b"".join(out) + texts[i][last:]
-                if remove == "documents":
-                    yield batch.filter(pa.array(keep))
-                else:
-                    values = batch.column(at).to_pylist()
-                    for i, t in changed.items():
-                        values[i] = t.decode("utf-8", "replace")
+                        hit[lo:hi][hits[i] or []] = True
+                        hits[i] = np.flatnonzero(hit[lo:hi]).tolist()
+                        if last:
+                            shift = int(bounds[i - b.lo]) - len(texts[i]) - 1
+                            out, end = [], 0
+                            for w in hits[i]:
+                                out.append(texts[i][end:b.starts[lo + w] - shift])
+                                end = b.ends[lo + w] - shift
+                            values[i] = (b"".join(out) + texts[i][end:]).decode("utf-8", "replace")
+                if last:
                     yield batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+                else:
+                    yield pa.record_batch([*batch.columns, pa.array(hits, pa.list_(pa.int64()))], names=[*batch.schema.names, mark])
         return run
 
-    for _, known in _sets(benchmark, n):
-        docs = docs.mapInArrow(run_with(known), docs.schema)
+    parts, schema = list(_sets(benchmark, n)), docs.schema
+    for i, (k, known) in enumerate(parts):
+        if remove == "documents":
+            docs = docs.mapInArrow(drop(known), schema)
+        else:
+            marked = StructType([*schema.fields, StructField(mark, ArrayType(LongType()))])
+            docs = docs.mapInArrow(cut(known, i == 0, i == k - 1), schema if i == k - 1 else marked)
     return docs

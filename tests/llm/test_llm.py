@@ -83,6 +83,24 @@ def test_contamination(spark, monkeypatch, block):
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_spans_do_not_depend_on_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    item = prose(rng, 25)
+    texts = [f"Start, {item}! end", item, f"{item} mid {item[60:160]}", None, "", "clean text", "short one" * 3, f"Short {item} one", "ab short one"]
+    docs = docs_of(spark, texts, ", Hits string")
+    bench = spark.createDataFrame([(1, item), (2, "short one")], "item_id long, text string")
+    got = {}
+    for block in (10**6, 7, 2):
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+        cut = decontaminate.decontaminate(docs, bench, remove="spans")
+        assert cut.schema == docs.schema
+        got[block] = sorted((r["doc_id"], r["text"], r["Hits"]) for r in cut.collect())
+    one = {i: t for i, t, _ in got[10**6]}
+    assert not OP1.findall(lower(one[1])) and OP1.findall(lower(one[0])) == ["start", "end"] and one[3] is None and one[5] == "clean text"
+    assert OP1.findall(lower(one[7])) == ["short", "one"]  # words that a cut joins are no hit
+    assert got[7] == got[10**6] and got[2] == got[10**6]
+
+
 # ---- 2
 
 def test_mixing_counts_are_poisson_quantiles(spark):
