@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from silverline.functions import patterns as P
 from silverline.operators.joins import attach_per_key
+from silverline.session import materialize
 
 
 def _group_counts(df: DataFrame, group_col: str, name: str = "__n") -> DataFrame:
@@ -58,6 +61,57 @@ def pack_context(docs: DataFrame, group_col: str, name_col: str, text_col: str,
     )
 
 
+def context_parts(docs: DataFrame, group_col: str, name_col: str, text_col: str, order_col: str, part_chars: int) -> DataFrame:
+    """CTX1 over whole texts: per group the context of ``pack_context`` without limits, in numbered parts of ``part_chars``
+    characters (the last may be shorter).  Columns: group, files (of the group), part (from 1), context, file_list (files in the part).
+
+    The parts of a group in order, put together, are its whole context.  Null names and texts read as empty; equal orders go
+    by the text's md5.  A group is spread over tasks: rows are sorted in ranges, each range adds up its lengths, and the table
+    of ranges (at most partitions + groups rows) gives their offsets.
+    """
+    name = F.coalesce(F.col(name_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    block = F.concat(F.lit(P.CONTEXT_SEPARATOR + P.CONTEXT_HEADER[0]), name, F.lit(P.CONTEXT_HEADER[1]), text)
+    rows = docs.select(F.col(group_col).alias("g"), F.col(order_col).alias("o"), F.md5(text).alias("h"), name.alias("file"), block.alias("block"))
+    keys = ["g", "o", "h"]
+    ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ranged = ranged.select(F.spark_partition_id().alias("pid"), "g", "file", "block", F.length("block").cast("long").alias("chars"))
+
+    def add_up(batches):
+        import pyarrow as pa
+
+        group, at = None, 0
+        for batch in batches:
+            before = []
+            for g, n in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                group, at = (g, at) if g == group else (g, 0)
+                before.append(at)
+                at += n
+            yield pa.record_batch([*batch.columns, pa.array(before, pa.int64())], names=["pid", "g", "file", "block", "chars", "before"])
+
+    schema = StructType([*ranged.schema.fields, StructField("before", LongType())])
+    ranged = materialize(ranged.mapInArrow(add_up, schema), "context-parts")
+    slices = ranged.groupBy("pid", "g").agg(F.sum("chars").alias("n"), F.count("*").alias("rows"))
+    earlier, group = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("g")
+    slices = slices.select(F.col("pid").alias("s_pid"), F.col("g").alias("s_g"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
+                           F.sum("rows").over(group).alias("files"))
+    placed = ranged.join(slices, (F.col("pid") == F.col("s_pid")) & F.col("g").eqNullSafe(F.col("s_g")))
+    # the separator before a group's first block lies before its context
+    gap, size = len(P.CONTEXT_SEPARATOR), F.lit(part_chars)
+    start = F.col("offset") + F.col("before") - gap
+    placed = placed.select("g", "files", "file", "block", "chars", start.alias("start"))
+    first, last = F.greatest(F.col("start"), F.lit(0)), F.col("start") + F.col("chars") - 1
+    pieces = placed.withColumn("part", F.explode(F.sequence(F.floor(first / size), F.floor(last / size))))
+    lo = F.greatest(F.col("part") * size, F.lit(0)) - F.col("start")
+    lo, hi = F.greatest(lo, F.lit(0)), F.least((F.col("part") + 1) * size - F.col("start"), F.col("chars"))
+    pieces = pieces.select("g", "files", "part", F.struct("start", F.substring("block", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"),
+                                                          "file").alias("x"))
+    packed = pieces.groupBy("g", "files", "part").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return packed.select(F.col("g").alias(group_col), "files", (F.col("part") + 1).alias("part"),
+                         F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("context"),
+                         F.array_join(F.transform("x", lambda x: F.concat(F.lit(P.FILE_BULLET), x["file"])), "\n").alias("file_list"))
+
+
 def sample_rows_context(df: DataFrame, group_col: str, order_col: str, n: int = 100,
                         columns: list[str] | None = None) -> DataFrame:
     """CTX2: per dataset the first ``n`` rows (in ``order_col`` order) as a JSON array of objects."""

@@ -96,6 +96,25 @@ def q_pack_context(spark, sf_dir):
                            total_chars=P.CONTEXT_TOTAL_CHARS)
 
 
+@register("pack_context_parts", ["CTX1"], f"""
+with d as (select source, doc_id, md5(coalesce(text, '')) as h, concat('doc_', cast(doc_id as varchar)) as name,
+             concat(chr(10), chr(10), '=== ', case when doc_id is null then '' else 'doc_' || cast(doc_id as varchar) end, ' ===', chr(10),
+                    coalesce(text, '')) as block from documents),
+     b as (select *, count(*) over (partition by source) as files, length(block) as n,
+             cast(coalesce(sum(length(block)) over (partition by source order by doc_id nulls first, h
+               rows between unbounded preceding and 1 preceding), 0) as bigint) - 2 as start from d),
+     p as (select source, files, case when doc_id is null then '' else name end as name, start, unnest(range(greatest(start, 0) // {P.CONTEXT_TOTAL_CHARS},
+             (start + n - 1) // {P.CONTEXT_TOTAL_CHARS} + 1)) as part, block, n from b),
+     c as (select source, files, name, start, part, greatest(part * {P.CONTEXT_TOTAL_CHARS} - start, 0) as lo,
+             least((part + 1) * {P.CONTEXT_TOTAL_CHARS} - start, n) as hi, block from p)
+select source, files, part + 1 as part, string_agg(substring(block, lo + 1, hi - lo), '' order by start) as context,
+  string_agg('• ' || name, chr(10) order by start) as file_list
+from c group by source, files, part""")
+def q_context_parts(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("doc_"), F.col("doc_id")))
+    return CX.context_parts(docs, "source", "name", "text", "doc_id", P.CONTEXT_TOTAL_CHARS)
+
+
 @register("sample_rows_context", ["CTX2", "WIN2"], """
 with p as (select source as _dataset_id, doc_id, lang, n_chars,
              row_number() over (partition by source order by doc_id) as _row_number from documents)

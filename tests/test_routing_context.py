@@ -1,5 +1,5 @@
 
-from silverline.operators.context import pack_context
+from silverline.operators.context import context_parts, pack_context
 from silverline.operators.routing import classify_intent, route
 from silverline.operators.search import context_hints, provenance_search
 
@@ -40,6 +40,24 @@ def test_context_budgets(spark):
     assert budget(7) == (7, 7142)
 
 
+def test_context_parts_keep_whole_texts(spark):
+    rows = [("hot", i, f"doc_{i}", None if i == 7 else f"é{i} " * (i % 50)) for i in range(900)]
+    rows += [(None, 1, "n", "x" * 1000), ("one", None, None, "no name"), ("one", 5, "a", "b"), ("one", 5, "a", "a")]
+    docs = spark.createDataFrame(rows, "space string, o long, name string, text string").repartition(5)
+    got = {}
+    for r in context_parts(docs, "space", "name", "text", "o", 100).collect():
+        got.setdefault(r["space"], []).append((r["part"], r["context"], r["files"], r["file_list"]))
+    want = {"hot": "\n\n".join(f"=== {n} ===\n{t or ''}" for _, _, n, t in rows[:900]), None: "=== n ===\n" + "x" * 1000}
+    want["one"] = "\n\n".join(["===  ===\nno name", "=== a ===\na", "=== a ===\nb"])
+    assert set(got) == set(want)
+    for space, parts in got.items():
+        parts.sort()
+        assert [p for p, *_ in parts] == list(range(1, len(parts) + 1)) and "".join(c for _, c, _, _ in parts) == want[space]
+        assert all(len(c) == 100 for _, c, _, _ in parts[:-1]) and {f for _, _, f, _ in parts} == {sum(r[0] == space for r in rows)}
+    assert got[None][3][3] == "• n"
+    assert context_parts(docs.limit(0), "space", "name", "text", "o", 100).count() == 0
+
+
 def test_search_hints(spark):
     df = spark.createDataFrame([(1, "Công ty X, 1 Lê Lợi", "a.pdf"), (2, "Công ty X, 9 Hai Bà", "b.pdf"),
                                 (3, "khác", "a.pdf"), (4, "_Công ty X", "c.pdf")],
