@@ -1,7 +1,8 @@
 """Streaming queries: the stream's final result equals the batch answer on the same rows.
 
-The input "arrives" as Parquet chunks written by Spark (in time or key order,
-two files each); ``maxFilesPerTrigger`` makes every chunk its own micro-batch.
+The input "arrives" as Parquet chunks written by Spark, which together hold every row;
+``maxFilesPerTrigger`` bounds the micro-batches.  Only the rate windows, which have a watermark,
+need their chunks in time order, two files and one micro-batch each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from silverline.plans.registry import register
 from silverline.session import shared_dir
 from silverline.streaming import jobs as J
 
+CHUNKS = 3
 FILES_PER_CHUNK = 2
 
 
@@ -26,21 +28,28 @@ def _dirs(spark, name):
     return f"{base}/in", f"{base}/out", f"{base}/ckpt"
 
 
-def _write_chunks(df, path, chunk_col, bounds):
-    """Write rows in chunks (``chunk_col`` ranges), each as its own job of FILES_PER_CHUNK files."""
-    for lo, hi in bounds:
-        part = df.where((F.col(chunk_col) >= lo) & (F.col(chunk_col) < hi))
-        part.repartition(FILES_PER_CHUNK).write.mode("append").parquet(path)
+def _write_chunks(df, path, chunks=CHUNKS):
+    """Deal all rows into chunks by a hash (nulls have one too), each its own job with the partitions Spark reads.
 
+    Gives the files of a micro-batch: a chunk's share, but no more than keep all cores busy twice.
+    """
+    spark = df.sparkSession
+    chunk = F.pmod(F.xxhash64(*df.columns), F.lit(chunks))
+    for i in range(chunks):
+        df.where(chunk == i).write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return max(1, min(-(-files // chunks), 2 * spark.sparkContext.defaultParallelism))
 
-_DAY_CHUNKS = [("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")]
 
+_DAYS = ["2024-01-11", "2024-01-21"]
 
-def _usage_chunks(spark, sf_dir, src):
-    logs = derived(spark, sf_dir, "usage_logs")
-    bounds = [(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")) for a, b in _DAY_CHUNKS]
-    _write_chunks(logs, src, "created_at", bounds)
-    return logs.schema
+
+def _write_day_chunks(logs, path):
+    """Write all rows in time order, each chunk as its own job of FILES_PER_CHUNK files: a chunk has to be one micro-batch,
+    or the watermark drops what is left of it.  Rows without a time are in the first chunk."""
+    at, days = F.col("created_at"), [F.lit(d).cast("timestamp_ntz") for d in _DAYS]
+    for part in (at.isNull() | (at < days[0]), (at >= days[0]) & (at < days[1]), at >= days[1]):
+        logs.where(part).repartition(FILES_PER_CHUNK).write.mode("append").parquet(path)
 
 
 @register("stream_ingest_documents", ["STM1", "TXT1", "TXT2"], f"""
@@ -48,10 +57,8 @@ select source, doc_id, md5({D.collapse(_duck_mojibake('text'))}) as text_md5, la
 def q_stream_ingest(spark, sf_dir):
     src, out, ckpt = _dirs(spark, "ingest")
     docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
-    hi = docs.agg(F.max("doc_id")).first()[0] + 1
-    _write_chunks(docs, src, "doc_id", [(0, hi // 3), (hi // 3, 2 * hi // 3), (2 * hi // 3, hi)])
-    J.incremental_ingest(spark, src, docs.schema, out, ckpt, "source", "doc_id", ["text"],
-                         max_files_per_trigger=FILES_PER_CHUNK)
+    files = _write_chunks(docs, src)
+    J.incremental_ingest(spark, src, docs.schema, out, ckpt, "source", "doc_id", ["text"], max_files_per_trigger=files)
     got = J.read_ingested(spark, out)
     return got.select("source", "doc_id", F.md5("text").alias("text_md5"), "lang")
 
@@ -69,8 +76,9 @@ from (select api_key_id, time_bucket(interval 1 minute, created_at) as window_st
       from usage_logs group by 1, 2) w left join {_DUCK_LIMITS} l on l.api_key_id = w.api_key_id""")
 def q_stream_rate(spark, sf_dir):
     src, out, ckpt = _dirs(spark, "rate")
-    schema = _usage_chunks(spark, sf_dir, src)
-    J.rate_windows(spark, src, schema, derived(spark, sf_dir, "api_keys"), derived(spark, sf_dir, "users"), out, ckpt,
+    logs = derived(spark, sf_dir, "usage_logs")
+    _write_day_chunks(logs, src)
+    J.rate_windows(spark, src, logs.schema, derived(spark, sf_dir, "api_keys"), derived(spark, sf_dir, "users"), out, ckpt,
                    max_files_per_trigger=FILES_PER_CHUNK)
     final = J.latest_per_key(spark.read.parquet(out), ["api_key_id", "window_start"])
     return final.select("api_key_id", "window_start", "requests", "limit", "over_limit")
@@ -81,8 +89,9 @@ select api_key_id, cast(created_at as date) as date, count(*) as requests, cast(
 from usage_logs group by 1, 2""")
 def q_stream_daily(spark, sf_dir):
     src, out, ckpt = _dirs(spark, "daily")
-    schema = _usage_chunks(spark, sf_dir, src)
-    J.daily_counters(spark, src, schema, out, ckpt, max_files_per_trigger=FILES_PER_CHUNK)
+    logs = derived(spark, sf_dir, "usage_logs")
+    files = _write_chunks(logs, src)
+    J.daily_counters(spark, src, logs.schema, out, ckpt, max_files_per_trigger=files)
     final = J.latest_per_key(spark.read.parquet(out), ["api_key_id", "date"])
     return final.select("api_key_id", "date", "requests", "bytes")
 
@@ -92,8 +101,6 @@ select source as dataset_id, 'success' as status from documents group by source"
 def q_stream_status(spark, sf_dir):
     src, out, ckpt = _dirs(spark, "status")
     docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
-    hi = docs.agg(F.max("doc_id")).first()[0] + 1
-    _write_chunks(docs, src, "doc_id", [(0, hi // 2), (hi // 2, hi)])
-    J.incremental_ingest(spark, src, docs.schema, out, ckpt, "source", "doc_id", ["text"],
-                         max_files_per_trigger=FILES_PER_CHUNK)
+    files = _write_chunks(docs, src, 2)
+    J.incremental_ingest(spark, src, docs.schema, out, ckpt, "source", "doc_id", ["text"], max_files_per_trigger=files)
     return J.dataset_status(spark, out).select("dataset_id", "status")

@@ -41,3 +41,21 @@ def test_ingest_numbers_continue_across_batches(spark):
     J.incremental_ingest(spark, src, schema, out, ckpt, "ds", "k", ["text"], max_files_per_trigger=1)
     got = sorted((r["ds"], r["k"], r["_row_number"], r["text"]) for r in J.read_ingested(spark, out).collect())
     assert got == [("a", 1, 1, "x y"), ("a", 2, 2, "z"), ("a", 3, 3, "áo"), ("a", 4, 4, "w"), ("b", 1, 1, "v v")]
+
+
+def test_feeds_keep_every_row(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from silverline.plans import queries_streaming as Q
+
+    ids = [None, -5, 0, 1, 2, 3, 2**40]
+    docs = spark.createDataFrame([("s" if i else None, i, f"t{i}", None) for i in ids], "source string, doc_id long, text string, lang string")
+    monkeypatch.setattr(Q, "read_table", lambda *a: docs)
+    assert {r["doc_id"] for r in Q.q_stream_ingest(spark, "").collect()} == set(ids)
+    assert {r["dataset_id"] for r in Q.q_stream_status(spark, "").collect()} == {"s", None}
+    times = [None, dt.datetime(1969, 1, 1), dt.datetime(2024, 1, 15), dt.datetime(2150, 1, 1)]
+    logs = spark.createDataFrame([(i, t, 10) for i, t in enumerate(times)], "api_key_id long, created_at timestamp_ntz, bytes_transferred long")
+    monkeypatch.setattr(Q, "derived", lambda *a: logs)
+    assert {r["api_key_id"] for r in Q.q_stream_daily(spark, "").collect()} == {0, 1, 2, 3}
+    Q._write_day_chunks(logs, str(tmp_path / "days"))
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 4
