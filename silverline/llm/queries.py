@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, neighbours, ngram_join, page_text, quality, tokens, warc
+from . import chat, decontaminate, divergence, langid, mixing, neighbours, ngram_join, page_text, quality, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {}
@@ -140,6 +144,25 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
 from r group by conv_id
 """
 
+SQL["op12_divergence"] = rf"""
+with d as materialized (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') text from documents),
+t as materialized (select rid, lang, source, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+kept as materialized (select lang, term, sum(n)::bigint n from (select lang, term, rid, count(*) n from t group by 1, 2, 3) group by 1, 2 having count(*) >= {divergence.MIN_DOCS}),
+langs as (select lang, count(*) v, sum(n) total from kept group by 1),
+c as materialized (select lang, source, term, count(*) c from t semi join kept using (lang, term) group by 1, 2, 3),
+g as materialized (select lang, source, coalesce(v, 0) v, coalesce(total, 0) total, coalesce(x.n, 0) n from (select distinct lang, source from d)
+  left join langs using (lang) left join (select lang, source, sum(c) n from c group by 1, 2) x using (lang, source)),
+p as materialized (select g.lang, g.source, k.term, coalesce(c, 0) c, (1 + {divergence.UNIT}::hugeint * (coalesce(c, 0) + 1) // (g.n + g.v))::bigint p,
+  (1 + {divergence.UNIT}::hugeint * (k.n + 1) // (g.total + g.v))::bigint q
+  from g join kept k using (lang) left join c using (lang, source, term)),
+pairs as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+r as (select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where c > 0 and p > q)
+select lang, source, part, item, value, rank::integer rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) rank from r) where part = 'pair' or rank <= {divergence.TOP}
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_mixing, op3_warc, op4_ngram_join, op5_language, op6_html, op7_chat, op8_token_counts, op9_quality,
-                            op10_nearest)}
+                            op10_nearest, op12_divergence)}
