@@ -71,6 +71,7 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
                 piece, end = piece + more, min(len(text), end + PIECE)
                 cut = cut if cut < 0 else len(piece) - len(more) + cut
             if cut >= 0:
+                cut = max(cut, 1)
                 piece, end = piece[:cut], at + cut
         yield piece.split()
         at = end
