@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, langid, mixing, neighbours, ngram_join, page_text, quality, tokens, warc, whitening
+from . import attention, chat, decontaminate, divergence, langid, mixing, neighbours, ngram_join, page_text, quality, tokens, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _crc() % 10 == 0)
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {}
@@ -169,4 +173,4 @@ select lang, source, part, item, value, rank::integer rank from (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_mixing, op3_warc, op4_ngram_join, op5_language, op6_html, op7_chat, op8_token_counts, op9_quality,
-                            op10_nearest, op11_whitening, op12_divergence)}
+                            op10_nearest, op11_whitening, op12_divergence, op13_lm_scoring)}
