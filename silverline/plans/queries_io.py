@@ -78,6 +78,56 @@ def q_ingest(spark, sf_dir):
     return tab.unionByName(txt)
 
 
+def _rename_text(spark, path: str, ext: str) -> None:
+    """Give text files that Spark wrote another extension."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files, names = fs.listFiles(where(path), True), []
+    while files.hasNext():
+        names.append(files.next().getPath().toString())
+    for name in names:
+        if name.endswith(".txt"):
+            fs.rename(where(name), where(name.removesuffix(".txt") + ext))
+
+
+_BROKEN = "case when n_nationkey % 2 = 0 then concat('N', n_nationkey) else concat('N', n_nationkey, ',1,2,3,', n_name) end"
+
+
+@register("ingest_mixed_schemas", ["SRC6", "SRC2", "SRC4", "SET1"], f"""
+select 'csv' as kind, c_custkey as key, c_name as name, c_acctbal as amount, case when c_custkey % 3 = 1 then c_mktsegment end as extra from customer
+union all select 'csv', 1000000000 + n_nationkey, n_name, n_regionkey + 0.5, null from nation
+union all select 'json', s_suppkey, s_name, s_acctbal, case when s_suppkey % 2 = 1 then cast(s_nationkey as varchar) end from supplier
+union all select 'parquet', p_partkey, p_name, p_retailprice, case when p_partkey % 2 = 1 then cast(p_size as varchar) else p_brand end from part
+union all select 'error', null, {_BROKEN}, null, 'malformed record' from nation""")
+def q_ingest_mixed(spark, sf_dir):
+    """Files of one directory with columns in different orders, extra columns, two types, JSON arrays and broken rows."""
+    root = _fresh(spark, "mixed")
+    customer, supplier, part = (read_table(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
+    for i, cols in enumerate((["c_custkey", "c_name", "c_acctbal"], ["c_acctbal", "c_mktsegment", "c_custkey", "c_name"], ["c_name", "c_acctbal", "c_custkey"])):
+        customer.where(F.pmod("c_custkey", F.lit(3)) == i).select(cols).write.option("header", True).csv(f"{root}/customer[{i}]")
+    nation = read_table(spark, sf_dir, "nation")  # a file each: header, a good row, a broken one
+    good = F.concat_ws(",", F.lit(1_000_000_000) + F.col("n_nationkey"), "n_name", F.col("n_regionkey") + F.lit(0.5))
+    nation.select(F.concat_ws("\n", F.lit("c_custkey,c_name,c_acctbal"), good, F.expr(_BROKEN)).alias("value"), "n_nationkey") \
+        .write.partitionBy("n_nationkey").text(f"{root}/nation bad")
+    _rename_text(spark, f"{root}/nation bad", ".csv")
+    supplier.where("s_suppkey % 2 = 0").select("s_acctbal", "s_name", "s_suppkey").write.json(f"{root}/lines")
+    rows = supplier.where("s_suppkey % 2 = 1").withColumn("block", F.expr("s_suppkey div 2000"))  # arrays of 1,000 at most
+    arrays = rows.groupBy("block").agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").alias("extra")))).alias("value"))
+    arrays.write.partitionBy("block").text(f"{root}/arrays")
+    _rename_text(spark, f"{root}/arrays", ".json")
+    part.where("p_partkey % 2 = 0").select("p_name", "p_partkey", "p_retailprice", F.col("p_brand").alias("extra")).write.parquet(f"{root}/part/0")
+    part.where("p_partkey % 2 = 1").select("p_partkey", "p_retailprice", "p_name", F.col("p_size").alias("extra")).write.parquet(f"{root}/part/1")
+    frames, errors = RD.ingest_files(spark, root)
+    columns = {"csv": ("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "json": ("s_suppkey", "s_name", "s_acctbal", "extra"),
+               "parquet": ("p_partkey", "p_name", "p_retailprice", "extra")}
+    out = errors.where("reason = 'malformed record'").select(F.lit("error").alias("kind"), F.lit(None).cast("bigint").alias("key"), F.col("record").alias("name"),
+                                                             F.lit(None).cast("double").alias("amount"), F.col("reason").alias("extra"))
+    for kind, (key, name, amount, extra) in columns.items():
+        out = out.unionByName(frames[kind].select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("key"), F.col(name).alias("name"),
+                                                  F.col(amount).cast("double").alias("amount"), F.col(extra).cast("string").alias("extra")))
+    return out
+
+
 @register("write_dataset_partitioned", ["SNK1", "SRC8", "CAT1", "CAT2"], """
 select source as view_name, count(*) as n, count(*) as max_row_number from documents group by source""")
 def q_write_dataset(spark, sf_dir):
