@@ -160,14 +160,8 @@ class CleanResult:
         return IN.integrity_report(self.original, self.data, actions=self._n_actions)
 
 
-def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_space_a_grave: bool = False,
-          keep_internal: bool = True) -> CleanResult:
-    """CAT6: TXT1 -> TXT2 -> PRJ1 -> TXT7 -> TYP3 -> AGG1 -> AGG9 -> AGG10.
-
-    Returns the cleaned rows plus three report frames (actions, anomalies, integrity).
-    ``strict`` raises when rows or columns were lost.
-    """
-    spark = df.sparkSession
+def _normalized(df: DataFrame, legacy_space_a_grave: bool, keep_internal: bool) -> tuple[list[str], list[int], DataFrame]:
+    """New names, positions of the cleaned columns, and the rows with a ``__ws<i>`` flag for each: white space changed."""
     fields = df.schema.fields
     new_names = normalize_names([f.name for f in fields], keep_internal=keep_internal)
     strings = [i for i, f in enumerate(fields) if _is_string(f.dataType) and not
@@ -187,6 +181,29 @@ def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_s
         else:
             proj.append(F.col(f"__c{i}").alias(new_names[i]))
     normalized = step2.select(*proj)
+    return new_names, strings, normalized
+
+
+def clean_rows(df: DataFrame, plan: list[dict] | None = None, variant: str = "cleaner", legacy_space_a_grave: bool = False) -> DataFrame:
+    """CAT6 row by row: TXT1 -> TXT2 -> PRJ1 -> TXT7, then the conversions of ``plan`` (from ``coercion_plan``).
+
+    What it gives a row does not depend on other rows, so a stream's batches and one batch of all rows agree.
+    """
+    out = _normalized(df, legacy_space_a_grave, True)[2]
+    out = out.select(*[c for c in out.columns if not c.startswith("__ws")])
+    return apply_coercion(out, plan, variant) if plan else out
+
+
+def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_space_a_grave: bool = False,
+          keep_internal: bool = True) -> CleanResult:
+    """CAT6: TXT1 -> TXT2 -> PRJ1 -> TXT7 -> TYP3 -> AGG1 -> AGG9 -> AGG10.
+
+    Returns the cleaned rows plus three report frames (actions, anomalies, integrity).
+    ``strict`` raises when rows or columns were lost.
+    """
+    spark = df.sparkSession
+    fields = df.schema.fields
+    new_names, strings, normalized = _normalized(df, legacy_space_a_grave, keep_internal)
     if materialize:
         normalized = materialize_table(normalized, "clean")
     body_cols = [c for c in normalized.columns if not c.startswith("__ws")]

@@ -10,6 +10,7 @@ from silverline.operators import integrity as IN
 from silverline.operators import profile as PR
 from silverline.operators import provenance as PV
 from silverline.operators import search as S
+from silverline.operators.exchange import redistribute
 from silverline.operators.entities import extract_entities, ENTITY_RULES
 from silverline.plans import duck as D
 from silverline.plans.fixtures import read_table
@@ -132,7 +133,7 @@ select doc_id,
 from documents""")
 def q_text_repair(spark, sf_dir):
     t = F.col("text")
-    docs = read_table(spark, sf_dir, "documents")
+    docs = redistribute(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select(
         "doc_id",
         F.md5(X.fix_mojibake(t)).alias("mojibake_md5"),
@@ -148,7 +149,7 @@ def q_text_repair(spark, sf_dir):
 @register("vietnamese_normalize_documents", ["TXT4", "TXT5", "TXT7"])
 def q_deep_normalize(spark, sf_dir):
     # \b with Unicode letters has no RE2 form; checked against Python's re in tests instead
-    docs = read_table(spark, sf_dir, "documents")
+    docs = redistribute(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.md5(X.deep_normalize("text")).alias("normalized_md5"),
                        F.length(X.deep_normalize("text")).alias("normalized_chars"))
 
@@ -165,21 +166,24 @@ def q_markup(spark, sf_dir):
 
 def _duck_entities() -> str:
     parts = []
-    for kind, rx, grp in ENTITY_RULES:
+    for kind, rx, _ in ENTITY_RULES:
+        rx = D.q(P.to_re2(rx))
+        value = "case when w[1] between '0' and '9' then w else w[2:] end" if kind == "date" else "w"
         parts.append(f"""
-select doc_id, {D.q(kind)} as kind, cast(ord as int) as ordinal, value,
-  case when instr(text, value) * 3 <= length(text) then 'start'
-       when instr(text, value) * 3 <= 2 * length(text) then 'middle' else 'end' end as position,
-  substring(text, greatest(1, instr(text, value) - 30), length(value) + 60) as context
-from (select doc_id, text, unnest(l) as value, generate_subscripts(l, 1) as ord
-      from (select doc_id, text, regexp_extract_all(text, {D.q(P.to_re2(rx))}, {grp}) as l from documents) a) b""")
+select doc_id, {D.q(kind)} as kind, cast(ord as int) as ordinal, value, cast(at_char as int) as "offset",
+  case when at_char * 3 <= length(text) then 'start' when at_char * 3 <= 2 * length(text) then 'middle' else 'end' end as position,
+  substring(text, greatest(1, at_char - 30), length(value) + 60) as context
+from (select *, cast(upto - length(value) + 1 as bigint) as at_char from (select doc_id, text, ord, {value} as value,
+  sum(length(g) + length(w)) over (partition by doc_id, text order by ord) as upto
+  from (select doc_id, text, unnest(m) as w, unnest(g[1:len(m)]) as g, generate_subscripts(m, 1) as ord
+    from (select doc_id, text, regexp_extract_all(text, {rx}) as m, string_split_regex(text, {rx}) as g from documents) a) b) c) d""")
     return "\nunion all\n".join(parts)
 
 
 @register("extract_entities_documents", ["TXT14"], _duck_entities())
 def q_entities(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return extract_entities(docs, "text", ["doc_id"])
+    return extract_entities(redistribute(docs.select("doc_id", "text"), "doc_id"), "text", ["doc_id"])
 
 
 def _string_pairs(df, cols):
@@ -260,7 +264,7 @@ def q_anomalies(spark, sf_dir):
 def q_clean_documents(spark, sf_dir):
     from silverline.plans.clean import clean
 
-    res = clean(read_table(spark, sf_dir, "documents"))
+    res = clean(redistribute(read_table(spark, sf_dir, "documents"), "doc_id"))
     return res.data.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 

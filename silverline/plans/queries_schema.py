@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from silverline.operators.exchange import redistribute
 from silverline.functions import patterns as P
 from silverline.functions import text as X
 from silverline.operators import catalog as C
@@ -138,7 +139,7 @@ def _duck_numeric_text(s: str, units) -> str:
 select o_orderkey, {_duck_clean_date('date_text')} as date_text,
   {_duck_numeric_text('price_text', (',', ' ', 'đ', 'VND'))} as price_text from dirty_orders""")
 def q_coerce(spark, sf_dir):
-    out, _report = coerce_columns(derived(spark, sf_dir, "dirty_orders"), variant="cleaner")
+    out, _report = coerce_columns(redistribute(derived(spark, sf_dir, "dirty_orders"), "o_orderkey"), variant="cleaner")
     return out
 
 

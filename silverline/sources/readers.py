@@ -136,9 +136,14 @@ def schema_groups(spark: SparkSession, directory: str, ext: str) -> dict[str, li
     return {r["head"]: r["paths"] for r in heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}
 
 
+def literal_paths(paths: list[str]) -> list[str]:
+    """Paths that a reader takes as they are (it would read ``[`` or ``*`` as a pattern)."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+
+
 def _as_paths(urls: list[str]) -> list[str]:
-    """Paths that a reader takes literally (it would read ``[`` or ``*`` as a pattern)."""
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(u)) for u in urls]
+    """Literal paths of a scan's own file names, which are URL-encoded."""
+    return literal_paths([unquote(u) for u in urls])
 
 
 def _read_csv_group(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -220,7 +225,7 @@ def ingest_files(spark: SparkSession, directory: str, normalize: bool = True) ->
             files = spark.read.format("binaryFile").options(pathGlobFilter=_glob(ext), recursiveFileLookup="true").load(directory)
             found = [files.select(utf8_text("content").alias("content"), F.col("path").alias("_source_file"))]
         elif kind == "parquet":
-            found = _parquet_groups(spark, _as_paths([r["path"] for r in listing.where(F.col("ext") == ext).select("path").orderBy("path").collect()]))
+            found = _parquet_groups(spark, literal_paths([r["path"] for r in listing.where(F.col("ext") == ext).select("path").orderBy("path").collect()]))
         else:
             found = [_read_csv_group(spark, _as_paths(paths)) if kind == "csv" else _read_json_group(spark, _as_paths(paths), form == "document")
                      for form, paths in sorted(schema_groups(spark, directory, ext).items())]

@@ -11,8 +11,10 @@ update-mode aggregates collapse to their final values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -22,6 +24,8 @@ from silverline.functions.patterns import DEFAULT_PLAN, PLAN_LIMITS
 from silverline.operators.provenance import number_rows
 from silverline.operators.usage import with_plan_limits
 from silverline.operators.joins import attach_per_key
+from silverline.plans.clean import clean_rows
+from silverline.sources.readers import literal_paths
 
 
 DEFAULT_RATE = dict((p[0], p[3]) for p in PLAN_LIMITS)[DEFAULT_PLAN]
@@ -41,73 +45,157 @@ def _batch_path(sink: str, epoch_id: int) -> str:
 
 
 # ---------------------------------------------------------------------------
-# STM1 incremental ingest
+# STM1 incremental ingest, CAT8 status
 # ---------------------------------------------------------------------------
 
+CORRUPT = "_corrupt_record"
 
-def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructType | str, sink: str, checkpoint: str,
-                       dataset_col: str, order_col: str, text_cols: list[str], max_files_per_trigger: int | None = None,
-                       available_now: bool = True):
-    """STM1: new files -> text cleaning (mojibake, whitespace) -> provenance -> append per batch.
 
-    ``_row_number`` continues per dataset across batches: each batch reads the running
-    per-dataset totals written by the previous batch (one row per dataset) and offsets
-    its own skew-safe numbering by them.
-    """
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    totals_root = sink.rstrip("/") + "_totals"
+class FileIngest:
+    """Micro-batches of files -> rows, errors and status, one folder of each per epoch.
 
-    status_root = sink.rstrip("/") + "_status"
+    The stream carries the paths of new files (their content is pruned); a batch reads its files
+    itself, so a file that cannot be read is set aside and the stream goes on.  A batch is tried as a whole; only
+    where that fails are its files searched, by halves, for those that cannot be read.
 
-    def record(batch: DataFrame, epoch_id: int, status: str, message: str | None):
-        """CAT8: one status row per dataset seen in the batch (success, or error + message)."""
-        batch.select(dataset_col).distinct().select(
-            F.col(dataset_col).alias("dataset_id"), F.lit(epoch_id).cast("bigint").alias("batch_id"),
-            F.lit(status).alias("status"), F.lit(message).cast("string").alias("error_message"),
-        ).write.mode("overwrite").parquet(_batch_path(status_root, epoch_id))
+    * ``sink``: the rows of all readable files after ``transform``, numbered per dataset (WIN1); numbers go on where the
+      last batch ended (running totals, one row per dataset and epoch, under ``<sink>_totals``);
+    * ``<sink>_errors``: path, record, reason - one row per unreadable file and per record that does not parse;
+    * ``<sink>_files``: path, status (``processing`` until the batch is written, then ``success`` or ``error``), message;
+    * ``<sink>_status``: dataset_id, status, message - the datasets of the batch.
 
-    def handle(batch: DataFrame, epoch_id: int):
+    Every folder is overwritten by its epoch: a batch that runs again replaces what it wrote, and totals of earlier
+    epochs only are read, so it changes nothing.  Columns starting with ``_`` are left to the job.
+    """
+
+    def __init__(self, spark: SparkSession, sink: str, schema: T.StructType | str, dataset: Column, order_by: list[str], transform: Callable | None = None,
+                 fmt: str = "parquet", options: dict | None = None):
+        self.spark, self.sink, self.fmt, self.options = spark, sink.rstrip("/"), fmt, options or {}
+        self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        self.dataset, self.order_by, self.transform = dataset, order_by, transform
+
+    def read(self, paths: list[str]) -> DataFrame:
+        """Rows of ``paths`` with ``_source_file``, and ``_corrupt_record`` where a record does not parse."""
+        reader, schema = self.spark.read.options(recursiveFileLookup="true", **self.options), self.schema
+        if self.fmt in ("csv", "json"):
+            schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+            reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+            reader = reader.option("columnPruning", "false") if self.fmt == "csv" else reader
+        rows = reader.schema(schema).format(self.fmt).load(literal_paths(paths)).withColumn("_source_file", F.col("_metadata.file_path"))
+        return rows if CORRUPT in rows.columns else rows.withColumn(CORRUPT, F.lit(None).cast("string"))
+
+    def unreadable(self, paths: list[str]) -> dict[str, str]:
+        """Files that fail when they are read to the end, with the message."""
         try:
-            process(batch, epoch_id)
-        except Exception as e:  # noqa: BLE001 - a bad batch is recorded, then the query stops
-            record(batch, epoch_id, "error", str(e))
-            raise
-        record(batch, epoch_id, "success", None)
-
-    def process(batch: DataFrame, epoch_id: int):
-        cleaned = batch.withColumns({c: X.collapse_ws(X.fix_mojibake(c)) for c in text_cols})
-        numbered = number_rows(cleaned, [dataset_col], [order_col], out="__local")
-        # running totals are cumulative per epoch folder: the largest total of any EARLIER epoch
-        # is the offset, so an epoch without output (or a re-run of this one) changes nothing
+            self.read(paths).write.format("noop").mode("overwrite").save()
+            return {}
+        except Exception as e:  # noqa: BLE001 - whatever a reader says about a file
+            if len(paths) == 1:
+                return {paths[0]: str(e).strip().splitlines()[0][:500]}
+        half = len(paths) // 2
+        return self.unreadable(paths[:half]) | self.unreadable(paths[half:])
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # maxFilesPerTrigger at most
+        bad: dict[str, str] = {}
+        self._files(paths, epoch_id, "processing", bad)
+        if paths:
+            try:
+                self._write(paths, epoch_id)
+            except Exception:
+                bad = self.unreadable(paths)
+                if not bad:  # not the files' fault
+                    raise
+                self._write([p for p in paths if p not in bad], epoch_id)
+        self._errors([p for p in paths if p not in bad], epoch_id, bad)
+        self._files(paths, epoch_id, "success", bad)
+
+    def _write(self, paths: list[str], epoch_id: int) -> None:
+        if not paths:
+            return
+        rows = self.read(paths).withColumn("_dataset_id", self.dataset).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        rows = self.transform(rows) if self.transform else rows
+        numbered = number_rows(rows, ["_dataset_id"], self.order_by, out="__local")
+        before = self._totals(epoch_id).withColumnRenamed("rows", "__offset")
+        out = attach_per_key(numbered, before, ["_dataset_id"], how="left").withColumn(
+            "_row_number", F.col("__local") + F.coalesce("__offset", F.lit(0))).drop("__local", "__offset")
+        out = out.withColumn("_batch_id", F.lit(epoch_id).cast("bigint"))
+        out.write.mode("overwrite").parquet(_batch_path(self.sink, epoch_id))
+        written = self.spark.read.parquet(_batch_path(self.sink, epoch_id))
+        mine = written.groupBy("_dataset_id").agg(F.max("_row_number").alias("rows"))
+        mine.write.mode("overwrite").parquet(_batch_path(self.sink + "_totals", epoch_id))
+        mine.select(F.col("_dataset_id").alias("dataset_id"), F.lit(epoch_id).cast("bigint").alias("batch_id"), F.lit("success").alias("status"),
+                    F.lit(None).cast("string").alias("error_message")).write.mode("overwrite").parquet(_batch_path(self.sink + "_status", epoch_id))
+
+    def _totals(self, epoch_id: int) -> DataFrame:
+        """Rows per dataset after the EARLIER epochs: a re-run of this one does not see its own."""
         try:
-            earlier = batch.sparkSession.read.parquet(totals_root).where(F.col("_batch") < epoch_id)
-            prev = earlier.groupBy(dataset_col).agg(F.max("rows").alias("rows"))
+            earlier = self.spark.read.parquet(self.sink + "_totals").where(F.col("_batch") < epoch_id)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            # the first batch has no earlier totals
-            prev = batch.sparkSession.createDataFrame([], f"{dataset_col} string, rows bigint")
-        prev = prev.select(dataset_col, F.col("rows").alias("__offset"))
-        out = attach_per_key(numbered, prev, [dataset_col], how="left").withColumn(
-            "_row_number", F.col("__local") + F.coalesce("__offset", F.lit(0))).drop("__local", "__offset")
-        out = out.withColumn("_batch_id", F.lit(epoch_id).cast("bigint"))
-        out.write.mode("overwrite").partitionBy(dataset_col).parquet(_batch_path(sink, epoch_id))
-        written = batch.sparkSession.read.parquet(_batch_path(sink, epoch_id))
-        mine = written.groupBy(dataset_col).agg(F.max("_row_number").alias("rows"))
-        totals = prev.select(dataset_col, F.col("__offset").alias("rows")).unionByName(mine).groupBy(dataset_col) \
-            .agg(F.max("rows").alias("rows"))
-        totals.write.mode("overwrite").parquet(_batch_path(totals_root, epoch_id))
+            kind = self.spark.createDataFrame([], self.schema).withColumn("_source_file", F.lit("")).select(self.dataset.alias("_dataset_id")).schema
+            return self.spark.createDataFrame([], kind).withColumn("rows", F.lit(0).cast("bigint"))
+        return earlier.groupBy("_dataset_id").agg(F.max("rows").alias("rows"))
+
+    def _errors(self, good: list[str], epoch_id: int, bad: dict[str, str]) -> None:
+        errors = self.spark.createDataFrame([(p, None, m) for p, m in bad.items()], "path string, record string, reason string")
+        if good and self.fmt in ("csv", "json"):
+            rows = self.read(good)
+            values = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in self.schema.fields]))
+            # Spark's readers want another column read beside the broken record
+            records = rows.where(F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(values), F.lit(0)) >= 0))
+            errors = errors.unionByName(records.select(F.col("_source_file").alias("path"), F.col(CORRUPT).alias("record"), F.lit("malformed record").alias("reason")))
+        errors.write.mode("overwrite").parquet(_batch_path(self.sink + "_errors", epoch_id))
 
-    return _run(stream.writeStream.foreachBatch(handle), checkpoint, available_now)
+    def _files(self, paths: list[str], epoch_id: int, status: str, bad: dict[str, str]) -> None:
+        rows = [(p, epoch_id, "error" if p in bad else status, bad.get(p)) for p in paths]
+        self.spark.createDataFrame(rows, "path string, batch_id bigint, status string, error_message string") \
+            .write.mode("overwrite").parquet(_batch_path(self.sink + "_files", epoch_id))
+
+
+def ingest_stream(job: FileIngest, source_dir: str, checkpoint: str, max_files_per_trigger: int = 1000, available_now: bool = True, glob: str | None = None):
+    """STM1: run ``job`` on the files that arrive under ``source_dir``."""
+    reader = job.spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files_per_trigger)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    paths = reader.load(source_dir).select("path")
+    return _run(paths.writeStream.foreachBatch(job), checkpoint, available_now)
+
+
+def provenance_transform(source_type: str, ingested_at: str | None = None, content_col: str | None = None, plan: list[dict] | None = None) -> Callable:
+    """The whole row-wise ``clean`` and the provenance columns of PRJ5 (the row number is the job's)."""
+    def transform(rows: DataFrame) -> DataFrame:
+        out = clean_rows(rows, plan).withColumn("_source_type", F.lit(source_type))
+        if ingested_at is not None:
+            out = out.withColumn("_ingested_at", F.lit(ingested_at))
+        return out.withColumn("_content_hash", X.content_hash(content_col)) if content_col else out
+
+    return transform
+
+
+def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructType | str, sink: str, checkpoint: str,
+                       dataset_col: str, order_col: str, text_cols: list[str], max_files_per_trigger: int | None = None,
+                       available_now: bool = True):
+    """STM1 on Parquet files with a dataset column: mojibake and white space of ``text_cols`` repaired, rows numbered per dataset.
+
+    The job's own columns but ``_row_number`` and ``_batch_id`` are dropped.  See ``FileIngest`` for what it keeps of files that fail.
+    """
+    def transform(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: X.collapse_ws(X.fix_mojibake(c)) for c in text_cols}).drop("_source_file")
+
+    job = FileIngest(spark, sink, schema, F.col(dataset_col), [order_col], transform)
+    return ingest_stream(job, source_dir, checkpoint, max_files_per_trigger or 1000, available_now, glob="*.parquet")
 
 
 def read_ingested(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).drop("_batch")
 
 
+def file_status(spark: SparkSession, sink: str) -> DataFrame:
+    """CAT8 per file: path, batch_id, status, error_message."""
+    return spark.read.parquet(sink.rstrip("/") + "_files").drop("_batch")
+
+
 def dataset_status(spark: SparkSession, sink: str) -> DataFrame:
     """CAT8: latest status per dataset over all ingest batches (error message kept)."""
     st = spark.read.parquet(sink.rstrip("/") + "_status").drop("_batch")

@@ -59,3 +59,27 @@ def test_second_promotion_replaces_the_metadata(spark, tmp_path):
         out = write_gold(*C.promote(df, name), str(tmp_path), name)
     assert sorted(r["table_name"] for r in spark.read.parquet(out["tables"]).collect()) == ["first", "second"]
     assert spark.read.parquet(out["columns"]).count() == 4
+
+
+def test_entities_carry_the_offset_of_every_match(spark):
+    import re
+
+    from silverline.operators.entities import ENTITY_RULES, extract_entities
+
+    texts = ["a@b.co x a@b.co, a@b.co", "", None, "1/2/2024 11/2/2024x1/2/2024", "x 0912345678 0912345678 +84912345678", "5 VND 5 VND 1,000đ 5đ", "@", "a@b.c-x@y.z a@@b.c .@-.d",
+             "é" * 40 + " mail@x.vn " + "é" * 40 + " mail@x.vn", "1-1-20011-1-2001", "no marks at all"]
+    rules = {k: rx.replace(r"\p{L}\p{N}_", r"\w") for k, rx, _ in ENTITY_RULES}
+    want = set()
+    for i, t in enumerate(texts):
+        for kind in ("email", "phone", "date"):
+            for n, m in enumerate(re.finditer(rules[kind], t or ""), 1):
+                want.add((i, kind, n, m[1], m.start(1) + 1))
+        for n, m in enumerate(re.finditer(r"([0-9][0-9.,]*\s?(?:VNĐ|VND|đồng|đ))", t or ""), 1):
+            want.add((i, "money", n, m[1], m.start(1) + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    rows = extract_entities(df, "body", ["id"]).collect()
+    assert {(r["id"], r["kind"], r["ordinal"], r["value"], r["offset"]) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        assert texts[r["id"]][r["offset"] - 1:].startswith(r["value"]) and r["value"] in r["context"]
+    places = {r["ordinal"]: r["position"] for r in rows if r["id"] == 0}
+    assert places == {1: "start", 2: "middle", 3: "end"}
