@@ -63,6 +63,64 @@ def q_stream_ingest(spark, sf_dir):
     return got.select("source", "doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
+def _ordered_chunks(df, path, key, chunks=CHUNKS, second=None):
+    """Write all rows by ranges of ``key``, each chunk its own job of as many files; one file of the second chunk is left to ``second``."""
+    spark = df.sparkSession
+    files = max(2, spark.sparkContext.defaultParallelism)
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    step = -(-(hi + 1 - lo) // chunks)
+    for i in range(chunks):
+        part = df.where((F.col(key) >= lo + i * step) & (F.col(key) < lo + (i + 1) * step) | (F.col(key).isNull() if i == 0 else F.lit(False)))
+        other = second if i == 1 else None
+        part.repartition(files - (1 if other else 0)).write.mode("append").parquet(path)
+        if other:
+            other()
+    return files
+
+
+@register("stream_ingest_quarantine", ["STM1", "CAT8", "PRJ5", "CAT6"], """
+select 'rows' as what, source as name, count(*) as rows, 0::bigint as only_stream, 0::bigint as only_batch from documents group by source
+union all select 'error', 'broken.parquet', 1, 0, 0
+union all select 'success', 'files read', (select count(*) from documents), 0, 0""")
+def q_stream_quarantine(spark, sf_dir):
+    """One broken file among three chunks: its error row, and the rows of the stream against one batch, on every column."""
+    from silverline.operators.provenance import add_provenance
+    from silverline.plans.clean import clean_rows
+
+    src, out, ckpt = _dirs(spark, "quarantine")
+    docs = read_table(spark, sf_dir, "documents")
+
+    def broken():
+        """A file that is no Parquet, though its name says so."""
+        where = spark._jvm.org.apache.hadoop.fs.Path
+        fs = where(src).getFileSystem(spark._jsc.hadoopConfiguration())
+        docs.select("text").where("text is not null").limit(1).coalesce(1).write.mode("append").text(f"{src}-text")
+        names, files = [], fs.listStatus(where(f"{src}-text"))
+        for f in files:
+            if f.getPath().getName().endswith(".txt"):
+                names.append(f.getPath())
+        fs.rename(names[0], where(f"{src}/broken.parquet"))
+
+    files = _ordered_chunks(docs, src, "doc_id", second=broken)
+    job = J.FileIngest(spark, out, docs.schema, F.col("source"), ["doc_id"], J.provenance_transform("parquet", "2024-01-01", "text"))
+    J.ingest_stream(job, src, ckpt, files, glob="*.parquet")
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "_dataset_id", "_row_number", "_source_type", "_ingested_at", "_content_hash"]
+    rows = J.read_ingested(spark, out)
+    batch = add_provenance(clean_rows(docs), F.col("source"), "", "parquet", ["doc_id"], "2024-01-01", "text")
+    both = [df.select(F.lit(side).alias("side"), F.col("_dataset_id").alias("name"), F.xxhash64(*columns).alias("row")) for side, df in (("s", rows), ("b", batch))]
+    # equal rows cancel out: signed counts per row, kept whole
+    signs = both[0].unionByName(both[1]).groupBy("name", "row").agg(F.sum(F.when(F.col("side") == "s", 1).otherwise(-1)).alias("n"), F.count_if(F.col("side") == "s").alias("s"))
+    compared = signs.groupBy("name").agg(F.sum("s").alias("rows"), F.sum(F.greatest("n", F.lit(0))).cast("bigint").alias("only_stream"),
+                                         F.sum(F.greatest(-F.col("n"), F.lit(0))).cast("bigint").alias("only_batch"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("only_stream", "only_batch")]
+    status = J.file_status(spark, out)
+    errors = status.where("status = 'error'").select(F.lit("error").alias("what"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.lit(1).cast("bigint").alias("rows"), *zero)
+    good = status.where("status = 'success'").withColumnRenamed("path", "_source_file")
+    read = rows.join(good, rows["_source_file"] == good["_source_file"], "left_semi").agg(F.count("*").alias("rows")).select(
+        F.lit("success").alias("what"), F.lit("files read").alias("name"), "rows", *zero)
+    return compared.select(F.lit("rows").alias("what"), "name", "rows", "only_stream", "only_batch").unionByName(errors).unionByName(read)
+
+
 _DUCK_LIMITS = f"""
 (select k.id as api_key_id, coalesce(p.rate, {dict((x[0], x[3]) for x in P.PLAN_LIMITS)[P.DEFAULT_PLAN]}) as lim
  from api_keys k left join users u on u.id = k.user_id

@@ -156,7 +156,8 @@ class FileIngest:
 
 def ingest_stream(job: FileIngest, source_dir: str, checkpoint: str, max_files_per_trigger: int = 1000, available_now: bool = True, glob: str | None = None):
     """STM1: run ``job`` on the files that arrive under ``source_dir``."""
-    reader = job.spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files_per_trigger)
+    reader = job.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary") \
+        .options(maxFilesPerTrigger=max_files_per_trigger, recursiveFileLookup="true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     paths = reader.load(source_dir).select("path")
     return _run(paths.writeStream.foreachBatch(job), checkpoint, available_now)

@@ -59,3 +59,58 @@ def test_feeds_keep_every_row(spark, tmp_path, monkeypatch):
     assert {r["api_key_id"] for r in Q.q_stream_daily(spark, "").collect()} == {0, 1, 2, 3}
     Q._write_day_chunks(logs, str(tmp_path / "days"))
     assert spark.read.parquet(str(tmp_path / "days")).count() == 4
+
+
+def _ingest_dir(spark, name):
+    base = tempfile.mkdtemp(prefix=f"sl-{name}-")
+    return f"{base}/in", f"{base}/out", f"{base}/ckpt"
+
+
+def test_broken_files_and_records_are_set_aside_and_the_stream_goes_on(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    src, out, ckpt = _ingest_dir(spark, "quarantine")
+    os.makedirs(src)
+    texts = {"1.json": '{"ds": 1, "k": 1, "body": " b  y "}\n{"ds": 1, "k": 2, "body": "Ã¡o"}\n', "2.json": '{"ds": 1, "k": 3, "body": null}\nnot json\n{"ds": null, "k": 9, "body": "n"}\n',
+             "3.json": '{"ds": 1, "k": 4, "body": "hòa"}\n'}
+    for i, (name, text) in enumerate(texts.items()):
+        with open(f"{src}/{name}", "w", encoding="utf-8") as fh:
+            fh.write(text)
+        os.utime(f"{src}/{name}", (1_700_000_000 + 100 * i,) * 2)
+    os.symlink(f"{src}/3.json", f"{src}/other.txt")  # not picked up
+    schema = "ds int, k bigint, body string"
+    job = J.FileIngest(spark, out, schema, F.col("ds"), ["k"], J.provenance_transform("json", "2024-01-01", "body"), fmt="json")
+    J.ingest_stream(job, src, ckpt, 1, glob="*.json")
+    rows = sorted((r["k"], r["_row_number"], r["body"], r["_source_type"], r["_batch_id"], r["_source_file"][-6:]) for r in J.read_ingested(spark, out).collect())
+    assert rows == [(1, 1, "b y", "json", 0, "1.json"), (2, 2, "áo", "json", 0, "1.json"), (3, 3, None, "json", 1, "2.json"), (4, 4, "hoà", "json", 2, "3.json"),
+                    (9, 1, "n", "json", 1, "2.json")]
+    errors = spark.read.parquet(out + "_errors").collect()
+    assert [(r["record"], r["reason"], r["path"][-6:]) for r in errors] == [("not json", "malformed record", "2.json")]
+    # a batch that runs again changes nothing
+    before = [sorted(map(str, spark.read.parquet(out + x).collect())) for x in ("", "_errors", "_files", "_status", "_totals")]
+    job(spark.createDataFrame([(f"file:{src}/2.json",)], "path string"), 1)
+    assert before == [sorted(map(str, spark.read.parquet(out + x).collect())) for x in ("", "_errors", "_files", "_status", "_totals")]
+
+
+def test_a_fault_that_is_not_a_files_own_stops_the_batch(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    src, out, _ = _ingest_dir(spark, "fault")
+    spark.createDataFrame([("a", 1)], "ds string, k bigint").coalesce(1).write.parquet(src)
+    path = spark.read.parquet(src).inputFiles()[0]
+
+    def broken(rows):
+        raise ValueError("no such rule")
+
+    job = J.FileIngest(spark, out, "ds string, k bigint", F.col("ds"), ["k"], broken)
+    with pytest.raises(ValueError):
+        job(spark.createDataFrame([(path,)], "path string"), 0)
+    assert [r["status"] for r in J.file_status(spark, out).collect()] == ["processing"]
+    with open(f"{src}/bad.parquet", "w") as fh:
+        fh.write("no parquet")
+    J.FileIngest(spark, out, "ds string, k bigint", F.col("ds"), ["k"])(spark.createDataFrame([(path,), (f"file:{src}/bad.parquet",)], "path string"), 0)
+    assert {r["path"][-11:]: r["status"] for r in J.file_status(spark, out).collect() if r["status"] == "error"} == {"bad.parquet": "error"}
+    assert J.read_ingested(spark, out).count() == 1
