@@ -148,10 +148,10 @@ from usage_logs group by 1, 2""")
 def q_stream_daily(spark, sf_dir):
     src, out, ckpt = _dirs(spark, "daily")
     logs = derived(spark, sf_dir, "usage_logs")
-    files = _write_chunks(logs, src)
+    # the log arrives in the order of its days, a chunk a micro-batch
+    files = _ordered_chunks(logs.withColumn("day_no", F.unix_date(F.to_date("created_at"))), src, "day_no", 4)
     J.daily_counters(spark, src, logs.schema, out, ckpt, max_files_per_trigger=files)
-    final = J.latest_per_key(spark.read.parquet(out), ["api_key_id", "date"])
-    return final.select("api_key_id", "date", "requests", "bytes")
+    return J.daily_totals(spark, out).select("api_key_id", "date", "requests", "bytes")
 
 
 @register("stream_ingest_status", ["CAT8", "STM1"], """

@@ -249,16 +249,64 @@ def rate_windows(spark: SparkSession, source_dir: str, schema, keys: DataFrame,
     return _updates_to_sink(agg, sink, checkpoint, enrich, available_now)
 
 
+DAYS_ON = 1_000_000
+
+
 def daily_counters(spark: SparkSession, source_dir: str, schema, sink: str, checkpoint: str,
-                   max_files_per_trigger: int | None = None, available_now: bool = True):
-    """STM3: requests and bytes per API key and day, updated as the log grows."""
+                   max_files_per_trigger: int | None = None, available_now: bool = True, lateness_days: int = 1):
+    """STM3: requests and bytes per API key and day, updated as the log grows; read them with ``daily_totals``.
+
+    A day is finished once a row has been seen of the day ``lateness_days`` after the next; later rows of it
+    are dropped, and its state goes.  Rows without a time are a group of their own, which never ends (a row per key).
+    Each epoch merges its updates into the open days of the epoch before and writes them once, finished days
+    apart: a day is written as finished by one epoch only, and the open days do not grow with the log.
+    """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    s = reader.parquet(source_dir)
-    agg = s.groupBy("api_key_id", F.to_date("created_at").alias("date")).agg(
+    wait = 1 + lateness_days
+    # a watermark begins at 1970: days are moved on so that none lies before it
+    s = reader.parquet(source_dir).withColumn("__day", F.date_add(F.to_date("created_at"), DAYS_ON).cast("timestamp"))
+    agg = s.withWatermark("__day", f"{wait} days").groupBy("api_key_id", "__day").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("bytes_transferred").cast("bigint").alias("bytes"))
-    return _updates_to_sink(agg, sink, checkpoint, None, available_now)
+
+    def handle(batch: DataFrame, epoch_id: int):
+        merged = batch.select("api_key_id", F.date_sub(F.to_date("__day"), DAYS_ON).alias("date"), "requests", "bytes")
+        finished = F.lit(False)
+        before = _open_days(spark, sink, epoch_id)
+        if before is not None:
+            # as Spark does with its state: the last day of the EARLIER batches closes days
+            seen = before.agg(F.max("date")).first()[0]
+            both = merged.withColumn("__v", F.lit(1)).unionByName(before.select(*merged.columns).withColumn("__v", F.lit(0)))
+            newest = F.max_by(F.struct("requests", "bytes"), "__v")
+            merged = both.groupBy("api_key_id", "date").agg(newest.alias("n")).select("api_key_id", "date", "n.requests", "n.bytes")
+            finished = F.coalesce(F.col("date") <= F.date_sub(F.lit(seen), wait), finished)
+        merged.withColumn("_finished", finished.cast("int")).write.mode("overwrite").partitionBy("_finished").parquet(_batch_path(sink, epoch_id))
+
+    return _run(agg.writeStream.outputMode("update").foreachBatch(handle), checkpoint, available_now)
+
+
+def _epochs(spark: SparkSession, sink: str) -> DataFrame | None:
+    try:
+        return spark.read.option("basePath", sink).parquet(sink)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _open_days(spark: SparkSession, sink: str, before_epoch: int) -> DataFrame | None:
+    """Days that the last epoch before ``before_epoch`` left open."""
+    rows = _epochs(spark, sink)
+    last = None if rows is None else rows.where(F.col("_batch") < before_epoch).agg(F.max("_batch")).first()[0]
+    return None if last is None else rows.where((F.col("_batch") == last) & (F.col("_finished") == 0))
+
+
+def daily_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """Rows (api_key_id, date, requests, bytes) of ``daily_counters``: every finished day, and the open ones of the last epoch."""
+    rows = spark.read.option("basePath", sink).parquet(sink)
+    last = rows.agg(F.max("_batch")).first()[0]
+    return rows.where((F.col("_finished") == 1) | (F.col("_batch") == last)).drop("_batch", "_finished")
 
 
 def latest_per_key(sink_df: DataFrame, keys: list[str], version_col: str = "_epoch") -> DataFrame:

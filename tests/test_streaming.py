@@ -114,3 +114,27 @@ def test_a_fault_that_is_not_a_files_own_stops_the_batch(spark):
     J.FileIngest(spark, out, "ds string, k bigint", F.col("ds"), ["k"])(spark.createDataFrame([(path,), (f"file:{src}/bad.parquet",)], "path string"), 0)
     assert {r["path"][-11:]: r["status"] for r in J.file_status(spark, out).collect() if r["status"] == "error"} == {"bad.parquet": "error"}
     assert J.read_ingested(spark, out).count() == 1
+
+
+def test_daily_counters_keep_no_state_of_finished_days(spark):
+    import os
+
+    src, out, ckpt = _ingest_dir(spark, "daily")
+    days = 12
+    late = (900, "u", "k1", 7, dt.datetime(2024, 1, 1, 9))  # a finished day by then: dropped
+    for d in range(days):
+        rows = [(i, "u", f"k{i % 3}", 10, dt.datetime(2024, 1, 1 + d, i)) for i in range(9)] + [(99, "u", "k1", None, None)]
+        rows += [(50, "u", "k2", 5, dt.datetime(2024, 1, d, 23))] if d else []  # of the day before: counted
+        spark.createDataFrame(rows + ([late] if d == 9 else []), LOG_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        for f in os.listdir(src):
+            if f.startswith("part-") and not f.startswith(f"part-{d}") and os.path.getmtime(f"{src}/{f}") > 1_800_000_000:
+                os.utime(f"{src}/{f}", (1_700_000_000 + 100 * d,) * 2)
+    q = J.daily_counters(spark, src, LOG_SCHEMA, out, ckpt, max_files_per_trigger=1)
+    state = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert len(state) >= days and max(state[4:]) <= 13 and max(state[4:]) == max(state[4:8])  # flat: few days, not all
+    got = {(r["api_key_id"], r["date"]): (r["requests"], r["bytes"]) for r in J.daily_totals(spark, out).collect()}
+    want = {(f"k{k}", dt.date(2024, 1, 1 + d)): (3 + (k == 2 and d < days - 1), 30 + 5 * (k == 2 and d < days - 1)) for k in range(3) for d in range(days)}
+    want["k1", None] = (days, None)
+    assert got == want and J.daily_totals(spark, out).count() == len(want)
+    finished = spark.read.parquet(out).where("_finished = 1").groupBy("api_key_id", "date").count()
+    assert finished.where("count > 1").count() == 0
