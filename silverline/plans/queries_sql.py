@@ -359,6 +359,40 @@ for _name, (_ids, _tables, _spark_sql, _duck_sql) in CONFORMANCE.items():
     register(_name, _ids, _duck_sql)(_make(_name, _tables, _spark_sql))
 
 
+_BANDS = """select c_custkey, abs(c_acctbal) * 50 as low,
+  abs(c_acctbal) * 50 + case when c_custkey % 97 = 0 then 50000 else (c_custkey % 50) * 4 end as high from customer"""
+
+
+@register("range_join_price_bands", ["DJN4"], f"""
+select c_custkey, count(*) as orders, cast(sum(o_orderkey) as bigint) as key_sum, min(o_totalprice) as least, max(o_totalprice) as most
+from orders join ({_BANDS}) b on o_totalprice between low and high group by 1""")
+def q_range_join(spark, sf_dir):
+    from silverline.operators.ranges import range_join
+
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    bands = spark.sql(_BANDS.replace("from customer", "from {customer}"), customer=read_table(spark, sf_dir, "customer"))
+    return range_join(orders, bands, "o_totalprice", "low", "high").groupBy("c_custkey").agg(
+        F.count("*").alias("orders"), F.sum("o_orderkey").alias("key_sum"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
+
+
+@register("range_join_order_periods", ["DJN4"], """
+select c_custkey, count(*) as orders, cast(sum(o_orderkey) as bigint) as key_sum
+from orders join (select c_custkey, timestamp '1995-01-01' + interval 1 day * (c_custkey % 1000) as since,
+  timestamp '1995-01-01' + interval 1 day * (c_custkey % 1000 + case when c_custkey % 211 = 0 then 400 else c_custkey % 3 end) as until from customer) b
+  on o_orderdate >= since and o_orderdate < until group by 1""")
+def q_range_join_dates(spark, sf_dir):
+    from silverline.operators.ranges import range_join
+
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    day = "make_dt_interval(cast({} as int))"
+    first = "c_custkey % 1000"
+    periods = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr(f"timestamp_ntz'1995-01-01' + {day.format(first)}").alias("since"),
+        F.expr(f"timestamp_ntz'1995-01-01' + {day.format(first + ' + case when c_custkey % 211 = 0 then 400 else c_custkey % 3 end')}").alias("until"))
+    return range_join(orders, periods, "o_orderdate", "since", "until", closed="left").groupBy("c_custkey").agg(
+        F.count("*").alias("orders"), F.sum("o_orderkey").alias("key_sum"))
+
+
 @register("sql_union_by_name", ["DST2", "SET1"], """
 select n_nationkey as k, n_name as name, null as acctbal from nation
 union all by name select s_suppkey as k, s_name as name, s_acctbal as acctbal from supplier""")
