@@ -175,3 +175,32 @@ def q_write_gold(spark, sf_dir):
     out = write_gold(gold, tables, columns, root, "dirty_customer")
     return spark.read.parquet(out["columns"]).select("table_name", "column_name", "column_type", "sql_type",
                                                      F.round("valid_percentage", 4).alias("valid_percentage"))
+
+
+@register("gold_ledger_runs", ["CAT5", "SNK2", "AGG8", "CAT3"], """
+with d as (select source, count(*) as n from documents group by source), one as (select min(source) as s from documents)
+select 1 as run, 'promoted' as action, count(*) as datasets, cast(sum(n) as bigint) as rows from d
+union all select 2, 'skipped', count(*), cast(sum(n) as bigint) from d
+union all select 3, 'promoted', count(*), cast(sum(n + 1) as bigint) from d, one where source = s
+union all select 3, 'skipped', count(*), cast(sum(n) as bigint) from d, one where source is distinct from s
+union all select 4, 'promoted', count(*), cast(sum(n + case when source = s then 1 else 0 end) as bigint) from d, one
+union all select 5, 'stored', (select count(*) from d), (select count(*) + 1 from documents)""")
+def q_gold_ledger(spark, sf_dir):
+    """Four promotions: all new, nothing changed, a row more in one dataset, all forced; then what is stored."""
+    from silverline.operators.ledger import promote_changed
+
+    docs = read_table(spark, sf_dir, "documents")
+    root = _fresh(spark, "ledger")
+    info = docs.select("source").distinct().select(F.col("source").alias("dataset_id"), F.lit("s1").alias("space_id"),
+                                                   F.concat("source", F.lit(".txt")).alias("source_file"), F.lit("txt").alias("source_type"))
+    first = docs.agg(F.min("source")).first()[0]
+    more = docs.unionByName(docs.where(F.col("source") == first).orderBy("doc_id").limit(1))
+    runs = None
+    for run, (rows, force) in enumerate(((docs, False), (docs, False), (more, False), (more, True)), 1):
+        done = promote_changed(rows, "source", root, force, info).groupBy("action").agg(F.count("*").alias("datasets"), F.sum("rows").alias("rows"))
+        done = done.select(F.lit(run).alias("run"), "action", "datasets", "rows")
+        runs = done if runs is None else runs.unionByName(done)
+    rows = spark.read.parquet(f"{root}/tables").groupBy("source").agg(F.count("*").alias("rows"))
+    tables = spark.read.parquet(f"{root}/meta/gold_tables").select(F.col("dataset_id").alias("source"), "row_count")
+    same = rows.join(tables, rows["source"].eqNullSafe(tables["source"]) & (F.col("rows") == F.col("row_count")), "left_semi")
+    return runs.unionByName(same.agg(F.count("*").alias("datasets"), F.sum("rows").alias("rows")).select(F.lit(5).alias("run"), F.lit("stored").alias("action"), "datasets", "rows"))

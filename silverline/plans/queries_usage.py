@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from silverline.functions import patterns as P
 from silverline.operators import usage as U
 from silverline.plans.fixtures import derived, duck_with
 from silverline.plans.registry import register
+from silverline.session import materialize
 
 AS_OF = "2024-01-31 00:00:00"
 DAYS = 7
@@ -119,3 +122,19 @@ select id, endpoint, status_code from usage_logs where user_id = 'u7' and api_ke
 def q_scope(spark, sf_dir):
     return U.scope_filter(derived(spark, sf_dir, "usage_logs"), user_id="u7", api_key_id="k7").select(
         "id", "endpoint", "status_code")
+
+
+@register("latency_quantiles_by_key_month", ["CAT7", "DAG6", "DAG5"], duck_with("usage_logs") + """
+select api_key_id, cast(date_trunc('month', created_at) as date) as month, count(response_time_ms) as n, true as p50_ok, true as p95_ok, true as p99_ok
+from usage_logs where response_time_ms is not null group by 1, 2""")
+def q_latency_quantiles(spark, sf_dir):
+    """Sketches per key and day, merged to months; each quantile's exact rank error is within the stated bound."""
+    from silverline.operators import sketches as SK
+
+    logs = derived(spark, sf_dir, "usage_logs").select("api_key_id", F.to_date("created_at").alias("day"), "response_time_ms")
+    daily = materialize(SK.quantile_sketches(logs, ["api_key_id", "day"], "response_time_ms"), "latency-sketches")
+    month = F.trunc("day", "month").alias("month")
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = SK.quantiles(SK.merge_sketches(daily, ["api_key_id", month]), wanted)
+    errors = SK.rank_errors(logs.select("api_key_id", month, "response_time_ms"), ["api_key_id", "month"], "response_time_ms", found, wanted)
+    return errors.select("api_key_id", "month", "n", *[(F.col(c) <= SK.RANK_ERROR).alias(f"{c}_ok") for c in wanted])
