@@ -148,6 +148,14 @@ def _vectors(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
+def inner_products(v: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``at`` with ``q``, each summed in one order, so that equal vectors score alike wherever they stand."""
+    out = np.empty(len(at))
+    for i in range(0, len(at), 4096):
+        out[i:i + 4096] = (v[at[i:i + 4096]] * q).sum(axis=1)
+    return out
+
+
 def _best(rows: list, query: int, ids: np.ndarray, score: np.ndarray, k: int) -> None:
     if len(ids) > 4 * k:  # all that tie with the k-th stay
         keep = score >= np.partition(score, len(score) - k)[len(score) - k]
@@ -187,7 +195,7 @@ def _rank(own, asked, k: int):
                 at = np.unique(ids, return_index=True)[1]
             at = at[ids[at] != query]
             if len(at):
-                _best(rows, query, ids[at], v[at] @ q, k)
+                _best(rows, query, ids[at], inner_products(v, at, q), k)
     cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 

@@ -158,12 +158,26 @@ def _first_block(docs: DataFrame, levels: np.ndarray, usual: float, k: int, perc
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, salt int, key long, n int, left int")
 
 
+def _keyed_sets(k: int):
+    """The distinct sets of a task's texts with their class keys."""
+    def run(batches):
+        import pyarrow as pa
+
+        seen = set()
+        for _, texts in _batches(batches, 0):
+            found = [(of, s.tobytes()) for _, s in shingle_sets(texts, k) if len(s) and (of := _set_key(s)) not in seen and not seen.add(of)]
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["key", "s"])
+
+    return run
+
+
 class _Sets:
     """Sets of classes, read again from the documents for the classes that pairs need."""
 
     def __init__(self, docs: DataFrame, members: DataFrame, k: int):
         self.docs, self.k, self.have = docs, k, None
-        self.first = members.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
+        # the smallest doc_id of a class; null where all of its rows lack one
+        self.first = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
 
     def of(self, keys: DataFrame) -> DataFrame:
         """key, s (bytes of the sorted set) of the given classes."""
@@ -188,7 +202,12 @@ class _Sets:
                                       names=["key", "s"])
 
         rows = self.docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(want, "id")
-        new = materialize(rows.select("key", "text").mapInArrow(run, "key long, s binary"), "join-sets")
+        new = rows.select("key", "text").mapInArrow(run, "key long, s binary")
+        nameless = want.where("id is null").select("key")
+        if not nameless.isEmpty():  # classes without any doc_id are found by their texts
+            texts = self.docs.where("doc_id is null").select(F.col("text").cast("string").alias("text"))
+            new = new.unionByName(texts.mapInArrow(_keyed_sets(k), "key long, s binary").join(nameless, "key", "left_semi").dropDuplicates(["key"]))
+        new = materialize(new, "join-sets")
         self.have = new if self.have is None else self.have.unionByName(new)
         return self.have.join(keys, "key", "left_semi")
 
