@@ -8,9 +8,11 @@ moved by one, in the order of the estimated probability that a neighbour lies
 there (nearer bucket bounds first), ``probes`` per table.  The candidates of all tables are
 merged and ranked by their exact inner product in double precision.
 
-``probes`` is the smallest number on a grid that reaches ``TARGET`` recall between
+``K``, the width and ``probes`` come from a grid: of the settings that reach ``TARGET`` recall between
 at most ``SAMPLE_QUERIES`` queries and ``SAMPLE`` vectors (smallest hashes of vec_id), against
-brute force.  Every vector is indexed.
+brute force, the one with the least work at the table's size (the share of rows it visits there, times the rows, and
+``VISIT`` rows for each bucket), so a larger table gets smaller buckets and more probes.  Where none reaches it, every query is
+answered by the scan of all rows.  Every vector is indexed.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows with a null vec_id or a length other than the most frequent
@@ -35,11 +37,15 @@ from pyspark.sql import functions as F
 
 from silverline.session import materialize
 
-TABLES, K = 8, 12
+TABLES = 8
+#: functions of a table: more of them make smaller buckets, which need more probes
+FUNCTIONS = (12, 16)
 WIDTHS = (2.5, 3.5, 5.0)
 PROBES = (16, 32, 64, 128, 256, 384, 512, 768, 1024)
 TARGET = 0.95
 SAMPLE, SAMPLE_QUERIES = 16_384, 256
+#: cost of a visited bucket in ranked rows
+VISIT = 8
 PART, HOT = 32_768, 4_096
 
 
@@ -74,16 +80,16 @@ def probe_sets(k: int, most: int) -> list[tuple[int, ...]]:
 
 
 class Hashing:
-    """The functions of all tables for vectors of dimension ``d`` with largest norm ``norm``."""
+    """The functions of all tables for vectors of dimension ``d`` with largest norm ``norm``; ``exact``: buckets are not to be trusted."""
 
-    def __init__(self, d: int, norm: float, width: float, probes: int, seed: int = 10):
+    def __init__(self, d: int, norm: float, width: float, probes: int, k: int = FUNCTIONS[0], seed: int = 10):
         rng = np.random.default_rng(seed)
-        self.norm, self.width, self.probes = norm, width, probes
-        self.a = rng.standard_normal((TABLES, d + 1, K))  # projections of unit vectors have variance 1
-        self.b = rng.uniform(0, width, (TABLES, K))
-        self.step = rng.integers(1, 1 << 62, (TABLES, K), dtype=np.int64) | 1
-        sets = probe_sets(K, probes)
-        self.member = np.zeros((len(sets), 2 * K), np.int64)
+        self.norm, self.width, self.probes, self.k, self.exact = norm, width, probes, k, False
+        self.a = rng.standard_normal((TABLES, d + 1, k))  # projections of unit vectors have variance 1
+        self.b = rng.uniform(0, width, (TABLES, k))
+        self.step = rng.integers(1, 1 << 62, (TABLES, k), dtype=np.int64) | 1
+        sets = probe_sets(k, probes)
+        self.member = np.zeros((len(sets), 2 * k), np.int64)
         for i, s in enumerate(sets):
             self.member[i, list(s)] = 1
 
@@ -104,13 +110,13 @@ class Hashing:
         cell = np.floor(p)
         near = np.concatenate([p - cell, 1 - (p - cell)], axis=1)  # distance to the lower and the upper bound
         order = np.argsort(near, axis=1, kind="stable")
-        move = np.where(order < K, -1, 1) * self.step[t][order % K]
+        move = np.where(order < self.k, -1, 1) * self.step[t][order % self.k]
         with np.errstate(over="ignore"):
             return (cell.astype(np.int64) * self.step[t]).sum(axis=1)[:, None] + t + move @ self.member.T
 
 
-def fit(vectors: DataFrame, k: int) -> Hashing | None:
-    """Choose width and probes on a bounded sample against brute force."""
+def fit(vectors: DataFrame, k: int, total: int) -> Hashing | None:
+    """Choose functions, width and probes for ``total`` vectors on a bounded sample against brute force."""
     norms = vectors.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("n"), F.size("v").alias("d"))
     top = norms.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
     if top["n"] is None:
@@ -121,20 +127,29 @@ def fit(vectors: DataFrame, k: int) -> Hashing | None:
     score = q @ v.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     best = np.argsort(-score, axis=1, kind="stable")[:, :min(k, len(v) - 1)]
-    for width in WIDTHS:
-        h = Hashing(int(top["d"]), float(top["n"]), width, PROBES[-1])
-        keys = [h.keys(t, v) for t in range(TABLES)]
-        visits = [h.visits(t, q) for t in range(TABLES)]
-        # first probe that reaches each true neighbour, in any table
-        first = np.full(best.shape, PROBES[-1])
-        for t in range(TABLES):
-            for i in range(len(q)):
-                hit = visits[t][i][:, None] == keys[t][best[i]][None]
-                first[i] = np.minimum(first[i], np.where(hit.any(axis=0), hit.argmax(axis=0), PROBES[-1]))
-        for probes in PROBES:
-            if not best.size or (first < probes).mean() >= TARGET:
-                return Hashing(int(top["d"]), float(top["n"]), width, probes)
-    return Hashing(int(top["d"]), float(top["n"]), WIDTHS[-1], PROBES[-1])
+    d, norm, cost, chosen = int(top["d"]), float(top["n"]), np.inf, None
+    for functions in FUNCTIONS:
+        for width in WIDTHS:
+            h = Hashing(d, norm, width, PROBES[-1], functions)
+            first = np.full(best.shape, PROBES[-1])  # first probe that reaches each true neighbour, in any table
+            visited = np.zeros(PROBES[-1])  # rows of the sample in the buckets of each probe, over all tables, a query
+            for t in range(TABLES):
+                keys, visits = h.keys(t, v), h.visits(t, q)
+                stored = np.sort(keys)
+                visited[:visits.shape[1]] += (np.searchsorted(stored, visits, "right") - np.searchsorted(stored, visits, "left")).mean(axis=0)
+                for i in range(len(q)):
+                    hit = visits[i][:, None] == keys[best[i]][None]
+                    first[i] = np.minimum(first[i], np.where(hit.any(axis=0), hit.argmax(axis=0), PROBES[-1]))
+            for probes in PROBES:
+                if not best.size or (first < probes).mean() >= TARGET:
+                    work = visited[:probes].sum() / len(v) * total + VISIT * TABLES * probes
+                    if work < cost:
+                        cost, chosen = work, Hashing(d, norm, width, probes, functions)
+                    break
+    if chosen is None:
+        chosen = Hashing(d, norm, WIDTHS[-1], 1)
+        chosen.exact = True
+    return chosen
 
 
 def _mix(key: np.ndarray, sub: np.ndarray | int) -> np.ndarray:
@@ -148,20 +163,22 @@ def _vectors(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def inner_products(v: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of the rows ``at`` with ``q``, each summed in one order, so that equal vectors score alike wherever they stand."""
-    out = np.empty(len(at))
-    for i in range(0, len(at), 4096):
-        out[i:i + 4096] = (v[at[i:i + 4096]] * q).sum(axis=1)
-    return out
+def inner_products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with ``q``, each summed in one order, so that equal vectors score alike wherever they stand."""
+    return (v * q).sum(axis=1)
 
 
-def _best(rows: list, query: int, ids: np.ndarray, score: np.ndarray, k: int) -> None:
-    if len(ids) > 4 * k:  # all that tie with the k-th stay
-        keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-        ids, score = ids[keep], score[keep]
-    order = np.lexsort((ids, -score))[:k]
-    rows.append((np.full(len(order), query), ids[order], score[order]))
+def _best(rows: list, query: int, ids: np.ndarray, v: np.ndarray, at: np.ndarray, q: np.ndarray, k: int) -> None:
+    """Add the ``k`` best of the rows ``at``."""
+    near = v[at]
+    if len(at) > 4 * k:  # all that can be among them, or tie with the k-th, whatever the rounding of a block product
+        rough = near @ q
+        slack = 8 * len(q) * np.finfo(float).eps * np.abs(near).max() * np.abs(q).sum()
+        keep = rough >= np.partition(rough, len(at) - k)[len(at) - k] - slack
+        at, near = at[keep], near[keep]
+    score = inner_products(near, q)
+    order = np.lexsort((ids[at], -score))[:k]
+    rows.append((np.full(len(order), query), ids[at][order], score[order]))
 
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -195,7 +212,7 @@ def _rank(own, asked, k: int):
                 at = np.unique(ids, return_index=True)[1]
             at = at[ids[at] != query]
             if len(at):
-                _best(rows, query, ids[at], inner_products(v, at, q), k)
+                _best(rows, query, ids, v, at, q, k)
     cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
@@ -210,7 +227,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, hot: int = HOT) ->
     spark = table.sparkSession
     vectors = materialize(valid_vectors(table), "ann-valid")
     total = vectors.count()
-    h = fit(vectors, k)
+    h = fit(vectors, k, total)
     if h is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = spark.sparkContext.broadcast(h)
@@ -280,7 +297,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, hot: int = HOT) ->
     def rank(own, wanted):
         return _rank(own, wanted, k)
 
-    found = indexed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(rank, _FOUND)
+    found = spark.createDataFrame([], _FOUND) if h.exact else indexed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(rank, _FOUND)
     found = materialize(_top(found, k), "ann-found")
     # queries whose buckets held too few rows: every row, part by part
     short = (queries.select("vec_id", "v").join(found.groupBy("query_id").count(), F.col("vec_id") == F.col("query_id"), "left")

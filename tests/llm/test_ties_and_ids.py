@@ -14,7 +14,7 @@ def test_equal_vectors_have_equal_inner_products():
         v[same] = v[same[0]]
         q = rng.normal(size=64)
         for at in (np.arange(n), rng.permutation(n)):
-            scores = neighbours.inner_products(v, at, q)
+            scores = neighbours.inner_products(v[at], q)
             assert len({scores[np.flatnonzero(at == i)[0]] for i in same}) == 1
             assert np.allclose(scores, v[at] @ q)
 
@@ -34,6 +34,15 @@ def test_equal_vectors_rank_by_id(spark):
             assert len({r["score"] for r in ties}) == 1 and [r["vec_id"] for r in ties] == sorted(r["vec_id"] for r in ties)
 
 
+def test_queries_are_scanned_where_no_setting_reaches_the_target(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TARGET", 1.1)
+    v = np.random.default_rng(11).normal(size=(120, 8))
+    table = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=5).collect()
+    want = {(i, r, int(j)) for i in range(0, 120, 20) for r, j in enumerate([j for j in np.argsort(-(v @ v[i]), kind="stable") if j != i][:5], 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
+
+
 def test_links_hold_through_rows_without_an_id(spark):
     rng = np.random.default_rng(10)
     words = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
