@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,7 +203,10 @@ def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_s
     """
     spark = df.sparkSession
     fields = df.schema.fields
-    new_names, strings, normalized = _normalized(df, legacy_space_a_grave, keep_internal)
+    # rows are counted while the one write reads them
+    seen = Observation()
+    source = df.observe(seen, F.count(F.lit(1)).alias("rows")) if materialize else df
+    new_names, strings, normalized = _normalized(source, legacy_space_a_grave, keep_internal)
     if materialize:
         normalized = materialize_table(normalized, "clean")
     body_cols = [c for c in normalized.columns if not c.startswith("__ws")]
@@ -230,8 +233,8 @@ def clean(df: DataFrame, strict: bool = True, materialize: bool = True, legacy_s
     actions_df = spark.createDataFrame(
         actions, "action string, column string, rows_affected bigint, success_rate double")
     if strict:
-        # rows and columns are what strict mode guards (both counts come from Parquet metadata
-        # or a cheap scan); the full report with fingerprints stays lazy in ``integrity``
-        if cleaned.count() < df.count() or len(cleaned.columns) < len(df.columns):
+        # what strict mode guards; the full report with fingerprints stays lazy in ``integrity``
+        before = seen.get["rows"] if materialize else df.count()
+        if st["__rows"] < before or len(cleaned.columns) < len(df.columns):
             raise ValueError("data loss detected during cleaning")
     return CleanResult(df, cleaned, actions_df, len(actions))

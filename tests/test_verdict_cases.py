@@ -83,3 +83,20 @@ def test_entities_carry_the_offset_of_every_match(spark):
         assert texts[r["id"]][r["offset"] - 1:].startswith(r["value"]) and r["value"] in r["context"]
     places = {r["ordinal"]: r["position"] for r in rows if r["id"] == 0}
     assert places == {1: "start", 2: "middle", 3: "end"}
+
+
+def test_clean_counts_its_rows_in_the_one_write(spark):
+    from pyspark.sql import functions as F
+
+    from silverline.plans.clean import clean
+
+    touched = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def touch(v):
+        touched.add(1)
+        return v
+
+    df = spark.createDataFrame([(i, f" v{i} ") for i in range(40)], "id int, v string").select("id", touch.asNondeterministic()("v").alias("v"))
+    res = clean(df)
+    assert touched.value == 40 and res.data.count() == 40 and touched.value == 40  # the source was read once
