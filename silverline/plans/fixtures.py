@@ -64,13 +64,13 @@ select event_id as id, concat('u', cast(user_id as string)) as user_id,
   cast(floor(value * 100) as bigint) as bytes_transferred,
   ts as created_at
 from events""",
-    # questions asked in spaces
+    # questions asked in spaces: each user text, whole, after a sentence with a known intent; and the sentence by itself, asked again and again
     "questions": """
-select conv_id, turn, concat('s', cast(conv_id % 5 as string)) as space_id,
-  element_at(array('Tổng doanh thu là bao nhiêu?', 'Liệt kê danh sách tài liệu',
-    'Tìm địa chỉ email của công ty', 'Xin chào', 'max price in account 7', 'list all'),
-    cast(1 + (conv_id * 7 + turn) % 6 as int)) as question
-from conversations where role = 'user'""",
+select conv_id, turn + 500 * again as turn, concat('s', cast(conv_id % 5 as string)) as space_id,
+  concat_ws(' ', element_at(array('Tổng doanh thu là bao nhiêu?', 'Liệt kê danh sách tài liệu',
+    'Tìm địa chỉ email của công ty', 'Xin chào', 'max price in account 7', 'list all', cast(null as string)),
+    cast(1 + (conv_id * 8 + turn) % 7 as int)), case when again = 0 then text end) as question
+from conversations lateral view explode(array(0, 1)) a as again where role = 'user'""",
     # one dataset per document source
     "datasets": f"""
 select source as id,
@@ -137,11 +137,11 @@ select event_id as id, concat('u', cast(user_id as varchar)) as user_id,
   ts as created_at
 from events""",
     "questions": """
-select conv_id, turn, concat('s', cast(conv_id % 5 as varchar)) as space_id,
-  (['Tổng doanh thu là bao nhiêu?', 'Liệt kê danh sách tài liệu',
-    'Tìm địa chỉ email của công ty', 'Xin chào', 'max price in account 7', 'list all'])
-    [cast(1 + (conv_id * 7 + turn) % 6 as int)] as question
-from conversations where role = 'user'""",
+select conv_id, turn + 500 * again as turn, concat('s', cast(conv_id % 5 as varchar)) as space_id,
+  concat_ws(' ', (['Tổng doanh thu là bao nhiêu?', 'Liệt kê danh sách tài liệu',
+    'Tìm địa chỉ email của công ty', 'Xin chào', 'max price in account 7', 'list all', null])
+    [cast(1 + (conv_id * 8 + turn) % 7 as int)], case when again = 0 then text end) as question
+from conversations cross join (values (0), (1)) as a(again) where role = 'user'""",
     "datasets": f"""
 select source as id,
   concat('u', cast({_NUM} % 5 as varchar)) as user_id,
