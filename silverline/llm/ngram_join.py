@@ -8,11 +8,13 @@ A document's row holds its distinct five-word shingles.  Documents link when
 2. Columns are put in one order, rare n-grams first (a fixed-size count sketch over all
    documents gives the rarity).  The first block of a row are its first
    ``n - ceil(0.75 n) + 1`` columns: linked rows share at least one of them.
-3. The product over the first block accumulates overlap counts by pair, column by
-   column.  Pairs are discarded by size-derived bounds: sizes further apart than 0.75,
-   too few columns left for the needed overlap, or parity signatures (512 bits, then
-   at least four per n-gram) that differ in more places than linked sets can.  Only surviving pairs
-   meet in the remaining blocks, which gives their exact overlap.
+3. The first block names the pairs.  Those go that size-derived bounds rule out: sizes
+   further apart than 0.75, too few columns left for the needed overlap, or parity
+   signatures (512 bits, and two to four per n-gram between long sets) that differ in
+   more places than linked sets can.  The rows of the others are multiplied block of
+   columns by block of columns: overlap counts are summed by pair, a pair goes as soon
+   as its count and its columns left fall short of the needed overlap, and later blocks
+   are multiplied for the pairs that remain.  The summed count decides the link.
 4. Not all pairs of a list are multiplied: rounds of neighbouring pairs (linear in a
    list) come first, then only pairs between different components, in
    which one side lies outside the largest component of the list.
@@ -32,9 +34,12 @@ broadcast up to ``BROADCAST_IDS`` rows and shuffled beyond.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from silverline.session import materialize
 
@@ -45,8 +50,12 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 HOT = 50_000
 BROADCAST_IDS = 1_000_000
 LINEAR_ROUNDS = 3
+#: column blocks of the product: equal ranges of the n-gram hashes
+COLUMN_BLOCKS = 4
 _SIGNATURE = [f"s{i}" for i in range(8)]
 _LEAST = 64 * len(_SIGNATURE)
+#: sets of more n-grams also have a wide signature
+LONG = 640
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS):
@@ -87,9 +96,9 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 key.append(_set_key(s) if len(s) else None)
                 np.add.at(cells, s >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
-                size = max(_LEAST, 1 << (4 * len(s)).bit_length())
+                size = 1 << (2 * len(s)).bit_length() if len(s) > LONG else _LEAST
                 bits = np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
-                wide.append(bits.tobytes())
+                wide.append(bits.tobytes() if len(s) > LONG else None)
                 sig[i] = np.bitwise_xor.reduce(bits.reshape(-1, _LEAST // 8), axis=0).view(np.int64)
             none = pa.nulls(part.num_rows, pa.int32())
             yield pa.record_batch([part.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int32()), *(pa.array(sig[:, j]) for j in range(len(_SIGNATURE))),
@@ -212,11 +221,36 @@ class _Sets:
         return self.have.join(keys, "key", "left_semi")
 
 
-def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose wide signatures differ in no more places than those of linked sets of their sizes can."""
+@dataclass
+class _Signs:
+    """Signatures by class: ``short`` (key, n, 512 bits) of all, ``long`` (key, wide) of sets over ``LONG``."""
+
+    short: DataFrame
+    long: DataFrame
+
+    @classmethod
+    def of(cls, members: DataFrame) -> _Signs:
+        rows = members.where("key is not null")
+        return cls(materialize(rows.select("key", "n", *_SIGNATURE).dropDuplicates(["key"]), "join-signs"),
+                   materialize(rows.where("wide is not null").select("key", "wide").dropDuplicates(["key"]), "join-wide"))
+
+
+def _differ(a: str, b: str) -> Column:
+    """Places in which the signatures of two sides differ."""
+    return sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in _SIGNATURE), F.lit(0))
+
+
+def _plausible(pairs: DataFrame, signs: _Signs, percent: int) -> DataFrame:
+    """The pairs whose signatures differ in no more places than those of linked sets of their sizes can."""
+    for x in ("a", "b"):
+        pairs = pairs.join(signs.short.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), *(F.col(s).alias(f"{x}_{s}") for s in _SIGNATURE)), x)
+    na, nb = F.col("na"), F.col("nb")
+    pairs = materialize(pairs.where(_differ("a_", "b_") <= na + nb - 2 * _needed(na, nb, percent)).select("a", "b", "na", "nb"), "join-pairs")
+    wide = (na > LONG) & (nb > LONG)
     ones = np.array([bin(i).count("1") for i in range(256)], np.int64)
-    with_a = pairs.join(signs.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
-    both = with_a.join(signs.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+    both = pairs.where(wide)
+    for x in ("a", "b"):
+        both = both.join(signs.long.select(F.col("key").alias(x), F.col("wide").alias(f"w{x}")), x)
 
     def run(batches):
         import pyarrow as pa
@@ -232,11 +266,40 @@ def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
                 keep.append(int(ones[x ^ y].sum()) <= limit)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
+    return pairs.where(~wide).select("a", "b").unionByName(both.select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long"))
+
+
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Number of common columns of each pair (xs[i], ys[i]) of rows."""
+    pair = np.concatenate([np.repeat(np.arange(len(side)), [len(r) for r in side]) for side in (xs, ys)])
+    with np.errstate(over="ignore"):
+        cell = np.concatenate([*xs, *ys]) + mix(pair.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(cell)
+    cell, pair = cell[order], pair[order]
+    return np.bincount(pair[1:][(cell[1:] == cell[:-1]) & (pair[1:] == pair[:-1])], minlength=len(xs))
+
+
+def linked(xs: list[np.ndarray], ys: list[np.ndarray], percent: int, column_blocks: int = COLUMN_BLOCKS) -> np.ndarray:
+    """Whether each pair (xs[i], ys[i]) of sorted sets links, by overlap counts summed over blocks of columns."""
+    edges = np.array([(i << 64) // column_blocks for i in range(1, column_blocks)], np.uint64)
+    cuts = [[np.concatenate([[0], np.searchsorted(r, edges), [len(r)]]) for r in side] for side in (xs, ys)]
+    size = np.array([[len(r) for r in side] for side in (xs, ys)], np.int64).reshape(2, -1)
+    needed = -(-size.sum(axis=0) * percent // (100 + percent))
+    count, live = np.zeros(len(xs), np.int64), np.arange(len(xs))
+    for j in range(column_blocks):
+        if not len(live):
+            break
+        of = [[rows[i][at[i][j]:at[i][j + 1]] for i in live.tolist()] for rows, at in zip((xs, ys), cuts, strict=True)]
+        count[live] += _common(*of)
+        rest = [min(len(xs[i]) - cuts[0][i][j + 1], len(ys[i]) - cuts[1][i][j + 1]) for i in live.tolist()]
+        live = live[count[live] + np.array(rest, np.int64) >= needed[live]]
+    out = np.zeros(len(xs), bool)
+    out[live] = True
+    return out
 
 
-def _verify(pairs: DataFrame, signs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact overlap makes a link."""
+def _verify(pairs: DataFrame, signs: _Signs, sets: _Sets, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap makes a link."""
     pairs = materialize(_plausible(pairs, signs, percent), "join-pairs")
     if pairs.isEmpty():
         return pairs
@@ -247,12 +310,10 @@ def _verify(pairs: DataFrame, signs: DataFrame, sets: _Sets, percent: int) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = [[np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(i)] for i in (2, 3)]
+                yield pa.record_batch([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(linked(*rows, percent)))
 
     return materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "join-links")
 
@@ -322,6 +383,12 @@ def _useful(entries: DataFrame, possible, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
+    of = _classes(docs, k, percent, hot)
+    return of.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
+    """doc_id, n_shingles, key, c, component_id of every document row: its class, the component of that, the component's smallest doc_id."""
     profile = materialize(_profile(docs, k), "join-profile")
     members = profile.where("part is null").drop("part", "counts")
     levels, usual = _levels(profile)
@@ -331,7 +398,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
 
     lists = materialize(_useful(_first_block(docs, levels, usual, k, percent, hot), possible, percent), "join-lists")
     sets = _Sets(docs, members, k)
-    signs = materialize(members.where("key is not null").dropDuplicates(["key"]).select("key", "n", *_SIGNATURE, "wide"), "join-signs")
+    signs = _Signs.of(members)
 
     label = None
     for step in range(LINEAR_ROUNDS):
@@ -359,21 +426,20 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARIT
     big = (rows.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("big")))
     # two rows that also share the column before this one have met there, under bounds that are no tighter
     rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("key").orderBy(F.desc("left"))))
-    rows = rows.join(big, "token").join(signs.select("key", *_SIGNATURE), "key").withColumn("minor", F.col("c") != F.col("big")).drop("big")
+    rows = rows.join(big, "token").join(signs.short.select("key", *_SIGNATURE), "key").withColumn("minor", F.col("c") != F.col("big")).drop("big")
     rows = materialize(rows, "join-rest")
     a, b = rows.where("minor").alias("a"), rows.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SIGNATURE), F.lit(0))
     na, nb = F.col("a.n"), F.col("b.n")
     joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.minor") | (F.col("a.key") < F.col("b.key")))
                     & ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
-                    & possible(na, F.col("a.left"), nb, F.col("b.left")) & (differ <= na + nb - 2 * _needed(na, nb, percent)))
+                    & possible(na, F.col("a.left"), nb, F.col("b.left")) & (_differ("a.", "b.") <= na + nb - 2 * _needed(na, nb, percent)))
     pairs = joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
     found = _verify(pairs, signs, sets, percent)
     label = merge(label, found)
     of = members.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")).join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
     of = materialize(of, "join-members")
     least = of.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return of.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return of.join(least, "c", "left")
 
 
 def _multi(lists: DataFrame, label: DataFrame) -> DataFrame:
@@ -386,16 +452,45 @@ def _multi(lists: DataFrame, label: DataFrame) -> DataFrame:
     return materialize(rows.join(mixed, "token", "left_semi"), "join-mixed")
 
 
+def _with_keys(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the class key of each text (null: no shingles) as ``__key``."""
+    text = [c.lower() for c in rows.columns].index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part, texts in _batches(batches, text):
+            keys = [_set_key(s) if len(s) else None for _, s in shingle_sets(texts, k)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=[*part.schema.names, "__key"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__key", LongType())]))
+
+
 def one_per_component(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id; of repeated doc_ids one row stays."""
-    found = materialize(jaccard_components(docs, k, percent), "join-components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    """``docs`` with one row of each component, one with the component's smallest doc_id.
+
+    Rows are told apart by their texts where the doc_id does not: of rows under one doc_id, or without one, those in
+    different components all stay, and those of one component are one row (the least by class and text hash).  Rows
+    without shingles all stay.
+    """
+    found = materialize(_classes(docs, k, percent, HOT), "join-components")
+    twice = materialize(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"),
+                        "join-twice")
+    # doc_ids of one row each: those that are not the least of their component go
+    gone = found.where("doc_id <> component_id").join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").select(F.col("doc_id").alias("__gone"))
     gone = materialize(gone, "join-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = materialize(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice")), "join-twice")
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(once)
+    doc_id = F.col("doc_id").cast("long")
+    plain = docs.join(_few(gone, gone.count()), doc_id == F.col("__gone"), "left_anti")
+    unclear = docs.where("doc_id is null")
+    many = not twice.isEmpty()
+    if many:
+        plain = plain.join(twice, doc_id == F.col("__twice"), "left_anti")
+        unclear = unclear.unionByName(docs.join(twice, doc_id == F.col("__twice"), "left_semi"))
+    elif found.where("doc_id is null").isEmpty():
+        return plain
+    plain = plain.where("doc_id is not null")
+    classes = found.where("key is not null").select(F.col("key").alias("__key"), F.col("c").alias("__c"), F.col("component_id").alias("__least"))
+    rows = _with_keys(unclear, k).join(classes.distinct(), "__key", "left")
+    first = rows.where("__key is not null").where(doc_id.eqNullSafe(F.col("__least")))
+    one = first.groupBy("__c").agg(F.min_by(F.struct(*docs.columns), F.struct("__key", F.xxhash64("text"))).alias("__row")).select("__row.*")
+    return plain.unionByName(one).unionByName(rows.where("__key is null").select(*docs.columns))
