@@ -10,7 +10,7 @@ A document's row holds its distinct five-word shingles.  Documents link when
    ``n - ceil(0.75 n) + 1`` columns: linked rows share at least one of them.
 3. The first block names the pairs.  Those go that size-derived bounds rule out: sizes
    further apart than 0.75, too few columns left for the needed overlap, or parity
-   signatures (512 bits, and two to four per n-gram between long sets) that differ in
+   signatures (512 bits, and one to two per n-gram between long sets) that differ in
    more places than linked sets can.  The rows of the others are multiplied block of
    columns by block of columns: overlap counts are summed by pair, a pair goes as soon
    as its count and its columns left fall short of the needed overlap, and later blocks
@@ -26,7 +26,8 @@ the component is the smallest non-null doc_id; an empty table gives an
 empty table; other columns are ignored.
 
 Scale: texts are read by narrow passes; only first-block entries are shuffled (a quarter
-of the n-grams).  Lists of n-grams that the sketch puts over ``HOT`` rows are salted.
+of the n-grams).  Lists of n-grams that the sketch puts over ``HOT`` rows are salted,
+and the last product cuts lists into parts of about ``SPLIT`` rows.
 Sets move only for pairs that survive the bounds.  Nothing but the sketch
 (fixed size) comes to the driver; the ids of documents to re-read are
 broadcast up to ``BROADCAST_IDS`` rows and shuffled beyond.
@@ -48,6 +49,8 @@ from .words import NONSPACE, blocks, mix, text_bytes, windows
 WORDS, SIMILARITY = 5, 75
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 HOT = 50_000
+#: rows of a list in one part of the last product
+SPLIT = 2_000
 BROADCAST_IDS = 1_000_000
 LINEAR_ROUNDS = 3
 #: column blocks of the product: equal ranges of the n-gram hashes
@@ -96,7 +99,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 key.append(_set_key(s) if len(s) else None)
                 np.add.at(cells, s >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
-                size = 1 << (2 * len(s)).bit_length() if len(s) > LONG else _LEAST
+                size = 1 << len(s).bit_length() if len(s) > LONG else _LEAST
                 bits = np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
                 wide.append(bits.tobytes() if len(s) > LONG else None)
                 sig[i] = np.bitwise_xor.reduce(bits.reshape(-1, _LEAST // 8), axis=0).view(np.int64)
@@ -381,13 +384,13 @@ def _useful(entries: DataFrame, possible, percent: int) -> DataFrame:
     return entries.withColumn("two", two).where(F.coalesce(keep, F.lit(False)) & ~again).drop("x_n", "third", "salt")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY, hot: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
-    of = _classes(docs, k, percent, hot)
+    of = _classes(docs, k, percent, hot, split)
     return of.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _classes(docs: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
+def _classes(docs: DataFrame, k: int, percent: int, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, key, c, component_id of every document row: its class, the component of that, the component's smallest doc_id."""
     profile = materialize(_profile(docs, k), "join-profile")
     members = profile.where("part is null").drop("part", "counts")
@@ -423,14 +426,17 @@ def _classes(docs: DataFrame, k: int, percent: int, hot: int) -> DataFrame:
             break
         label = merge(label, found) if step else components(found)
     rows = _multi(lists, label)
-    big = (rows.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("big")))
+    big = rows.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(
+        F.max_by("c", F.struct("m", "c")).alias("big"), F.ceil(F.sum("m") / split).cast("int").alias("parts"))
     # two rows that also share the column before this one have met there, under bounds that are no tighter
     rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("key").orderBy(F.desc("left"))))
     rows = rows.join(big, "token").join(signs.short.select("key", *_SIGNATURE), "key").withColumn("minor", F.col("c") != F.col("big")).drop("big")
     rows = materialize(rows, "join-rest")
-    a, b = rows.where("minor").alias("a"), rows.alias("b")
+    # a long list is cut into parts; its rows outside the largest component meet every part
+    a = rows.where("minor").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("a")
+    b = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.minor") | (F.col("a.key") < F.col("b.key")))
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.minor") | (F.col("a.key") < F.col("b.key")))
                     & ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
                     & possible(na, F.col("a.left"), nb, F.col("b.left")) & (_differ("a.", "b.") <= na + nb - 2 * _needed(na, nb, percent)))
     pairs = joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
@@ -473,7 +479,7 @@ def one_per_component(docs: DataFrame, k: int = WORDS, percent: int = SIMILARITY
     different components all stay, and those of one component are one row (the least by class and text hash).  Rows
     without shingles all stay.
     """
-    found = materialize(_classes(docs, k, percent, HOT), "join-components")
+    found = materialize(_classes(docs, k, percent), "join-components")
     twice = materialize(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"),
                         "join-twice")
     # doc_ids of one row each: those that are not the least of their component go

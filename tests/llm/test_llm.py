@@ -186,7 +186,7 @@ def test_jaccard_components_match_all_pairs(spark, hot):
                 base = w
     texts += [texts[20]] * 6 + [f"{prose(rng, 10)} {shared} {prose(rng, 8)}" for _ in range(15)] + [prose(rng, 6000, 5000)] * 2
     docs = docs_of(spark, texts, ", key string").repartition(5)
-    got = sorted(tuple(r) for r in ngram_join.jaccard_components(docs, hot=hot).collect())
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(docs, hot=hot, split=hot).collect())
     assert got == brute_components(texts)
     if hot > 3:
         kept = ngram_join.one_per_component(docs.unionByName(docs.where("doc_id in (3, 50)")))
