@@ -83,21 +83,30 @@ def list_tables(datasets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def promote_all(df: DataFrame, dataset_col: str) -> tuple[DataFrame, DataFrame]:
+def promote_all(df: DataFrame, dataset_col: str, samples: int = 0) -> tuple[DataFrame, DataFrame]:
     """CAT3 + CAT4 for every dataset in ``df`` at once: (gold_tables, gold_columns).
 
     Profiles user columns only (internal ``_`` columns are carried, not scored).
-    gold_columns: dataset, column, semantic type, SQL type, nullable, valid %.
+    gold_columns: dataset, column, semantic type, SQL type, nullable, valid %; with ``samples``, also ``sample_values``,
+    that many of the smallest distinct invalid values as a JSON array (``[]`` where all are valid).
     gold_tables: dataset, rows, columns, score, level.
     """
     user = [c for c in df.columns if not c.startswith("_") and c != dataset_col]
     v = PR.validate_columns(df, columns=user, group_by=[dataset_col])
+    if samples:
+        v = materialize(v, "gold-profile")  # the profile is read three times, made once
     columns = v.select(
         F.col(dataset_col).alias("dataset_id"), "ordinal", "column_name",
         F.col("expected_type").alias("column_type"), TY.sql_type(F.col("expected_type")).alias("sql_type"),
         (F.col("null_count") > 0).alias("is_nullable"), F.lit(False).alias("is_primary_key"),
         "valid_percentage",
     )
+    if samples:
+        found = PR.smallest_invalid(df.select(*[F.col(f"`{c}`") for c in [dataset_col, *user]]), v, [dataset_col], samples).select(
+            F.col(f"`{dataset_col}`").alias("__dataset"), F.col("column_name").alias("__column"), F.to_json("sample_values").alias("sample_values"))
+        same = F.col("dataset_id").eqNullSafe(F.col("__dataset")) & (F.col("column_name") == F.col("__column"))
+        columns = (columns.join(found, same, "left").drop("__dataset", "__column")
+                   .withColumn("sample_values", F.coalesce("sample_values", F.lit("[]"))))
     tables = PR.table_quality(v, group_by=[dataset_col]).select(
         F.col(dataset_col).alias("dataset_id"), F.col("total_rows").alias("row_count"),
         F.col("total_columns").alias("column_count"), F.col("overall_score").alias("quality_score"),

@@ -225,6 +225,36 @@ def invalid_samples(df: DataFrame, validation: DataFrame, order_by: list[str], n
     return bad.withColumn("rank", w).where(F.col("rank") <= n).select("column_name", "rank", "value")
 
 
+def smallest_invalid(df: DataFrame, validation: DataFrame, group_by: list[str], n: int = 3) -> DataFrame:
+    """AGG3 for all groups at once: [group_by...], column_name, sample_values (the ``n`` smallest distinct invalid values, in order).
+
+    ``validation`` is that of ``validate_columns`` with the same ``group_by``; only columns with invalid values are looked
+    at, so valid and free-text columns meet no pattern.  Repeated values are merged on the map side and dealt by value, so
+    one frequent bad value is no hot key; the ranking keeps ``n`` values per partition before its shuffle.
+    Groups and columns without invalid values have no row; rows of a null group take part.
+    """
+    strings = [f.name for f in df.schema.fields if _is_string(f.dataType) and f.name not in group_by]
+    if not strings:
+        keys = "".join(f"`{g}` {df.schema[g].dataType.simpleString()}, " for g in group_by)
+        return df.sparkSession.createDataFrame([], f"{keys}column_name string, sample_values array<string>")
+    cells = df.select(*[F.col(f"`{g}`") for g in group_by], F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("__value")) for c in strings])))
+    types = validation.where("invalid_count > 0").select(
+        *[F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(group_by)], F.col("column_name").alias("__column"), "expected_type")
+    same = F.col("column_name") == F.col("__column")
+    for i, g in enumerate(group_by):
+        same &= F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
+    cells = cells.where(F.col("__value").isNotNull()).join(types, same)
+    valid = F.lit(True)
+    for t in ["numeric", "integer", "date", "phone", "email", "money", "boolean"]:
+        valid = F.when(F.col("expected_type") == t, TY.is_valid_for_type(F.col("__value"), t)).otherwise(valid)
+    keys = [*[F.col(f"`{g}`") for g in group_by], F.col("column_name")]
+    bad = cells.where(~valid).select(*keys, "__value").distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__value"))
+    return (bad.withColumn("__rank", rank).where(F.col("__rank") <= n).groupBy(*keys)
+            .agg(F.sort_array(F.collect_list("__value")).alias("sample_values")))  # at most n values
+
+
 def level_expr(score: Column) -> Column:
     return (F.when(score >= P.GOLD_MIN_SCORE, F.lit("gold"))
             .when(score >= P.SILVER_MIN_SCORE, F.lit("silver"))

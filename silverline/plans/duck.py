@@ -38,6 +38,18 @@ def level(score: str) -> str:
             f"then 'silver' else 'bronze' end)")
 
 
+def valid_for_type(value: str) -> str:
+    """FLT5 by the column ``expected_type``."""
+    st = strip(value)
+    return (f"case expected_type when 'numeric' then {plain_number(drop(st, ',', ' '))} is not null "
+            f"when 'integer' then {plain_number(drop(st, ','))} is not null "
+            f"when 'date' then {rx(st, P.VALIDATOR_PATTERNS['date_vn'])} "
+            f"when 'phone' then {rx(st, P.VALIDATOR_PATTERNS['phone'])} "
+            f"when 'email' then {rx(st, P.VALIDATOR_PATTERNS['email'])} "
+            f"when 'money' then {rx(st, P.VALIDATOR_PATTERNS['money_vn'])} "
+            f"when 'boolean' then lower({st}) in ({', '.join(q(w) for w in P.BOOLEAN_WORDS)}) else true end")
+
+
 def column_stats_sql(table: str, columns, group_by: list[str] | None = None) -> str:
     """DuckDB twin of ``profile.column_stats`` + ``validate_columns``: one row per column."""
     group_by = group_by or []

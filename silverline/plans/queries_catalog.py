@@ -73,6 +73,29 @@ def q_gold_tables_customer(spark, sf_dir):
     return _round_tables(tables)
 
 
+_DUCK_PART_CELLS = "\n  union all ".join(
+    f"select concat('part', cast(c_custkey % 4 as varchar)) as part, '{name}' as column_name, {name} as value from dirty_customer"
+    for name, _, semantic in CUSTOMER_COLUMNS if semantic is None)
+
+
+@register("gold_columns_dirty_customer_parts", ["CAT4", "AGG3"], duck_with("dirty_customer").rstrip() + f""",
+profile as ({_DUCK_CUST_STATS}),
+cells as ({_DUCK_PART_CELLS}),
+bad as (select distinct c.part, c.column_name, c.value from cells c
+  join profile t on t.part = c.part and t.column_name = c.column_name
+  where c.value is not null and not ({D.valid_for_type('c.value')})),
+ranked as (select *, row_number() over (partition by part, column_name order by value) as rank from bad),
+samples as (select part as dataset_id, column_name, cast(to_json(list(value order by value)) as varchar) as sample_values
+  from ranked where rank <= 3 group by part, column_name)
+select g.*, coalesce(s.sample_values, '[]') as sample_values
+from ({_duck_gold_columns("select * from profile", "part")}) g
+left join samples s on s.dataset_id = g.dataset_id and s.column_name = g.column_name""")
+def q_gold_columns_customer(spark, sf_dir):
+    dc = derived(spark, sf_dir, "dirty_customer").withColumn("part", F.expr(_PARTS_SPARK))
+    _, columns = C.promote_all(dc, "part", samples=3)
+    return columns.withColumn("valid_percentage", F.round("valid_percentage", 4))
+
+
 def _gold_with_space(spark, sf_dir):
     tables, cols = _gold_docs(spark, sf_dir)
     ds = derived(spark, sf_dir, "datasets").select(F.col("id").alias("dataset_id"), "space_id",

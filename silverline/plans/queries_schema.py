@@ -218,17 +218,6 @@ def q_typed_orders(spark, sf_dir):
 _CUST_STATS = D.column_stats_sql("dirty_customer", DIRTY_CUSTOMER_COLUMNS)
 
 
-def _duck_valid(value: str) -> str:
-    st = D.strip(value)
-    return (f"case expected_type when 'numeric' then {D.plain_number(D.drop(st, ',', ' '))} is not null "
-            f"when 'integer' then {D.plain_number(D.drop(st, ','))} is not null "
-            f"when 'date' then {D.rx(st, P.VALIDATOR_PATTERNS['date_vn'])} "
-            f"when 'phone' then {D.rx(st, P.VALIDATOR_PATTERNS['phone'])} "
-            f"when 'email' then {D.rx(st, P.VALIDATOR_PATTERNS['email'])} "
-            f"when 'money' then {D.rx(st, P.VALIDATOR_PATTERNS['money_vn'])} "
-            f"when 'boolean' then lower({st}) in ({', '.join(D.q(w) for w in P.BOOLEAN_WORDS)}) else true end")
-
-
 @register("invalid_samples_dirty_customer", ["AGG3"], duck_with("dirty_customer").rstrip() + f""",
 cells as (
   select c_custkey, 'phone' as column_name, phone as value from dirty_customer
@@ -239,7 +228,7 @@ types as (select column_name, expected_type from ({_CUST_STATS}) s)
 select column_name, cast(rank as int) as rank, value from (
   select c.column_name, c.value, row_number() over (partition by c.column_name order by c.c_custkey) as rank
   from cells c join types t on t.column_name = c.column_name
-  where c.value is not null and not ({_duck_valid('c.value')})) x where rank <= 5""")
+  where c.value is not null and not ({D.valid_for_type('c.value')})) x where rank <= 5""")
 def q_invalid_samples(spark, sf_dir):
     dc = derived(spark, sf_dir, "dirty_customer")
     return PR.invalid_samples(dc, PR.validate_columns(dc), ["c_custkey"], 5).withColumn("rank", F.col("rank").cast("int"))

@@ -2,6 +2,7 @@
 
 
 from silverline.functions import types as TY
+from silverline.operators import catalog as C
 from silverline.operators import profile as PR
 from silverline.plans.clean import coerce_columns
 
@@ -98,6 +99,22 @@ def test_invalid_samples_first_five(spark):
     assert [r["value"] for r in s] == ["bad0", "bad5", "bad10", "bad15", "bad20"]
 
 
+def test_smallest_invalid_of_all_groups(spark):
+    rows = [("a", f"ok{i}@mail.vn", str(i)) for i in range(40)] + [("b", f"ok{i}@mail.vn", str(i)) for i in range(40)]
+    rows += [("a", "N/A", "1")] * 9 + [("a", x, "2") for x in ("zz", "none", "none", "-")] + [("b", None, "x"), ("b", "bad", "3"), (None, "c@mail.vn", "4")]
+    df = spark.createDataFrame(rows, "part string, e string, n string").repartition(4)
+    v = PR.validate_columns(df, columns=["e", "n"], group_by=["part"])
+    got = {(r["part"], r["column_name"]): r["sample_values"] for r in PR.smallest_invalid(df, v, ["part"], 3).collect()}
+    assert got == {("a", "e"): ["-", "N/A", "none"], ("b", "e"): ["bad"], ("b", "n"): ["x"]}
+    _, columns = C.promote_all(df, "part", samples=2)
+    found = {(r["dataset_id"], r["column_name"]): r["sample_values"] for r in columns.collect()}
+    assert len(found) == 6 and found["a", "e"] == '["-","N/A"]' and found["a", "n"] == found[None, "e"] == "[]"
+    assert "sample_values" not in C.promote_all(df, "part")[1].columns
+    none = df.limit(0)
+    assert PR.smallest_invalid(none, PR.validate_columns(none, columns=["e", "n"], group_by=["part"]), ["part"]).count() == 0
+    assert PR.smallest_invalid(df.select("part"), v, ["part"]).columns == ["part", "column_name", "sample_values"]
+
+
 def test_recommendations_and_low_quality(spark):
     df = spark.createDataFrame([(f"col{i}", None) for i in range(20)], "col_a string, col_b string")
     low = PR.low_quality_table(df).first()
