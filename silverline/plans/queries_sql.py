@@ -363,6 +363,19 @@ _BANDS = """select c_custkey, abs(c_acctbal) * 50 as low,
   abs(c_acctbal) * 50 + case when c_custkey % 97 = 0 then 50000 else (c_custkey % 50) * 4 end as high from customer"""
 
 
+@register("range_frame_orders", ["DWN3"], """
+select o_orderkey, o_orderstatus, o_totalprice, count(o_custkey) over w as price_band, min(o_custkey) over w as least_customer,
+  max(o_orderkey) over w as last_order, sum(o_custkey) over w as customer_sum
+from orders window w as (partition by o_orderstatus order by o_totalprice range between 1000 preceding and current row)""")
+def q_range_frame(spark, sf_dir):
+    from silverline.operators.frames import range_frame
+
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    aggs = {"price_band": ("count", "o_custkey"), "least_customer": ("min", "o_custkey"), "last_order": ("max", "o_orderkey"),
+            "customer_sum": ("sum", "o_custkey")}
+    return range_frame(orders, ["o_orderstatus"], "o_totalprice", 1000, aggs).drop("o_custkey")
+
+
 @register("range_join_price_bands", ["DJN4"], f"""
 select c_custkey, count(*) as orders, cast(sum(o_orderkey) as bigint) as key_sum, min(o_totalprice) as least, max(o_totalprice) as most
 from orders join ({_BANDS}) b on o_totalprice between low and high group by 1""")
