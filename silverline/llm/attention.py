@@ -15,9 +15,11 @@ Defined results: null and empty texts are one end; rows whose ``held_out`` is nu
 documents of their own; with nothing learnt all words are unknown and ids are near uniform; an empty table gives no rows;
 other columns are not used.
 
-Scale: words are counted inside tasks and only sums move.  What is learnt from the whole corpus: all word counts, and from them all
-id counts (the frequencies of bands, slots and of ids beyond them).  The network's weights are fitted on at most ``FITTED`` windows,
-drawn by hash from all learnt texts: a documented bound.  One pass scores texts and writes, for each chunk of
+Scale: words are counted inside tasks and only sums move.  All of it is learnt from the whole corpus: all word counts, from them all
+id counts (the frequencies of bands, slots and of ids beyond them), and the network's weights.  These start from a short training on ``FITTED`` windows,
+drawn by hash; then every task goes on from there over all windows of its learnt texts, and the weights of the tasks are
+averaged by the windows each has seen (summed in Spark, so only one set of weights reaches the driver).  How texts are
+dealt to tasks moves the weights a little; texts that are equal score alike in a run.  One more pass scores texts and writes, for each chunk of
 documents, one row per distinct word with the documents that hold it; these rows meet the word counts by word and their
 documents by chunk, so texts never move and a word is one row a chunk.  Model, id table and the counts of the ``COMMON`` most frequent
 words go with the tasks (a fixed bound of a few MB); those words need no rows.
@@ -43,9 +45,11 @@ IDS, END = 50257, 50256
 BANDS, WIDTH = 32, 32
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
-#: bound on the windows that the weights are fitted on
+#: windows that the weights start from
 FITTED = 24_576
 EPOCHS, BATCH, RATE = 4, 32, 1.2e-2
+#: batches and greatest rate of the pass over all windows, and the batches until it is reached
+ALL_BATCH, ALL_RATE, ALL_RISE = 128, 3e-3, 50
 #: words and documents of a chunk (documents are numbered in two bytes)
 CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 60_000
 #: most frequent words whose counts go with the tasks, and their greatest length in bytes: a bound of a few MB
@@ -89,6 +93,23 @@ def _total(e: np.ndarray) -> np.ndarray:
     return e @ np.ones((e.shape[-1], 1), np.float32)
 
 
+class _Adam:
+    """Steps on parameters ``p``, in place."""
+
+    def __init__(self, p: dict):
+        self.p, self.t = p, 0
+        self.first = {k: np.zeros_like(v) for k, v in p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def step(self, g: dict, rate: float) -> None:
+        self.t += 1
+        for k, v in self.p.items():
+            first, second = self.first[k], self.second[k]
+            first += np.float32(0.1) * (g[k] - first)
+            second += np.float32(0.01) * (g[k] * g[k] - second)
+            v -= np.float32(rate / (1 - 0.9**self.t)) * first / (np.sqrt(second / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+
+
 class Model:
     """Parameters, slots of ids, forward and backward passes."""
 
@@ -217,20 +238,14 @@ class Model:
     def train(self, windows: np.ndarray, seed: int = 17) -> list[float]:
         """Adam over shuffled batches of windows of ``WINDOW + 1`` slots, -1 beyond a text's end; mean loss of every epoch."""
         rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps, t, losses = EPOCHS * -(-len(windows) // BATCH), 0, []
+        adam, steps, losses = _Adam(self.p), EPOCHS * -(-len(windows) // BATCH), []
         for _ in range(EPOCHS):
             order, loss = rng.permutation(len(windows)), []
             for i in range(0, len(order), BATCH):
                 part = windows[order[i:i + BATCH]]
                 value, g = self.gradients(np.maximum(part[:, :-1], 0), part[:, 1:], part[:, 1:] >= 0)
-                t += 1
-                rate = RATE * min(1, t / 20) * (0.05 + 0.95 * (0.5 + 0.5 * np.cos(np.pi * t / steps)))
-                for k, v in self.p.items():
-                    first[k] += np.float32(0.1) * (g[k] - first[k])
-                    second[k] += np.float32(0.01) * (g[k] * g[k] - second[k])
-                    v -= np.float32(rate / (1 - 0.9**t)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+                t = adam.t + 1
+                adam.step(g, RATE * min(1, t / 20) * (0.05 + 0.95 * (0.5 + 0.5 * np.cos(np.pi * t / steps))))
                 loss.append(value)
             losses.append(float(np.mean(loss)))
         return losses
@@ -442,6 +457,47 @@ def _drawn(tokenizer: str, rate: float):
     return run
 
 
+def _fit_all(shared, tokenizer: str, seed: int):
+    """Weights after a pass over all windows of a task's texts, times their number (row ``i`` of all weights in order; row -1: the number)."""
+    def run(batches):
+        import copy
+
+        import pyarrow as pa
+
+        cut, model, seen = _Cutter(tokenizer), copy.deepcopy(shared.value), 0
+        adam, rng = _Adam(model.p), np.random.default_rng(seed)
+
+        def learn(chunk: _Chunk) -> int:
+            raw, begins, lengths = chunk.ids(cut)
+            slots = model.slot[raw]
+            n = -(-lengths // WINDOW)
+            text = np.repeat(np.arange(len(n)), n)
+            start = WINDOW * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            order = rng.permutation(len(text))
+            for i in range(0, len(order), ALL_BATCH):
+                part = order[i:i + ALL_BATCH]
+                at = start[part, None] + np.arange(WINDOW + 1)
+                windows = slots.take(begins[text[part], None] + at, mode="clip").astype(np.int64)
+                mask = (at <= lengths[text[part], None])[:, 1:]
+                adam.step(model.gradients(windows[:, :-1], windows[:, 1:], mask)[1], ALL_RATE * min(1, (adam.t + 1) / ALL_RISE))
+            return len(text)
+
+        chunk = _Chunk()
+        for batch in batches:
+            for text, _ in _texts(batch):
+                chunk.add(text, None)
+                if chunk.full():
+                    seen += learn(chunk)
+                    chunk = _Chunk()
+        if chunk.rows:
+            seen += learn(chunk)
+        if seen:
+            flat = np.concatenate([v.ravel() for v in model.p.values()]).astype(float) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.append(float(seen), flat))], ["i", "total"])
+
+    return run
+
+
 def _score_chunks(model: Model, tokenizer: str, shared, weigh):
     """Two kinds of rows for each chunk: its documents (scored) and its less common words (with the documents that hold them)."""
     def run(batches):
@@ -536,9 +592,23 @@ def train(docs: DataFrame, words: DataFrame, tokenizer: str = TOKENIZER, seed: i
         if drawn:
             raw = np.frombuffer(b"".join(r["ids"] for r in drawn), "<i4").reshape(-1, WINDOW + 1)
             model.train(np.where(raw < 0, -1, model.slot[raw]).astype(np.int64))
+        fit_all(docs, model, tokenizer, seed)
     return model
 
 
+def fit_all(docs: DataFrame, model: Model, tokenizer: str = TOKENIZER, seed: int = 13) -> int:
+    """Take ``model`` once over all windows of ``docs`` (text), its weights the mean of the tasks' by their windows; gives the number of windows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    parts = docs.select("text").mapInArrow(_fit_all(shared, tokenizer, seed), "i int, total double")
+    total = {r["i"]: r["total"] for r in parts.groupBy("i").agg(F.sum("total").alias("total")).collect()}  # one set of weights
+    seen, at = int(total.get(-1, 0)), 0
+    if seen:
+        for v in model.p.values():
+            v[...] = (np.array([total[i] for i in range(at, at + v.size)]) / seen).reshape(v.shape)
+            at += v.size
+    return seen
+
+
 def score(docs: DataFrame, held_out: Column, tokenizer: str = TOKENIZER) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, text), learnt from rows not held out."""
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))

@@ -152,3 +152,17 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     r = attention.score(docs, held).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
+
+
+def test_weights_come_from_all_windows(spark, monkeypatch):
+    """A start from few windows, all of one kind: what only the other texts show is learnt too."""
+    for name, value in (("FITTED", 8), ("ALL_BATCH", 8), ("ALL_RISE", 10)):
+        monkeypatch.setattr(attention, name, value)
+    cycle = "red green blue white black brown pink grey gold teal".split()
+    texts = [" ".join(cycle[(i + j) % 10] for j in range(200)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    words = attention.count_words(docs)
+    model = attention.train(docs, words)
+    assert attention.fit_all(docs, model) == 400 * -(-201 // attention.WINDOW)
+    r = attention.score(docs, F.col("doc_id") < 5).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r["s"] > 0.7 * r["b"]  # the next word follows from the last one
