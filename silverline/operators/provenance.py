@@ -4,20 +4,19 @@ Row numbers per dataset must not put a whole dataset into one task (one
 dataset may hold a third of all rows).  ``number_rows`` therefore works like
 ``zipWithIndex`` per key:
 
-1. range-partition on (dataset, order key) - a hot dataset spans many partitions;
-2. sort within partitions; ``monotonically_increasing_id`` is then the local
+1. the rows are written once (Parquet in the shared checkpoint folder) with an id, so that whatever made them,
+   regexes over long texts too, runs once: a range exchange computes its input twice, for its bounds and for its rows;
+2. the ids with their (dataset, order key) are range-partitioned - a hot dataset spans many partitions;
+3. sort within partitions; ``monotonically_increasing_id`` is then the local
    position (partition id in the high bits);
-3. a small table of (partition, dataset) -> first id, row count - at most
+4. a small table of (partition, dataset) -> first id, row count - at most
    partitions + datasets rows - gives each slice its offset through a running
    sum per dataset;
-4. that small table is joined back (broadcast after a size check).
+5. that small table is joined to the ids, and the ids to the rows.
 
-The partition id and position of every row are persisted once (Parquet in the
-shared checkpoint folder) before the slice table is derived: two separate
+The partition id and position of every id are persisted too before the slice table is derived: two separate
 range exchanges would each sample their own bounds, and at scale those bounds
-(hence partition ids) could differ between the two uses.  Reading the
-persisted copy twice - thin for the slice counts, full for the join - keeps
-them consistent and survives lost executors.
+(hence partition ids) could differ between the two uses.
 """
 
 from __future__ import annotations
@@ -45,8 +44,9 @@ def number_rows(df: DataFrame, partition_by: list[str], order_by: list[str], out
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_by + order_by]
+    written = materialize(df.withColumn("__id", F.monotonically_increasing_id()), "row_numbers")
     ranged = materialize(
-        df.repartitionByRange(n, *keys)
+        written.select("__id", *dict.fromkeys(partition_by + order_by)).repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__pos", F.monotonically_increasing_id()),
@@ -61,10 +61,9 @@ def number_rows(df: DataFrame, partition_by: list[str], order_by: list[str], out
                            "__first", "__offset")
     # null-safe on the group columns: rows whose group is null are numbered too, never dropped
     cond = [F.col("__pid") == F.col("__spid")] + [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in partition_by]
-    numbered = ranged.join(slices, cond)
-    return numbered.withColumn(
-        out, (F.col("__pos") - F.col("__first") + F.col("__offset") + F.lit(1)).cast("bigint")
-    ).drop("__pid", "__pos", "__first", "__offset", "__spid", *[f"__s_{c}" for c in partition_by])
+    numbers = ranged.join(slices, cond).select(
+        "__id", (F.col("__pos") - F.col("__first") + F.col("__offset") + F.lit(1)).cast("bigint").alias(out))
+    return written.join(numbers, "__id").drop("__id")
 
 
 def add_provenance(df: DataFrame, dataset_id: Column | str, source_file: Column | str,

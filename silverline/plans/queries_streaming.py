@@ -84,6 +84,7 @@ union all select 'error', 'broken.parquet', 1, 0, 0
 union all select 'success', 'files read', (select count(*) from documents), 0, 0""")
 def q_stream_quarantine(spark, sf_dir):
     """One broken file among three chunks: its error row, and the rows of the stream against one batch, on every column."""
+    from silverline.operators.exchange import redistribute
     from silverline.operators.provenance import add_provenance
     from silverline.plans.clean import clean_rows
 
@@ -106,7 +107,7 @@ def q_stream_quarantine(spark, sf_dir):
     J.ingest_stream(job, src, ckpt, files, glob="*.parquet")
     columns = ["doc_id", "text", "lang", "source", "n_chars", "_dataset_id", "_row_number", "_source_type", "_ingested_at", "_content_hash"]
     rows = J.read_ingested(spark, out)
-    batch = add_provenance(clean_rows(docs), F.col("source"), "", "parquet", ["doc_id"], "2024-01-01", "text")
+    batch = add_provenance(clean_rows(redistribute(docs, "doc_id")), F.col("source"), "", "parquet", ["doc_id"], "2024-01-01", "text")
     both = [df.select(F.lit(side).alias("side"), F.col("_dataset_id").alias("name"), F.xxhash64(*columns).alias("row")) for side, df in (("s", rows), ("b", batch))]
     # equal rows cancel out: signed counts per row, kept whole
     signs = both[0].unionByName(both[1]).groupBy("name", "row").agg(F.sum(F.when(F.col("side") == "s", 1).otherwise(-1)).alias("n"), F.count_if(F.col("side") == "s").alias("s"))

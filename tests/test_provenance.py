@@ -45,3 +45,18 @@ def test_null_groups_are_kept(spark):
     for salts in (None, 4):
         out = attach_per_key(df, counts, ["ds"], how="inner", salt_buckets=salts)
         assert sorted(((r["ds"] or ""), r["count"]) for r in out.collect()) == [("", 2), ("", 2), ("a", 1)]
+
+
+def test_what_makes_the_rows_runs_once(spark):
+    """A range exchange computes its input twice, for its bounds and for its rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    df = spark.range(0, 500, 1, 4).selectExpr("id % 3 as ds", "500 - id as k").mapInPandas(count, "ds long, k long")
+    got = sorted((r["ds"], r["k"], r["_row_number"]) for r in number_rows(df, ["ds"], ["k"]).collect())
+    want = [(d, k, i + 1) for d in range(3) for i, k in enumerate(sorted(500 - j for j in range(500) if j % 3 == d))]
+    assert got == want and made.value == 500
