@@ -55,7 +55,9 @@ CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 60_000
 #: most frequent words whose counts go with the tasks, and their greatest length in bytes: a bound of a few MB
 COMMON, COMMON_BYTES = 65_536, 64
 #: windows that attention runs on together, and targets whose probabilities are taken together
-TOGETHER, TARGETS = 128, 16_384
+TOGETHER, TARGETS = 64, 16_384
+#: windows whose gradients are taken together
+BLOCK = 64
 #: bytes of a long text that are cut into words at a time
 PIECE = 4 << 20
 SMOOTH = 0.1
@@ -98,16 +100,24 @@ class _Adam:
 
     def __init__(self, p: dict):
         self.p, self.t = p, 0
-        self.first = {k: np.zeros_like(v) for k, v in p.items()}
-        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+        dtype = next(iter(p.values())).dtype
+        self.first, self.second, self.by = (np.zeros(sum(v.size for v in p.values()), dtype) for _ in range(3))
 
     def step(self, g: dict, rate: float) -> None:
         self.t += 1
-        for k, v in self.p.items():
-            first, second = self.first[k], self.second[k]
-            first += np.float32(0.1) * (g[k] - first)
-            second += np.float32(0.01) * (g[k] * g[k] - second)
-            v -= np.float32(rate / (1 - 0.9**self.t)) * first / (np.sqrt(second / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+        g, by, at = np.concatenate([g[k].ravel() for k in self.p]), self.by, 0
+        self.first += np.float32(0.1) * (g - self.first)
+        g *= g
+        g -= self.second
+        g *= np.float32(0.01)
+        self.second += g
+        np.sqrt(self.second, out=by)
+        by += np.float32(1e-8 * (1 - 0.99**self.t) ** 0.5)
+        np.divide(self.first, by, out=by)
+        by *= np.float32(rate / (1 - 0.9**self.t) * (1 - 0.99**self.t) ** 0.5)
+        for v in self.p.values():
+            v -= by[at:at + v.size].reshape(v.shape)
+            at += v.size
 
 
 class Model:
@@ -138,102 +148,140 @@ class Model:
             "member0": np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32),
         }
 
-    def _states(self, x: np.ndarray, queried: int) -> tuple:
-        """States of the last ``queried`` positions of windows ``x``."""
+    def _mixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """What queries and keys, values and their output do together: score of two states, and what one adds to the other."""
+        p = self.p
+        return p["q"] @ p["k"].T * np.float32(DIM**-0.5), p["v"] @ p["o"]
+
+    def _states(self, x: np.ndarray, queried: int, mixes: tuple, ahead: np.ndarray) -> tuple:
+        """States of the last ``queried`` positions of windows ``x``, one row each; ``ahead`` is 0 for what lies ahead of a position, else 1."""
         p, (b, n) = self.p, x.shape
         h = p["ids"].take(x, axis=0)
         h += p["places"][:n]
-        pair = (h.reshape(-1, DIM) @ np.hstack([p["k"], p["v"]])).reshape(b, n, 2 * DIM)
-        k, v = pair[..., :DIM], pair[..., DIM:]
         top = h[:, n - queried:].reshape(-1, DIM)
-        q = (top @ (p["q"] * np.float32(DIM**-0.5))).reshape(b, queried, DIM)
-        s = _exp(q @ k.transpose(0, 2, 1))
-        s *= np.tri(queried, n, n - queried, dtype=np.float32)  # nothing ahead
+        q = (top @ mixes[0]).reshape(b, queried, DIM)
+        s = _exp(q @ h.transpose(0, 2, 1))
+        s *= ahead
         total = _total(s)
-        a = s @ v
+        a = s @ h
         a /= total
-        z = a.reshape(-1, DIM) @ p["o"]
+        z = a.reshape(-1, DIM) @ mixes[1]
         z += top
         f = z @ p["in"]
         f += p["in0"]
         np.maximum(f, 0, out=f)
         out = f @ p["out"]
         out += z
-        z, f, out = (t.reshape(b, queried, -1) for t in (z, f, out))
-        return h, q, k, v, (s, total), a, z, f, out
+        return h, q, s, total, a, z, f, out
 
-    def _bands(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target's band; with ``grads`` also the gradient of their negated mean by the states."""
+    def _bands(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray]:
+        """Natural log probability of each target's band."""
         p, n, band = self.p, np.arange(len(targets)), targets // WIDTH
         e = states @ p["band"]
         e += p["band0"]
         total = _total(_exp(e))
-        out = np.log(e[n, band]) - np.log(total[:, 0])
-        if grads is None:
-            return out, None
-        e /= total
-        e[n, band] -= 1
-        e /= len(targets)
-        grads["band"], grads["band0"] = states.T @ e, e.sum(axis=0)
-        return out, e @ p["band"].T
-
-    def _members(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        return (np.log(e[n, band]) - np.log(total[:, 0]),)
+
+    def _members(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray]:
         """The same of each target within its band, band by band."""
-        p, n, band, member = self.p, np.arange(len(targets)), targets // WIDTH, targets % WIDTH
-        out, back = np.empty(len(targets), states.dtype), None
-        if grads is not None:
-            back = np.zeros_like(states)
-            grads["member"], grads["member0"] = np.zeros_like(p["member"]), np.zeros_like(p["member0"])
-        order = np.argsort(band, kind="stable")
-        bounds = np.searchsorted(band[order], np.arange(BANDS + 1))
-        sorted_states, sorted_member = states.take(order, axis=0), member[order]
+        p, n = self.p, np.arange(len(targets))
+        order = np.argsort(targets.astype(np.int16), kind="stable")
+        asked, out = targets.take(order), np.empty(len(targets), states.dtype)
+        bounds = np.searchsorted(asked, np.arange(BANDS + 1) * WIDTH)
+        sorted_states, member, found = states.take(order, axis=0), asked % WIDTH, np.empty_like(out)
         for b in range(BANDS):
             lo, hi = bounds[b], bounds[b + 1]
-            if lo == hi:
-                continue
-            own, inner, i = sorted_states[lo:hi], sorted_member[lo:hi], n[:hi - lo]
-            e = own @ p["member"][b]
-            e += p["member0"][b]
-            total = _total(_exp(e))
-            out[order[lo:hi]] = np.log(e[i, inner]) - np.log(total[:, 0])
-            if grads is not None:
-                e /= total
-                e[i, inner] -= 1
-                e /= len(targets)
-                grads["member"][b], grads["member0"][b] = own.T @ e, e.sum(axis=0)
-                back[order[lo:hi]] = e @ p["member"][b].T
-        return out, back
+            if lo < hi:
+                e = sorted_states[lo:hi] @ p["member"][b]
+                e += p["member0"][b]
+                total = _total(_exp(e))
+                found[lo:hi] = np.log(e[n[:hi - lo], member[lo:hi]]) - np.log(total[:, 0])
+        out[order] = found
+        return (out,)
+
+    def _asked(self, states: np.ndarray, targets: np.ndarray, at: np.ndarray, size: int, both: np.ndarray, grad: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of the natural log probabilities of ``targets`` at rows ``at``, and by all states the gradient of their negated sum over ``size``.
+
+        Every band has one matrix ``both`` for the logits of bands and of its members, its last row for what is added to them;
+        their gradients are added to ``grad``.
+        """
+        order = np.argsort(targets.astype(np.int16), kind="stable")
+        asked, n = targets.take(order), len(order)
+        bounds = np.searchsorted(asked, np.arange(BANDS + 1) * WIDTH).tolist()
+        held = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi]
+        place = at.take(order)
+        own = np.ones((n, DIM + 1), states.dtype)
+        own[:, :DIM] = states.take(place, axis=0)
+        e = np.empty((n, BANDS + WIDTH), own.dtype)
+        for b, lo, hi in held:
+            np.matmul(own[lo:hi], both[b], out=e[lo:hi])
+        halves = _exp(e).reshape(-1, WIDTH)
+        total = _total(halves)
+        first = np.arange(0, e.size, BANDS + WIDTH)
+        second = first + (BANDS + asked % WIDTH)
+        first += asked // WIDTH
+        flat = e.reshape(-1)
+        log = np.log(flat.take(first)).sum() + np.log(flat.take(second)).sum() - np.log(total).sum()
+        total *= size
+        halves /= total
+        flat[first] -= np.float32(1 / size)
+        flat[second] -= np.float32(1 / size)
+        back = np.zeros((n + 1, DIM), own.dtype)  # the last row is for positions that are not asked
+        turned, across = own.T, both[:, :DIM].transpose(0, 2, 1)
+        for b, lo, hi in held:
+            part = e[lo:hi]
+            grad[b] += turned[:, lo:hi] @ part
+            np.matmul(part, across[b], out=back[lo:hi])
+        row = np.full(len(states), n)
+        row[place] = np.arange(n)
+        return float(log), back.take(row, axis=0)
 
     def gradients(self, x: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[float, dict]:
-        """Mean negated log probability of the masked targets and its gradients."""
-        p, g = self.p, {}
-        h, q, k, v, (s, total), a, z, f, top = self._states(x, x.shape[1])
-        s /= total
-        asked = top[mask], targets[mask]
-        (of_band, by_band), (of_member, by_member) = self._bands(*asked, g), self._members(*asked, g)
-        d = np.zeros_like(top)
-        d[mask] = by_band + by_member
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g["out"] = flat(f).T @ flat(d)
-        df = (d @ p["out"].T) * (f > 0)
-        g["in"], g["in0"] = flat(z).T @ flat(df), flat(df).sum(axis=0)
-        dz = d + df @ p["in"].T
-        g["o"] = flat(a).T @ flat(dz)
-        da = dz @ p["o"].T
-        dv = s.transpose(0, 2, 1) @ da
-        ds = da @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=-1, keepdims=True))
-        dq, dk = (ds @ k) * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q
-        dh = dz + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        for name, part in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(h).T @ flat(part)
-        g["places"] = np.zeros_like(p["places"])
-        g["places"][:x.shape[1]] = dh.sum(axis=0)
-        order = np.argsort(x, axis=None, kind="stable")
-        slots, begins = np.unique(x.ravel()[order], return_index=True)
-        g["ids"] = np.zeros_like(p["ids"])
-        g["ids"][slots] = np.add.reduceat(flat(dh)[order], begins, axis=0)
-        return -float((of_band + of_member).mean()), g
+        """Mean negated log probability of the masked targets and its gradients, summed over blocks of windows that stay in a CPU's cache."""
+        p, n, size = self.p, x.shape[1], int(mask.sum())
+        g, loss = {k: np.zeros_like(p[k]) for k in ("ids", "places", "in", "in0", "out")}, 0.0
+        mixes, ahead = self._mixes(), np.tri(n, dtype=np.float32)
+        by = [np.zeros_like(m) for m in mixes]
+        both = np.empty((BANDS, DIM + 1, BANDS + WIDTH), p["band"].dtype)
+        both[:, :DIM, :BANDS], both[:, DIM, :BANDS], both[:, :DIM, BANDS:], both[:, DIM, BANDS:] = p["band"], p["band0"], p["member"], p["member0"]
+        grad = np.zeros_like(both)
+        for i in range(0, len(x), BLOCK):
+            slots = x[i:i + BLOCK]
+            at = np.flatnonzero(mask[i:i + BLOCK])
+            h, q, s, total, a, z, f, top = self._states(slots, n, mixes, ahead)
+            log, d = self._asked(top, targets[i:i + BLOCK].reshape(-1).take(at), at, size, both, grad)
+            loss -= log
+            g["out"] += f.T @ d
+            df = d @ p["out"].T
+            df *= f > 0
+            g["in"] += z.T @ df
+            g["in0"] += np.ones(len(df), df.dtype) @ df
+            dz = df @ p["in"].T
+            dz += d
+            by[1] += a.reshape(-1, DIM).T @ dz
+            da = (dz @ mixes[1].T).reshape(h.shape)
+            da /= total
+            ds = da @ h.transpose(0, 2, 1)
+            ds -= _total(da * a)
+            ds *= s
+            dh = s.transpose(0, 2, 1) @ da
+            dh += ds.transpose(0, 2, 1) @ q
+            dq = (ds @ h).reshape(-1, DIM)
+            by[0] += h.reshape(-1, DIM).T @ dq
+            dh = dh.reshape(-1, DIM)
+            dh += dq @ mixes[0].T
+            dh += dz
+            g["places"][:n] += dh.reshape(h.shape).sum(axis=0)
+            flat = slots.astype(np.int16).reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            flat = flat.take(order)
+            begins = np.concatenate([[0], 1 + np.flatnonzero(flat[1:] != flat[:-1])])
+            g["ids"][flat.take(begins)] += np.add.reduceat(dh.take(order, axis=0), begins, axis=0)
+        scale = np.float32(DIM**-0.5)
+        g["q"], g["k"], g["v"], g["o"] = by[0] @ p["k"] * scale, by[0].T @ p["q"] * scale, by[1] @ p["o"].T, p["v"].T @ by[1]
+        g["band"], g["band0"] = grad[:, :DIM, :BANDS].sum(axis=0), grad[:, DIM, :BANDS].sum(axis=0)
+        g["member"], g["member0"] = grad[:, :DIM, BANDS:], grad[:, DIM, BANDS:]
+        return loss / size, g
 
     def train(self, windows: np.ndarray, seed: int = 17) -> list[float]:
         """Adam over shuffled batches of windows of ``WINDOW + 1`` slots, -1 beyond a text's end; mean loss of every epoch."""
@@ -263,7 +311,9 @@ class Model:
             out[:] += np.bincount(texts, logs + self._members(states, targets)[0], len(lengths)) / np.log(10)
             held.clear()
 
+        mixes = self._mixes()
         for later, queried in ((False, WINDOW), (True, STRIDE)):
+            ahead = np.tri(queried, WINDOW, WINDOW - queried, dtype=np.float32)
             mine = np.flatnonzero((nth > 0) == later)
             asked = np.s_[:, WINDOW - queried:]
             for i in range(0, len(mine), TOGETHER):
@@ -271,8 +321,9 @@ class Model:
                 t, at = text[w], nth[w, None] * STRIDE + np.arange(WINDOW)
                 place = begins[t, None] + at
                 mask = (at < lengths[t, None])[asked]
-                states = self._states(flat.take(place, mode="clip"), queried)[-1][mask]
-                targets = flat.take(place[asked] + 1, mode="clip")[mask]
+                at = np.flatnonzero(mask)
+                states = self._states(flat.take(place, mode="clip"), queried, mixes, ahead)[-1].take(at, axis=0)
+                targets = flat.take(place[asked].reshape(-1).take(at) + 1, mode="clip")
                 held.append((states, targets, self._bands(states, targets)[0], np.repeat(t, mask.sum(axis=1))))
                 if sum(len(x[1]) for x in held) >= TARGETS:
                     close()

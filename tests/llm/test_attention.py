@@ -1,6 +1,7 @@
 """Language-model scoring: base scores against brute force, the model against plain numpy, finite differences and the base score."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -93,6 +94,48 @@ def test_gradients_match_finite_differences():
             assert abs((diff[0] - diff[1]) / 2e-4 - grads[name][at]) < 2e-4 + 1e-2 * abs(grads[name][at]), name
 
 
+def batch(rng, n):
+    x = rng.integers(0, 1024, (n, attention.WINDOW))
+    mask = np.arange(attention.WINDOW) < rng.integers(1, attention.WINDOW + 1, (n, 1))
+    return x, np.roll(x, -1, axis=1), mask
+
+
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    model, _ = small_model()
+    some = batch(np.random.default_rng(6), 50)
+    found = []
+    for block in (1, 7, 50):
+        monkeypatch.setattr(attention, "BLOCK", block)
+        found.append(model.gradients(*some))
+    for loss, grads in found[1:]:
+        assert abs(loss - found[0][0]) < 1e-4 and grads.keys() == model.p.keys()
+        assert all(np.allclose(grads[k], found[0][1][k], rtol=1e-3, atol=1e-6) for k in grads)
+
+
+def test_gradients_work_in_a_cache_not_in_fresh_pages():
+    """What a batch's gradients allocate is bounded by a block of windows, not by the batch."""
+    model, _ = small_model()
+    peak = []
+    for n in (128, 1024):
+        some = batch(np.random.default_rng(7), n)
+        model.gradients(*some)
+        tracemalloc.start()
+        model.gradients(*some)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 1.2 * peak[0] and peak[0] < 4 << 20, peak
+
+
+def test_logits_beyond_the_clip_stay_finite():
+    model, _ = small_model()
+    for v in model.p.values():
+        v *= np.float32(40)
+    x, y, mask = batch(np.random.default_rng(8), 20)
+    loss, grads = model.gradients(x, y, mask)
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grads.values())
+    assert np.isfinite(model.score(x.reshape(-1), np.array([0]), np.array([x.size - 1]))).all()
+
+
 def test_words_in_pieces(monkeypatch):
     for piece in (3, 50, 1 << 20):
         monkeypatch.setattr(attention, "PIECE", piece)
